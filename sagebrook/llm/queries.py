@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import latest, table
+from .common import latest, limits, table
+from .conversations import sound_conversations
 from .sentences import sentence_units
+from .splitting import split_oversized
+from .textstats import kinds_apart_from_prose, text_statistics
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +20,33 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_units(rows[0].unionByName(rows[1]), "content", ["record_kind", "record_id"]).select("record_kind", "record_id", "end_char")
 
 
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of the oversized chunks."""
+    by = limits(spark, sf_dir)
+    return split_oversized(table(spark, sf_dir, "chunks"), by["split_limit_chars"], by["split_overlap_chars"])
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oversized chunks with the way they had to be cut."""
+    return p2_pieces(spark, sf_dir).where("piece_no = 1").select("chunk_id", "cut_kind")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of the conversations kept, in order."""
+    kept = sound_conversations(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
+    return kept.select("conversation_id", "turn_no", "message_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents most of whose text is not natural prose."""
+    return kinds_apart_from_prose(table(spark, sf_dir, "documents"))
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics of every document."""
+    return text_statistics(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
