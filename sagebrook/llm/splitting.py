@@ -86,7 +86,11 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]
         if before[i] >= 0:
             k = before[i]
             heapq.heappush(heap, (strengths[k], ends[i] - starts[k], k, ends[k], ends[i]))
-    return [(max(0, starts[i] - overlap), ends[i], strengths[i]) for i in range(n) if alive[i]]
+    left = [i for i in range(n) if alive[i]]
+    while len(left) > 1 and ends[left[0]] <= overlap:  # the first piece must hold the overlap; nothing stands before it, so both fit
+        starts[left[1]] = 0
+        left.pop(0)
+    return [(max(0, starts[i] - overlap), ends[i], strengths[i]) for i in left]
 
 
 def longest_stretch(text: str) -> int:
