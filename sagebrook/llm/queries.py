@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import latest, limits, table
 from .conversations import sound_conversations
+from .language import corrected_labels, fit, text_languages
 from .sentences import sentence_units
 from .splitting import split_oversized
 from .textstats import kinds_apart_from_prose, text_statistics
@@ -31,6 +32,31 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_no = 1").select("chunk_id", "cut_kind")
 
 
+def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of documents, chunks and messages; of rows delivered twice, the last."""
+    parts = [
+        table(spark, sf_dir, "documents").select(F.lit("documents").alias("record_kind"), F.col("doc_id").cast("string").alias("record_id"), "language", F.col("text").alias("content"), F.col("created_at").alias("at")),
+        *(table(spark, sf_dir, kind).select(F.lit(kind).alias("record_kind"), F.col("id").alias("record_id"), "language", "content", F.col("ingested_at").alias("at")) for kind in ("chunks", "messages")),
+    ]
+    keep = ["record_kind", "record_id", "language", "at"]
+    rows = parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("record_id").isNotNull())
+    prototypes = fit(rows)
+    found = text_languages(rows, prototypes, keep)
+    last = F.max(F.struct("at", "language", "segments")).alias("r")
+    return found.groupBy("record_kind", "record_id").agg(last).select("record_kind", "record_id", "r.language", "r.segments")
+
+
+def p3_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record's stretches of one language, with confidence."""
+    rows = _languages(spark, sf_dir).select("record_kind", "record_id", F.col("language").alias("label"), F.posexplode("segments").alias("segment_no", "s"))
+    return rows.select("record_kind", "record_id", "label", "segment_no", "s.language", "s.confidence", "s.start_char", "s.end_char")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The languages of records whose label is missing, wrong or cannot be right."""
+    return corrected_labels(_languages(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of the conversations kept, in order."""
     kept = sound_conversations(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
