@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import latest, limits, table
 from .conversations import sound_conversations
 from .language import corrected_labels, fit, text_languages
+from .pairs import defective_pairs, prompt_pairs, train_classifier, training_pairs
 from .sentences import sentence_units
 from .splitting import split_oversized
 from .textstats import kinds_apart_from_prose, text_statistics
@@ -57,6 +58,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corrected_labels(_languages(spark, sf_dir))
 
 
+def p4_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective prompt and response pairs, with scores."""
+    kinds = [table(spark, sf_dir, kind).select(F.lit(kind).alias("record_kind"), F.col("id").alias("record_id"), "language", "content") for kind in ("chunks", "messages")]
+    prototypes = fit(kinds[0].unionByName(kinds[1]).where(F.col("record_id").isNotNull()))
+    pairs = prompt_pairs(table(spark, sf_dir, "messages"))
+    model = train_classifier(*training_pairs(pairs), prototypes)
+    return defective_pairs(pairs, model, prototypes)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Defective answers and what is wrong with them."""
+    return p4_defects(spark, sf_dir).select("answer_id", "defect").distinct()
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of the conversations kept, in order."""
     kept = sound_conversations(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
