@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import latest, limits, table
 from .conversations import sound_conversations
 from .language import corrected_labels, fit, text_languages
+from .neardup import CONTENT, TITLE, all_pairs, near_duplicates
 from .pairs import defective_pairs, prompt_pairs, train_classifier, training_pairs
 from .sentences import sentence_units
 from .splitting import split_oversized
@@ -72,6 +73,14 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_defects(spark, sf_dir).select("answer_id", "defect").distinct()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks with nearly the same content and of documents with nearly the same title."""
+    chunks = latest(table(spark, sf_dir, "chunks"), "id", "ingested_at", ["content"]).withColumnRenamed("content", "text")
+    titles = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("title").alias("text"))
+    content = all_pairs(*near_duplicates(chunks, CONTENT)).select(F.lit("chunks").alias("record_kind"), "id_a", "id_b")
+    return content.unionByName(all_pairs(*near_duplicates(titles, TITLE, True), True).select(F.lit("documents").alias("record_kind"), "id_a", "id_b"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of the conversations kept, in order."""
     kept = sound_conversations(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
