@@ -11,6 +11,7 @@ from .common import latest, limits, table
 from .conversations import sound_conversations
 from .language import corrected_labels, fit, text_languages
 from .neardup import CONTENT, TITLE, all_pairs, near_duplicates
+from .neighbours import nearest
 from .pairs import defective_pairs, prompt_pairs, train_classifier, training_pairs
 from .sentences import sentence_units
 from .splitting import split_oversized
@@ -81,6 +82,29 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.unionByName(all_pairs(*near_duplicates(titles, TITLE, True), True).select(F.lit("documents").alias("record_kind"), "id_a", "id_b"))
 
 
+def _vectors(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
+    return latest(table(spark, sf_dir, "chunks"), "id", "ingested_at", [field]).select("id", F.col(field).alias("vector"))
+
+
+def _neighbours(spark: SparkSession, sf_dir: str, chosen: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    out = []
+    for field in ("embedding", "embedding_translated"):
+        rows = _vectors(spark, sf_dir, field)
+        out.append(nearest(rows, chosen(rows)).select(F.lit(field).alias("vector_field"), F.col("query_id").alias("chunk_id"), "neighbour_id", "similarity"))
+    return out[0].unionByName(out[1])
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most similar chunks of each probe chunk, for both vectors."""
+    probes = table(spark, sf_dir, "probe_chunks").select(F.col("chunk_id").alias("id")).distinct()
+    return _neighbours(spark, sf_dir, lambda rows: rows.join(probes, "id", "left_semi")).drop("similarity")
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a fiftieth of all chunks, chosen by their hashed ids (ids are no numbers here), against all."""
+    return _neighbours(spark, sf_dir, lambda rows: rows.where(F.pmod(F.xxhash64("id"), F.lit(50)) == 0))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of the conversations kept, in order."""
     kept = sound_conversations(table(spark, sf_dir, "messages"), table(spark, sf_dir, "conversations"))
