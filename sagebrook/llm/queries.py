@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from .common import latest, limits, table
 from .conversations import sound_conversations
 from .language import corrected_labels, fit, text_languages
+from .mixing import mix_sources
 from .neardup import CONTENT, TITLE, all_pairs, near_duplicates
 from .neighbours import nearest
-from .pairs import defective_pairs, prompt_pairs, train_classifier, training_pairs
+from .packing import container_use, pack_documents
+from .pairs import TRAIN_PAIRS, defective_pairs, prompt_pairs, train_classifier, training_pairs
 from .sentences import sentence_units
 from .splitting import split_oversized
 from .textstats import kinds_apart_from_prose, text_statistics
@@ -64,8 +66,10 @@ def p4_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Defective prompt and response pairs, with scores."""
     kinds = [table(spark, sf_dir, kind).select(F.lit(kind).alias("record_kind"), F.col("id").alias("record_id"), "language", "content") for kind in ("chunks", "messages")]
     prototypes = fit(kinds[0].unionByName(kinds[1]).where(F.col("record_id").isNotNull()))
-    pairs = prompt_pairs(table(spark, sf_dir, "messages"))
-    model = train_classifier(*training_pairs(pairs), prototypes)
+    messages = table(spark, sf_dir, "messages")
+    pairs = prompt_pairs(messages)
+    rate = min(1.0, 4 * TRAIN_PAIRS / max(1, messages.count()))  # somewhat more pairs than are used
+    model = train_classifier(*training_pairs(pairs, rate), prototypes)
     return defective_pairs(pairs, model, prototypes)
 
 
@@ -111,6 +115,26 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("conversation_id", "turn_no", "message_id")
 
 
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in containers of container_tokens tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), limits(spark, sf_dir)["container_tokens"])
+
+
+def p8_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full those containers are."""
+    return container_use(p8_containers(spark, sf_dir), limits(spark, sf_dir)["container_tokens"])
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of the mixture and how often each is used."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares the mixture reaches."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents most of whose text is not natural prose."""
     return kinds_apart_from_prose(table(spark, sf_dir, "documents"))
