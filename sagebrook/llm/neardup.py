@@ -23,7 +23,8 @@ from .common import checkpoint
 WORDS = 4  # of 64 bits in a fingerprint
 MINIMA = 64 * WORDS
 TILE = 1024
-BLOCK = 8192  # texts that one task compares with each other at most
+BLOCK = 8192  # texts that one task compares with each other at once, about
+SAMPLED = 16  # one text in so many is counted to find large blocks; no block is left out by that
 COPIES = 100  # larger groups of equal texts are linked through their smallest id alone
 BATCH_CHARS = 600_000
 _SPACES = re.compile(r"\s+")
@@ -171,6 +172,9 @@ def _signed(rows: DataFrame, m: Measure) -> DataFrame:
                 part = texts[start:end]
                 prints, keys, count = signatures(part, m)
                 ok = np.flatnonzero(count > 0)
+                if not len(ok):
+                    start, size = end, 0
+                    continue
                 words = {f"f{w}": prints[ok, w].view(np.int64) for w in range(WORDS)}
                 yield pd.DataFrame({"id": ids[start:end][ok], "twin": [hashlib.blake2b(part[i].encode("utf-8", "replace"), digest_size=16).digest() for i in ok], **words, "bands": list(keys[ok].view(np.int64))})
                 start, size = end, 0
@@ -181,12 +185,13 @@ def _signed(rows: DataFrame, m: Measure) -> DataFrame:
 def _candidates(heads: DataFrame, m: Measure) -> DataFrame:
     """Distinct pairs (a < b) of hashed ids whose fingerprints are close in some block.
 
-    Blocks of more than BLOCK texts are split: their texts get a group by hash, and every pair of
+    Blocks of more than about BLOCK texts are split: their texts get a group by hash, and every pair of
     groups is a block of its own, so that no task holds an unbounded block and no pair is lost.
     """
     words = [f"f{w}" for w in range(WORDS)]
     spread = heads.select("rid", *words, F.explode("bands").alias("key"))
-    large = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("groups"))
+    some = spread.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLED)) == 0).groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("n"))
+    large = some.where(F.col("n") > BLOCK // 2).select("key", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("groups"))
     # at most bands * texts / BLOCK blocks are large
     own = F.pmod(F.xxhash64("rid"), F.col("groups")).cast("int")
     others = F.sequence(F.lit(0), F.col("groups") - 1)
@@ -248,7 +253,8 @@ def near_duplicates(rows: DataFrame, m: Measure, number_ids: bool = False) -> tu
                 total = len(x) + len(y) - common
                 if total and common >= m.threshold * total - 1e-9:
                     out.append((*((ia, ib) if (int(ia) < int(ib) if number_ids else ia < ib) else (ib, ia)), common / total))
-            yield pd.DataFrame(out, columns=["id_a", "id_b", "similarity"])
+            if out:
+                yield pd.DataFrame(out, columns=["id_a", "id_b", "similarity"])
 
     links = both.mapInPandas(measure, "id_a string, id_b string, similarity double")
     members = signed.select("twin", "id").distinct().join(classes.select("twin", F.col("h.id").alias("class_id"), "n"), "twin").select("class_id", "id", "n")

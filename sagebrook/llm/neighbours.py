@@ -23,9 +23,9 @@ PART = 2000  # vectors a part of a list, about
 PER_LIST = 200
 REPLICAS = 3
 REPLICA_RATIO = 1.12  # of squared distances, up to which a vector also goes on a further list
-QUERY_RATIO = 1.6
-LEAST_LISTS = 8
-QUERY_LISTS = 48
+QUERY_RATIO = 1.8
+LEAST_LISTS = 16
+QUERY_LISTS = 64
 DEGREE = 16
 BEAM = 64
 
@@ -125,7 +125,8 @@ def _units(rows: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             at, x = usable(b["vector"], size)
-            yield pd.DataFrame({"id": b["id"].to_numpy()[at], "unit": [v.tobytes() for v in x]})
+            if len(at):
+                yield pd.DataFrame({"id": b["id"].to_numpy()[at], "unit": [v.tobytes() for v in x]})
 
     return rows.where(F.col("id").isNotNull() & (F.size("vector") == size)).select("id", "vector").mapInPandas(run, "id string, unit binary")
 
@@ -159,6 +160,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, size: int = 64) ->
             spread = pd.util.hash_array(ids.astype(object)).astype(np.uint64)
             for at, lists in index.lists_of(_matrix(b["unit"], size)):
                 parts = index.parts[lists].astype(np.uint64)
+                if not len(at):
+                    continue
                 yield pd.DataFrame({"list": lists, "part": (spread[at] % parts).astype(np.int64), "id": ids[at], "unit": raw[at]})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,11 +169,13 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, size: int = 64) ->
             for i in range(0, len(b), 512):
                 c = b.iloc[i : i + 512]
                 out = [(int(x), p, key, raw) for key, raw, lists in zip(c["id"], c["unit"], index.select(_matrix(c["unit"], size))) for x in lists for p in range(int(index.parts[x]))]
-                yield pd.DataFrame(out, columns=["list", "part", "id", "unit"])
+                if out:
+                    yield pd.DataFrame(out, columns=["list", "part", "id", "unit"])
 
-    def compare(posted: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def compare(both: pd.DataFrame) -> pd.DataFrame:
+        posted, asked = both[~both["asked"]], both[both["asked"]]
         if not len(posted) or not len(asked):
-            return pd.DataFrame({"query_id": [], "neighbour_id": [], "similarity": []})
+            return pd.DataFrame({"query_id": [], "neighbour_id": [], "similarity": []}).astype({"query_id": object, "neighbour_id": object})
         x = _matrix(posted["unit"], size).astype(np.float64)
         ids, out = posted["id"].to_numpy(), []
         asked = asked.drop_duplicates("id")
@@ -186,9 +191,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, size: int = 64) ->
         done = pd.concat(out, ignore_index=True)
         return done[done["query_id"] != done["neighbour_id"]].drop_duplicates(["query_id", "neighbour_id"])
 
-    posted = units.mapInPandas(post, "list long, part long, id string, unit binary")
-    asked = _units(queries, size).mapInPandas(ask, "list long, part long, id string, unit binary")
-    found = posted.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInPandas(compare, schema)
+    posted = units.mapInPandas(post, "list long, part long, id string, unit binary").withColumn("asked", F.lit(False))
+    asked = _units(queries, size).mapInPandas(ask, "list long, part long, id string, unit binary").withColumn("asked", F.lit(True))
+    found = posted.unionByName(asked).groupBy("list", "part").applyInPandas(compare, schema)
     best = found.groupBy("query_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id")
     return best.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import BLANK_CHARS, latest
 from .conversations import plain_role, role_rank
 from .language import BATCH_CHARS, LANGUAGES, Coded, Profiles
-from .ordering import sequence_within, with_parts
+from ..operators.ordering import sequence_within, with_parts
 from .sentences import ABBREVIATIONS, BEFORE_NUMBER
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "wrong_language")
@@ -331,6 +331,7 @@ def defective_pairs(pairs: DataFrame, model: Classifier, prototypes: np.ndarray)
                         hits = [DEFECTS.index("empty")]
                     out += [(b["question_id"].iat[start + i], b["answer_id"].iat[start + i], DEFECTS[k], float(scores[k])) for k in hits]
                 start, size = end, 0
-            yield pd.DataFrame(out, columns=["question_id", "answer_id", "defect", "score"])
+            if out:
+                yield pd.DataFrame(out, columns=["question_id", "answer_id", "defect", "score"])
 
     return pairs.select("question_id", "answer_id", "question", "answer").mapInPandas(run, "question_id string, answer_id string, defect string, score double")

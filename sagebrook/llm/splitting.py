@@ -126,6 +126,8 @@ def split_oversized(chunks: DataFrame, limit: int, overlap: int) -> DataFrame:
                 offset = None if pd.isna(offset) else int(offset)
                 for k, (start, end, strength) in enumerate(split_text(text, limit, overlap)):
                     out.append((key, k + 1, text[start:end], None if offset is None else offset + start, None if offset is None else offset + end, section, _NAMES[PARAGRAPH - strength], kind))
+            if not out:
+                continue
             done = pd.DataFrame(out, columns=["chunk_id", "piece_no", "content", "char_offset_start", "char_offset_end", "section_path", "boundary", "cut_kind"])
             yield done.astype({"char_offset_start": "Int32", "char_offset_end": "Int32"})
 
