@@ -18,7 +18,7 @@ def reordered(reply: Column, n: Column) -> Column:
 def judged(reply: Column) -> Column:
     """The first number of a reply within 0 and 1; 0 without any."""
     number = F.nullif(F.regexp_extract(reply, "(\\d*\\.?\\d+)", 1), F.lit(""))
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number.cast("double"))), F.lit(0.0))
+    return F.when(number.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number.cast("double"))))  # least and greatest skip nulls
 
 
 def json_object(reply: Column) -> Column:

@@ -148,7 +148,7 @@ def rerank_reorder(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", _joined(F.slice(R.reordered(reply, F.lit(6)), 1, 4)).alias("places"))
 
 
-@query(r"""SELECT event_id, coalesce(greatest(0, least(1, nullif(regexp_extract(reply, '(\d*\.?\d+)', 1), '')::DOUBLE)), 0) AS score
+@query(r"""SELECT event_id, CASE WHEN regexp_extract(reply, '(\d*\.?\d+)', 1) = '' THEN 0 ELSE greatest(0, least(1, regexp_extract(reply, '(\d*\.?\d+)', 1)::DOUBLE)) END AS score
 FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'Score: 0.' || (event_id % 97) WHEN 1 THEN '.' || (event_id % 10) WHEN 2 THEN (event_id % 4) || '/10' WHEN 3 THEN 'none' ELSE 'about ' || value END AS reply FROM events)""")
 def judge_score_parse(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")

@@ -85,7 +85,7 @@ def corpus_totals(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").agg(F.countDistinct("document_id").alias("documents"), F.count(F.lit(1)).alias("chunks"), F.count_if(F.coalesce("contextual_content", F.lit("")) != "").alias("with_context"))
 
 
-@query(r"""SELECT doc_id, json_extract_string(metadata, '$.pageCount') AS page_count, substring(coalesce(json_extract_string(metadata, '$.error'), ''), 1, 200) AS error, CASE WHEN processed_at IS NOT NULL THEN epoch_ms(processed_at) - epoch_ms(created_at) END::VARCHAR AS duration_ms,
+@query(r"""SELECT doc_id, json_extract_string(metadata, '$.pageCount') AS page_count, substring(coalesce(json_extract_string(metadata, '$.error'), ''), 1, 200) AS error, (CASE WHEN processed_at IS NOT NULL THEN epoch_us(processed_at) // 1000 - epoch_us(created_at) // 1000 END)::VARCHAR AS duration_ms,
  strftime(created_at AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') AS created FROM documents WHERE metadata IS NULL OR json_valid(metadata)""")
 def status_metadata(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where(F.col("metadata").isNull() | F.try_parse_json("metadata").isNotNull())
