@@ -49,10 +49,10 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 0, key: str = "
     until the fraction's tokens are reached. Documents without tokens or of a source without a
     target are left out; their tokens count towards the size. Spellings of a source's name are
     made alike; null sources have no target. A target without documents gets nothing and its
-    share goes to the others. The report has a row for each target, with the shares reached.
+    share goes to the others; a null share or cap counts as 0, a null target source is left out. The report has a row for each target, with the shares reached.
     """
     sized = checkpoint(token_counts(docs.where(F.col(key).isNotNull()).select(key, plain_source(F.col("source")).alias("source"), "text"), [key, "source"], "text", tokenizer))
-    wanted = {r["source"]: (float(r["target_share"]), int(r["max_repeats"])) for r in targets.select(plain_source(F.col("source")).alias("source"), "target_share", "max_repeats").collect()}
+    wanted = {r["source"]: (float(r["target_share"] or 0), int(r["max_repeats"] or 0)) for r in targets.where(F.col("source").isNotNull()).select(plain_source(F.col("source")).alias("source"), "target_share", "max_repeats").collect()}
     have = {r["source"]: int(r["n"]) for r in sized.where(F.col("source").isin(*wanted)).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()} if wanted else {}
     total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
     amount = water_fill({s: w for s, (w, _) in wanted.items()}, {s: have.get(s, 0) * cap for s, (_, cap) in wanted.items()}, total)

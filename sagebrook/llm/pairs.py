@@ -256,6 +256,7 @@ def train_classifier(questions: list[str], answers: list[str], prototypes: np.nd
     """A classifier from pairs taken as sound; those it finds defective are left out before it is trained again."""
     profiles = Profiles(prototypes)
     model = Classifier()
+    model.dense[:, 0], model.dense[0, 1] = -10, 20  # knows blank answers alone until it has seen pairs
     keep = [i for i, a in enumerate(answers) if a.strip(BLANK_CHARS)]
     cos, _ = _whole([answers[i] for i in keep], profiles)
     names = [LANGUAGES[k] for k in cos.argmax(axis=1)] if len(keep) else []

@@ -120,12 +120,13 @@ def sentence_units(df: DataFrame, text: str = "content", keep: list[str] | None
     """One row for each sentence unit of each row: `keep`, unit_no (from 1), start_char, end_char, unit.
 
     Null, empty and blank texts give no rows. Rows are taken as they come: repeated rows give
-    repeated units. Columns named like the outputs are left out unless renamed beforehand.
+    repeated units. Columns named like the outputs, or like the columns used in between, are left out.
     Characters of the private-use block used for masks come out as U+FFFD in `unit`; positions
     are right all the same. Positions count code points from 0; end_char follows the last
     character that is not blank.
     """
-    keep = keep if keep is not None else [c for c in df.columns if c not in (text, "unit_no", "start_char", "end_char", "unit")]
+    taken = (text, "unit_no", "start_char", "end_char", "unit", "_text", "_m", "_pieces", "_lens", "_sums", "_starts", "_i", "_u")
+    keep = keep if keep is not None else [c for c in df.columns if c not in taken]
     base = with_pieces(df.where(~is_blank(F.col(text))).select(*keep, F.col(text).alias("_text")), "_text").drop("_text")
     lens = F.transform("_pieces", F.length)
     blocks = F.sequence(F.lit(0), F.floor((F.size("_lens") - 1) / _BLOCK).cast("int"))
