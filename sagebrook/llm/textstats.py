@@ -84,6 +84,12 @@ def table_rows(lines: list[str]) -> np.ndarray:
     return rows
 
 
+def _variety(words: list[str], window: int = 200) -> float:
+    """Share of distinct words, averaged over windows, so that it doesn't fall with a text's length."""
+    shares = [len(set(words[i : i + window])) / len(words[i : i + window]) for i in range(0, len(words), window)]
+    return sum(shares) / len(shares)
+
+
 def _coded(token: str) -> bool:
     """Whether a token is machine code such as base64 or a key, not a word of any script."""
     return len(token) >= 24 and token.isascii() and bool(_CODE.search(token)) and "://" not in token
@@ -95,7 +101,7 @@ def _junk(text: str, words: list[str], lines: list[str], symbol_ratio: float, le
         return True
     if len(text) > 120 and packed < 0.12:
         return True
-    if len(words) >= 12 and len(set(words)) < 0.12 * len(words):
+    if len(words) >= 12 and _variety(words) < 0.12:
         return True
     if len(words) >= 4 and sum(w in NAVIGATION_WORDS for w in words) > 0.4 * len(words):
         return True

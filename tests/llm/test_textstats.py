@@ -34,7 +34,7 @@ def test_features():
 
 
 def test_operator_edges(spark):
-    rows = [(i, t) for i, (t, _) in enumerate(KINDS)] + [(0, PROSE), (None, PROSE), (99, " ".join(f"The dose {i * 7919 % 4001} of the drug {i * 31 % 997} is not given." for i in range(9000)))]
+    rows = [(i, t) for i, (t, _) in enumerate(KINDS)] + [(0, PROSE), (None, PROSE), (99, " ".join(f"The dose {i * 7919 % 4001} of the {chr(97 + i % 26)}{chr(97 + i * 7 % 26)}x drug is not given to {chr(97 + i * 5 % 26)}{chr(97 + i * 3 % 23)}." for i in range(9000)))]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS text_kind", "1 AS n_chars")
     assert text_statistics(df).count() == len(rows)
     got = {(r["doc_id"], r["text_kind"]) for r in kinds_apart_from_prose(df).collect()}
