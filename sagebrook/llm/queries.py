@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
 from .common import latest, limits, table
 from .conversations import sound_conversations
 from .language import corrected_labels, fit, text_languages
@@ -150,4 +151,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": sql.P2_FOUND, "p5_found": sql.P5_FOUND, "p6_found": sql.P6_FOUND, "p7_found": sql.P7_FOUND}

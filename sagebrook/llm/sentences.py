@@ -20,6 +20,7 @@ ABBREVIATIONS = (
     "ca bzw Abschn evtl ggf inkl Mo Fr env ex sect apdo ej Sra Sto pág Mme Mlle Mon Tue Wed Thu Fri Sat Sun "
     "проф напр см рис тел гр стр доц"
 ).split()
+TITLES = "Prof Dr Dra Mr Mrs Ms Uzm Ecz Doç".split()
 # Abbreviations that count only before a number.
 BEFORE_NUMBER = "No Nr no nr sec rev fig Fig Figs Abb Tab Şek Sek pp Vol vol Art art Ch ch Sec Sect Kap cap núm п с гл табл Рис Табл n".split()
 # Abbreviations that may close a sentence; they do before a capital or a number.
@@ -38,7 +39,8 @@ _GAP = "[ \\t\u00a0]*\\n?[ \\t\u00a0]*"
 _TAIL = f"(?:{_GAP}\\[\\^\\d+\\]|{_GAP}[{_EMOJI}]+)*"
 _END = "[.!?…؟]"
 _CLOSE = "(?:[ \u00a0]?»|[\"”“’'」』）)\\]])"
-_LOWER = "(?!\\s+\\p{Ll}(?!\\p{Lu}))"
+_BLANK = "[\\s\u00a0\u200b\u202f\u3000]"
+_LOWER = f"(?!{_BLANK}+\\p{{Ll}}(?!\\p{{Lu}}))"
 
 SPANS = (
     "(“[^“”]*+”|„[^„“”]*+[“”]|«[^«»]*+»|「[^「」]*+」|『[^『』]*+』"
@@ -50,7 +52,8 @@ _HAS_SPAN = '["”“»」』]|://|www\\.|@'
 
 
 def _word(words: list[str]) -> str:
-    return "(?:" + "|".join(words) + ")"
+    """The words as given and in capitals, titles in small letters too."""
+    return "(?:" + "|".join(dict.fromkeys([*words, *(w.upper() for w in words if len(w) > 1), *(w.lower() for w in words if w in TITLES)])) + ")"
 
 
 MASKED_POINT = (
@@ -70,15 +73,16 @@ _LISTED = "\\n(?=[ \\t\u00a0]*(?:[-•*–‣▪]|\\d{1,3}[.)\ue000])[ \\t\u00a0
 _PARAGRAPH = "\\n(?=[ \\t\\r\u00a0\u200b]*\\n)"
 _SPACED = (
     # plain terminators; before a small letter too
-    f"{_END}++(?<!…|\\.\\.){_TAIL}(?:{_END}++{_TAIL})?(?=\\s|$)"
+    f"{_END}++(?<!…|\\.\\.){_TAIL}(?:{_END}++{_TAIL})?(?={_BLANK}|$)"
     # an ellipsis goes on before a small letter
-    f"|{_END}++(?<=…|\\.\\.){_TAIL}(?:{_END}++{_TAIL})?(?=\\s|$){_LOWER}"
+    f"|{_END}++(?<=…|\\.\\.){_TAIL}(?:{_END}++{_TAIL})?(?={_BLANK}|$){_LOWER}"
     # a quotation that ends in a point
-    f"|[.\ue010](?:[ \u00a0]?»|[\"”“]){_TAIL}(?=\\s|$)(?!\\s+{_word(AFTER_QUOTE)}\\b)"
+    f"|[.\ue010](?:[ \u00a0]?»|[\"”“]){_TAIL}(?={_BLANK}|$)(?!{_BLANK}+{_word(AFTER_QUOTE)}\\b)"
     # other closing marks
-    f"|[.!?…؟\ue010-\ue014]++{_CLOSE}++{_TAIL}(?=\\s|$){_LOWER}"
+    f"|[.!?…؟\ue010-\ue014]++{_CLOSE}++{_TAIL}(?={_BLANK}|$){_LOWER}"
     # a missing space before the next sentence
-    f"|{_END}++(?<=(?:[\\p{{Ll}}\\p{{N}})%/][\\p{{L}}\\p{{N}})%]|\\d\\])[.!?…؟]{{1,3}})(?=\\p{{Lu}}[\\p{{Ll}}\\s’']|[¿¡“«„])"
+    f"|{_END}++(?<=(?:[\\p{{Ll}}\\p{{N}})%/][\\p{{L}}\\p{{N}})%]|\\d\\])[.!?…؟]{{1,3}})(?=\\p{{Lu}}(?:[\\p{{Ll}}\\s’']|\\p{{Lu}}{{2}}|\\p{{Lu}}\\s)|[¿¡“«„])"
+    f"|{_END}++(?<=\\p{{L}}{{3}}[.!?…؟]{{1,3}})(?=\\p{{Lu}}\\p{{Ll}})"
     f"|{_END}++(?<=\\p{{Ll}}{{3}}[.!?…؟]{{1,3}})(?=\\p{{N}})"
     f"|{_END}++(?<=\\p{{IsArabic}}{{2}}[.!?…؟]{{1,3}})(?=\\p{{IsArabic}})"
     f"|[.!?…؟\ue010-\ue014]++{_CLOSE}*+(?:{_GAP}\\[\\^\\d+\\])++(?=\\p{{L}})"
