@@ -10,17 +10,22 @@ HOT_GROUPS = 2_000  # a group is hot if it holds more than this part of all rows
 PARTS = 64
 
 
-def with_parts(df: DataFrame, group: str, at: str) -> DataFrame:
+def text_place(text: Column) -> Column:
+    """A number that never falls as texts ascend: their first seven bytes."""
+    return F.conv(F.rpad(F.substring(F.hex(F.encode(F.substring(text, 1, 7), "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
+
+
+def with_parts(df: DataFrame, group: str, at: str | Column) -> DataFrame:
     """Adds `_part`: 0 for ordinary groups; hot groups are cut along `at` into up to PARTS parts.
 
-    Parts ascend with `at`, equal values share one and nulls come first. The cut points are
+    `at` is a timestamp column or a number. Parts ascend with it, equal values share one and nulls come first. The cut points are
     quantiles of each hot group, found with partial aggregation; at most HOT_GROUPS groups can
     be hot, so the table that is broadcast has at most HOT_GROUPS * PARTS numbers.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_total"))
     hot = sizes.join(F.broadcast(total), F.col("_n") > F.greatest(F.lit(HOT_ROWS), F.col("_total") / HOT_GROUPS)).select(group)
-    micros = F.unix_micros(F.col(at))
+    micros = F.unix_micros(F.col(at).cast("timestamp")) if isinstance(at, str) else at
     cuts = df.join(F.broadcast(hot), group).groupBy(group).agg(F.percentile_approx(micros, [k / PARTS for k in range(1, PARTS)], 1000).alias("_cuts"))
     part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < micros)), F.lit(0))
     return df.join(F.broadcast(cuts), group, "left").withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_cuts")
@@ -51,3 +56,12 @@ def sequence_within(df: DataFrame, group: str, order: list[Column], last: str, c
         .withColumn("_last", F.col("_final") & (F.col("_at") == F.col("_size")))
         .drop("_at", "_prev", "_shift", "_carried", "_final", "_size")
     )
+
+
+def running_sum(df: DataFrame, group: str, order: list[Column], value: str, name: str) -> DataFrame:
+    """For a result of with_parts: adds the sum of `value` over the group up to and with each row, parts summed by themselves first."""
+    own = Window.partitionBy(group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = df.groupBy(group, "_part").agg(F.sum(value).alias("_held"))
+    along = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(group, "_part", F.coalesce(F.sum("_held").over(along), F.lit(0)).alias("_passed"))
+    return df.withColumn("_own", F.sum(value).over(own)).join(before, [group, "_part"]).withColumn(name, F.col("_own") + F.col("_passed")).drop("_own", "_passed")

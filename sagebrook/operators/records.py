@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, collapsed, without_tags
+from .ordering import running_sum, sequence_within, with_parts
 
 LABEL_FIELDS = ("indications_and_usage", "dosage_and_administration", "contraindications", "warnings", "adverse_reactions", "drug_interactions", "use_in_specific_populations", "overdosage")
 SECTION_MOST, SECTION_LEAST, ABSTRACT_LEAST = 3000, 40, 40
@@ -74,10 +75,14 @@ def block_offsets(rows: DataFrame, key: str, blocks: str) -> DataFrame:
 
 
 def grouped_lines(items: DataFrame, group: str, order: list[str], y: str, text: str, gap: float = 2.0) -> DataFrame:
-    """group, line_no, text: items whose y differs from the item before by more than `gap` begin a new line; blank lines are dropped."""
-    along = Window.partitionBy(group).orderBy(*order)
-    fresh = F.when(F.abs(F.col(y) - F.lag(y).over(along)) > gap, 1).otherwise(0)
-    lined = items.withColumn("_new", fresh).withColumn("line_no", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    """group, line_no, text: items whose y differs from the item before by more than `gap` begin a new line; blank lines are dropped.
+
+    `order` begins with a timestamp. Hot groups are numbered in parts, see ordering.
+    """
+    columns = [F.col(c) for c in order]
+    placed = sequence_within(with_parts(items, group, order[0]), group, columns, y)
+    marked = placed.withColumn("_new", F.when(F.abs(F.col(y) - F.col("_before")) > gap, 1).otherwise(0))
+    lined = running_sum(marked, group, columns, "_new", "line_no")
     pieces = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(text).alias("_x")))), lambda s: s["_x"])
     out = lined.groupBy(group, "line_no").agg(F.array_join(pieces, "").alias("text"))
     return out.where(F.length(F.regexp_replace("text", f"{WS}+", "")) > 0)

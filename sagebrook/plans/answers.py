@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import citations as C
 from ..functions import replies as R
 from ..functions import text as T
-from ..operators.ordering import sequence_within, with_parts
+from ..operators.ordering import sequence_within, text_place, with_parts
 from ..operators.tables import latest_state
 from ..session import table
 from .registry import query
@@ -190,11 +190,9 @@ def context_block(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"""SELECT id, row_number() OVER (PARTITION BY document_id ORDER BY id)::INT AS n, document_id, coalesce(page_number, 0) AS page_number, section_path, substring(content, 1, 240) AS preview FROM (SELECT DISTINCT id, document_id, content, page_number, section_path FROM chunks)""")
 def citation_projection(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = table(spark, d, "chunks").select("id", "document_id", "content", "page_number", "section_path").distinct()
-    n = F.row_number().over(Window.partitionBy("document_id").orderBy("id"))
-    return rows.select("id", n.alias("n"), "document_id", F.coalesce("page_number", F.lit(0)).alias("page_number"), "section_path", T.prefix(F.col("content"), 240).alias("preview"))
+    rows = sequence_within(with_parts(rows, "document_id", text_place(F.col("id"))), "document_id", [F.col("id")], "id", "n")
+    return rows.select("id", "n", "document_id", F.coalesce("page_number", F.lit(0)).alias("page_number"), "section_path", T.prefix(F.col("content"), 240).alias("preview"))
 
 
 @query(rf"""SELECT id, CASE WHEN regexp_matches(content, '[şğüöçŞĞÜÖÇ]') OR (content <> '' AND length(regexp_replace(content, '[^çğıöşüÇĞİÖŞÜ]', '', 'g')) / length(content)::DOUBLE > 0.01) THEN 'SORU: ' || content || chr(10) || 'Yalnız kaynaklara dayan.' ELSE 'QUESTION: ' || content || chr(10) || 'Use the sources only.' END AS prompt FROM {_M}""")

@@ -18,3 +18,16 @@ def test_hot_groups_are_cut_and_joined_again(spark, monkeypatch):
         assert [r["_no"] for r in mine] == list(range(1, len(want) + 1))
         assert [r["_before"] for r in mine] == [None, *[r[2] for r in want[:-1]]]
         assert [r["_last"] for r in mine] == [False] * (len(want) - 1) + [True]
+
+
+def test_text_order_and_running_sums(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "HOT_ROWS", 20)
+    rows = [("g", f"{i * 7919 % 1000:03}é", i % 3) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, id string, v long")
+    parts = ordering.with_parts(df, "g", ordering.text_place(F.col("id")))
+    assert parts.select("_part").distinct().count() > 5
+    got = ordering.running_sum(parts, "g", [F.col("id")], "v", "s").orderBy("id").collect()
+    total = 0
+    for r, (_, i, v) in zip(got, sorted(rows, key=lambda r: r[1])):
+        total += v
+        assert (r["id"], r["s"]) == (i, total)
