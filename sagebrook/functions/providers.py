@@ -77,3 +77,18 @@ def embedded(rows: DataFrame, key: str, text: str, provider: Callable[[list[str]
                 yield pd.DataFrame({key: b[key].to_numpy(), "embedding": out})
 
     return rows.selectExpr(f"`{key}`", f"`{text}` AS _text").mapInPandas(run, f"`{key}` {kind}, embedding array<float>")
+
+
+def called(rows: DataFrame, key: str, text: str, call: Callable[[str], str], at_once: int = 4) -> DataFrame:
+    """key and reply of a slow call for each row, `at_once` of them at a time in each worker. Null texts count as empty."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                if len(b):
+                    yield pd.DataFrame({key: b[key].to_numpy(), "reply": list(pool.map(call, [t or "" for t in b["_text"]]))})
+
+    return rows.selectExpr(f"`{key}`", f"`{text}` AS _text").mapInPandas(run, f"`{key}` {kind}, reply string")

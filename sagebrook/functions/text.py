@@ -65,7 +65,7 @@ def packing_sentences(x: Column) -> Column:
 
 def is_section_heading(x: Column) -> Column:
     """Short, and either numbered with a capital or a capital followed by at most sixty characters without . ! ?"""
-    numbered = x.rlike(f"^\\d+(?:\\.\\d+)*\\.?{WS}+[A-Z]")
+    numbered = x.rlike(f"^[\\d.]+{WS}+[A-Z]")
     titled = x.rlike("^[A-ZÇĞİÖŞÜ][^.!?]{0,60}\\z")
     return (F.length(x) < 80) & (numbered | titled)
 
@@ -107,16 +107,16 @@ def listed_bytes(n: Column) -> Column:
     return F.when(n.isNull() | (n <= 0), "0 B").otherwise(out)
 
 
-def elapsed(now: Column, then: Column, tr: bool = False) -> Column:
+# How gone-by time is shown.
+JUST_NOW, MINUTES, HOURS, DAYS = "az önce", " dk önce", " sa önce", " gün önce"
+
+
+def elapsed(now: Column, then: Column) -> Column:
     """Time gone by as minutes, hours or days, rounded down."""
-    minutes = F.floor((F.unix_seconds(now) - F.unix_seconds(then)) / 60)
+    minutes = F.floor((F.unix_millis(now) - F.unix_millis(then)) / 60_000)
     return (
-        F.when(minutes < 1, "just now")
-        .when(minutes < 60, F.concat(minutes.cast("string"), F.lit(" min")))
-        .when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit(" h")))
-        .otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit(" d")))
+        F.when(minutes < 1, JUST_NOW)
+        .when(minutes < 60, F.concat(minutes.cast("string"), F.lit(MINUTES)))
+        .when(minutes < 1440, F.concat(F.floor(minutes / 60).cast("string"), F.lit(HOURS)))
+        .otherwise(F.concat(F.floor(minutes / 1440).cast("string"), F.lit(DAYS)))
     )
-
-
-def source_label(title: Column, page: Column, section: Column) -> Column:
-    return F.concat(title, F.when(page > 0, F.concat(F.lit(", page "), page.cast("string"))).otherwise(""), F.when(F.coalesce(section, F.lit("")) != "", F.concat(F.lit(", "), section)).otherwise(""))

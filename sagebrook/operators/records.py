@@ -9,6 +9,8 @@ from ..functions.text import WS, collapsed, without_tags
 from .ordering import running_sum, sequence_within, with_parts
 
 LABEL_FIELDS = ("indications_and_usage", "dosage_and_administration", "contraindications", "warnings", "adverse_reactions", "drug_interactions", "use_in_specific_populations", "overdosage")
+# Addresses of papers, and the source where a record names none.
+DOI, PUBMED, ARTICLE, SOURCE = "https://doi.org/", "https://pubmed.ncbi.nlm.nih.gov/", "https://europepmc.org/article/", "MED"
 SECTION_MOST, SECTION_LEAST, ABSTRACT_LEAST = 3000, 40, 40
 
 
@@ -39,8 +41,9 @@ def mapped_papers(rows: DataFrame) -> DataFrame:
     Tags and superfluous blanks go; papers without a title or with a short abstract are left out.
     """
     given = lambda c: F.nullif(F.col(c), F.lit(""))
-    named = F.coalesce(given("doi"), given("pmid"), F.concat_ws(":", F.col("source"), F.col("id")))
-    url = F.coalesce(F.concat(F.lit("https://doi.org/"), given("doi")), F.concat(F.lit("https://pubmed.example/"), given("pmid"), F.lit("/")), F.concat(F.lit("https://literature.example/article/"), F.col("source"), F.lit("/"), F.col("id")))
+    source = F.coalesce("source", F.lit(SOURCE))
+    named = F.coalesce(given("doi"), given("pmid"), F.concat(source, F.lit(":"), F.coalesce("id", F.substring(without_tags(F.col("title")), 1, 24))))
+    url = F.coalesce(F.concat(F.lit(DOI), given("doi")), F.concat(F.lit(PUBMED), given("pmid"), F.lit("/")), F.concat(F.lit(ARTICLE), source, F.lit("/"), F.coalesce("id", F.lit(""))))
     out = rows.select("*", without_tags(F.col("title")).alias("_t"), without_tags(F.col("abstract")).alias("_a"))
     kept = out.where((F.col("_t") != "") & (F.length("_a") >= ABSTRACT_LEAST))
     return kept.select(named.alias("paper_id"), F.col("_t").alias("title"), F.col("_a").alias("abstract"), "journal", "year", url.alias("url"), "doi", "pmid", "position")

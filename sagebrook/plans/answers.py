@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import citations as C
+from ..functions import formats as FM
 from ..functions import replies as R
 from ..functions import text as T
 from ..operators.ordering import sequence_within, text_place, with_parts
@@ -79,11 +80,12 @@ def citation_coverage(spark: SparkSession, d: str) -> DataFrame:
     return v.groupBy("total").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.col("total") - F.col("uncited")).alias("covered"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
 
 
-@query(f"""SELECT id, concat_ws(' · ', CASE WHEN ok THEN 'verified' ELSE 'check' END, round(coverage * 100)::BIGINT || ' % covered', CASE WHEN uncited > 0 THEN uncited || ' uncited' END) AS label FROM ({_validated(0.6)})""")
+@query(f"""SELECT id, CASE WHEN ok THEN v || ' citations verified · ' || round(coverage * 100)::BIGINT || '% coverage' ELSE 'Check: ' || concat_ws(' · ', CASE WHEN i > 0 THEN i || ' invalid citation' || CASE WHEN i > 1 THEN 's' ELSE '' END || ' (^' || bad || ')' END,
+ CASE WHEN uncited > 0 THEN uncited || ' uncited sentence' || CASE WHEN uncited > 1 THEN 's' ELSE '' END END, CASE WHEN v = 0 THEN 'no valid citations' END) END AS label
+FROM ({_validated(0.6)}) JOIN (SELECT id AS k, len(list_filter(n, lambda x: x BETWEEN 1 AND 3)) AS v, len(list_filter(n, lambda x: x < 1 OR x > 3)) AS i, array_to_string(list_filter(n, lambda x: x < 1 OR x > 3), ', ^') AS bad FROM (SELECT id, list_sort(list_distinct({_NUMS})) AS n FROM {_M})) ON k = id""")
 def citation_badge_label(spark: SparkSession, d: str) -> DataFrame:
-    v = _validate(spark, d, 0.6)
-    covered = F.concat(F.round(F.col("coverage") * 100).cast("long").cast("string"), F.lit(" % covered"))
-    return v.select("id", F.concat_ws(" · ", F.when(F.col("ok"), "verified").otherwise("check"), covered, F.when(F.col("uncited") > 0, F.concat(F.col("uncited").cast("string"), F.lit(" uncited")))).alias("label"))
+    v = C.validation(F.col("content"), F.lit(3), 0.6)
+    return _messages(spark, d).select("id", v.alias("v")).select("id", FM.validation_label(F.col("v")).alias("label"))
 
 
 @query(rf"""SELECT id, array_to_string(list_filter(string_split(regexp_replace(content, '(\[\^\d+\])', chr(1) || '\1' || chr(1), 'g'), chr(1)), lambda x: length(x) > 0), '¦') AS parts FROM {_M}""")
@@ -171,21 +173,26 @@ def evidence_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", R.field(reply, "k", "not stated").alias("k"), R.field(reply, "design", "unknown study").alias("design"))
 
 
-@query(r"""SELECT document_id, string_agg('[' || n || '] ' || label || chr(10) || content, chr(10) || '---' || chr(10) ORDER BY n) AS context FROM
- (SELECT document_id, content, row_number() OVER (PARTITION BY document_id ORDER BY c.id) AS n, coalesce(d.title, 'Untitled') || CASE WHEN page_number > 0 THEN ', page ' || page_number ELSE '' END || CASE WHEN coalesce(section_path, '') <> '' THEN ', ' || section_path ELSE '' END AS label
- FROM (SELECT DISTINCT id, document_id, content, page_number, section_path FROM chunks) c JOIN documents d ON d.id = c.document_id) WHERE n <= 4 GROUP BY document_id""")
+_CONTEXT = rf"""SELECT document_id, string_agg('## Kaynak [^' || n || '] — ' || label || chr(10) || regexp_replace(content, {_TRIM}), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context,
+ string_agg('Source [' || n || '] (' || title || CASE WHEN coalesce(section_path, '') <> '' THEN ', ' || section_path ELSE '' END || '):' || chr(10) || substring(content, 1, 600), chr(10) || chr(10) ORDER BY n) AS judged FROM
+ (SELECT document_id, content, section_path, coalesce(d.title, 'Untitled') AS title, row_number() OVER (PARTITION BY document_id ORDER BY c.id) AS n, coalesce(d.title, 'Untitled') || CASE WHEN coalesce(page_number, 0) <> 0 THEN ', sayfa ' || page_number ELSE '' END || CASE WHEN coalesce(section_path, '') <> '' THEN ', ' || section_path ELSE '' END AS label
+ FROM (SELECT DISTINCT id, document_id, content, page_number, section_path FROM chunks) c JOIN documents d ON d.id = c.document_id) WHERE n <= 4 GROUP BY document_id"""
+
+
+@query(_CONTEXT)
 def context_block(spark: SparkSession, d: str) -> DataFrame:
-    """Numbered sources of each document, the first four of its chunks by id."""
+    """Numbered sources of each document, the first four of its chunks by id, as a model and as a judge see them."""
     from pyspark.sql import Window
 
     chunks = table(spark, d, "chunks").select("id", "document_id", "content", "page_number", "section_path").distinct()
     own = Window.partitionBy("document_id").orderBy("id")
-    few = chunks.withColumn("n", F.row_number().over(own)).where("n <= 4")
-    rows = few.join(table(spark, d, "documents").select(F.col("id").alias("document_id"), "title"), "document_id")
-    label = T.source_label(F.coalesce("title", F.lit("Untitled")), F.col("page_number"), F.col("section_path"))
-    entry = F.concat(F.lit("["), F.col("n").cast("string"), F.lit("] "), label, F.lit("\n"), F.col("content"))
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("n", entry.alias("e")))), lambda s: s["e"])
-    return rows.groupBy("document_id").agg(F.array_join(lines, "\n---\n").alias("context"))
+    few = chunks.withColumn("n", F.row_number().over(own)).where("n <= 4")  # cut before the shuffle
+    rows = few.join(table(spark, d, "documents").select(F.col("id").alias("document_id"), F.coalesce("title", F.lit("Untitled")).alias("title")), "document_id")
+    block = FM.source_block(F.col("n"), FM.source_label(F.col("title"), F.col("page_number"), F.col("section_path")), F.col("content"))
+    judged = FM.judge_block(F.col("n"), F.col("title"), F.col("section_path"), F.col("content"))
+    held = F.array_sort(F.collect_list(F.struct("n", block.alias("b"), judged.alias("j"))))
+    joined = lambda name, separator: F.array_join(F.transform("_held", lambda s: s[name]), separator)
+    return rows.groupBy("document_id").agg(held.alias("_held")).select("document_id", joined("b", FM.SOURCE_SEPARATOR).alias("context"), joined("j", "\n\n").alias("judged"))
 
 
 @query(r"""SELECT id, row_number() OVER (PARTITION BY document_id ORDER BY id)::INT AS n, document_id, coalesce(page_number, 0) AS page_number, section_path, substring(content, 1, 240) AS preview FROM (SELECT DISTINCT id, document_id, content, page_number, section_path FROM chunks)""")
@@ -195,18 +202,38 @@ def citation_projection(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", "n", "document_id", F.coalesce("page_number", F.lit(0)).alias("page_number"), "section_path", T.prefix(F.col("content"), 240).alias("preview"))
 
 
-@query(rf"""SELECT id, CASE WHEN regexp_matches(content, '[şğüöçŞĞÜÖÇ]') OR (content <> '' AND length(regexp_replace(content, '[^çğıöşüÇĞİÖŞÜ]', '', 'g')) / length(content)::DOUBLE > 0.01) THEN 'SORU: ' || content || chr(10) || 'Yalnız kaynaklara dayan.' ELSE 'QUESTION: ' || content || chr(10) || 'Use the sources only.' END AS prompt FROM {_M}""")
+_TR = "(regexp_matches(content, '[şğüöçŞĞÜÖÇ]') OR (content <> '' AND length(regexp_replace(content, '[^çğıöşüÇĞİÖŞÜ]', '', 'g')) / length(content)::DOUBLE > 0.01))"
+
+
+def _prompt_sql(lang: str) -> str:
+    intro, sources, head = FM.PROMPT_PARTS[lang]
+    return f"'{intro}' || repeat(chr(10), 2) || '{sources}' || repeat(chr(10), 2) || '{FM.NO_CONTEXT}' || repeat(chr(10), 2) || '{head}' || repeat(chr(10), 2) || content"
+
+
+@query(f"SELECT id, CASE WHEN {_TR} THEN {_prompt_sql('tr')} ELSE {_prompt_sql('en')} END AS prompt FROM {_M}")
 def user_prompt(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("content")
-    tr, en = F.concat(F.lit("SORU: "), x, F.lit("\nYalnız kaynaklara dayan.")), F.concat(F.lit("QUESTION: "), x, F.lit("\nUse the sources only."))
-    return _messages(spark, d).select("id", F.when(T.query_language(x) == "tr", tr).otherwise(en).alias("prompt"))
+    return _messages(spark, d).select("id", FM.user_prompt(x, F.lit(None).cast("string"), T.query_language(x)).alias("prompt"))
 
 
-@query(r"""SELECT doc_id, concat_ws(chr(10), 'Title: ' || coalesce(title, 'not stated'), 'Population: not stated', 'Findings: ' || substring(coalesce(text, ''), 1, 200), CASE WHEN coalesce(source, '') <> '' THEN 'Flags: ' || source END) AS prompt FROM documents""")
+@query(r"""SELECT doc_id, concat_ws(chr(10), '### Makale [^1] — ' || coalesce(title, '') || CASE WHEN coalesce(document_type, '') <> '' THEN ' (' || document_type || ')' ELSE '' END, '- Study type: bilinmiyor', '- Population (P): belirtilmemiş', '- Intervention (I): belirtilmemiş', '- Comparison (C): belirtilmemiş', '- Outcome (O): belirtilmemiş', '- Sample size: belirtilmemiş',
+ '- Key finding: ' || substring(coalesce(text, ''), 1, 200), '- Evidence: "' || substring(coalesce(text, ''), 1, 160) || '"', CASE WHEN source IS NOT NULL THEN '- Quality flags: ' || source || ', ' || coalesce(lang, 'none') END) AS prompt FROM documents""")
 def synthesis_prompt(spark: SparkSession, d: str) -> DataFrame:
-    """Evidence lines of a paper whose reply could not be read: defaults and the start of its text."""
-    lines = (F.concat(F.lit("Title: "), F.coalesce("title", F.lit("not stated"))), F.lit("Population: not stated"), F.concat(F.lit("Findings: "), T.prefix(F.coalesce("text", F.lit("")), 200)), F.when(F.coalesce("source", F.lit("")) != "", F.concat(F.lit("Flags: "), F.col("source"))))
-    return table(spark, d, "documents").select("doc_id", F.concat_ws("\n", *lines).alias("prompt"))
+    """The entry of a paper whose reply could not be read: defaults and the start of its text."""
+    text = F.coalesce("text", F.lit(""))
+    flags = F.when(F.col("source").isNotNull(), F.array("source", F.coalesce("lang", F.lit("none")))).otherwise(F.array().cast("array<string>"))
+    entry = FM.evidence_block(F.lit(1), F.coalesce("title", F.lit("")), F.col("document_type"), FM.fallback_evidence(text), flags)
+    return table(spark, d, "documents").select("doc_id", entry.alias("prompt"))
+
+
+@query(r"""SELECT event_id, coalesce(g AND c BETWEEN 0 AND 1, false) AS detected, coalesce(g AND c BETWEEN 0 AND 1 AND c >= 0.7, false) AS shown
+FROM (SELECT event_id, event_id % 3 = 0 AS g, CASE WHEN event_id % 5 = 4 THEN NULL ELSE (event_id % 12) / 10.0::DOUBLE END AS c FROM events)""")
+def off_label_gate(spark: SparkSession, d: str) -> DataFrame:
+    """JSON replies of a judge: out-of-range and unreadable ones detect nothing."""
+    e = F.col("event_id")
+    reply = F.when(e % 5 == 4, "no object").otherwise(F.to_json(F.struct((e % 3 == 0).alias("detected"), ((e % 12) / 10).alias("confidence"))))
+    rows = table(spark, d, "events").select("event_id", FM.risk(reply).alias("r"))
+    return rows.select("event_id", "r.detected", (F.col("r.detected") & (F.col("r.confidence") >= 0.7)).alias("shown"))
 
 
 @query(r"""SELECT doc_id, CASE WHEN document_type IS NOT NULL AND document_type <> 'unknown study' THEN document_type END AS design, array_to_string(list_slice(string_split(coalesce(title, ''), ' '), 1, 3), '|') AS tags FROM documents""")

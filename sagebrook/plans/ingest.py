@@ -30,7 +30,7 @@ def paragraph_offsets(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("block_no").cast("long").alias("block_no"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-_HEAD = rf"(length(text) < 80 AND (regexp_matches(text, '^\d+(\.\d+)*\.?{WS}+[A-Z]') OR regexp_full_match(text, '[A-ZÇĞİÖŞÜ][^.!?]{{0,60}}')))"
+_HEAD = rf"(length(text) < 80 AND (regexp_matches(text, '^[\d.]+{WS}+[A-Z]') OR regexp_full_match(text, '[A-ZÇĞİÖŞÜ][^.!?]{{0,60}}')))"
 
 
 @query(f"""SELECT doc_id, block_no::BIGINT AS block_no, heading, last_value(CASE WHEN heading THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_no ROWS UNBOUNDED PRECEDING) AS section FROM (SELECT *, {_HEAD} AS heading FROM {_FLAT})""")
@@ -119,7 +119,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
 
 _CLEAN = rf"regexp_replace(regexp_replace(regexp_replace(coalesce(COL, ''), '<[^>]+>', '', 'g'), '{WS}+', ' ', 'g'), {_TRIM})"
 _PAPERS = f"""(SELECT coalesce(nullif(doi, ''), nullif(pmid, ''), source || ':' || id) AS paper_id, t AS title, a AS abstract, journal, year, doi, pmid, position,
- CASE WHEN coalesce(doi, '') <> '' THEN 'https://doi.org/' || doi WHEN pmid <> '' THEN 'https://pubmed.example/' || pmid || '/' ELSE 'https://literature.example/article/' || source || '/' || id END AS url
+ CASE WHEN coalesce(doi, '') <> '' THEN 'https://doi.org/' || doi WHEN pmid <> '' THEN 'https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/' ELSE 'https://europepmc.org/article/' || source || '/' || id END AS url
  FROM (SELECT *, {_CLEAN.replace("COL", "title")} AS t, {_CLEAN.replace("COL", "abstract")} AS a FROM {_REC}) WHERE t <> '' AND length(a) >= 40)"""
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.formats import NO_SOURCES, no_sources
+from ..functions.text import query_language
 from ..operators import retrieval as R
 from ..operators.tables import latest_state
 from ..session import table
@@ -146,10 +148,14 @@ def rerank_noop_small(spark: SparkSession, d: str) -> DataFrame:
     return _shown(_hybrid(spark, d).limit(10))
 
 
-@query(f"""SELECT q.id AS query_id, CASE WHEN q.content LIKE '%?%' THEN 'No source answers this question.' ELSE 'No sources found.' END AS message FROM (SELECT DISTINCT id, content FROM messages WHERE content IS NOT NULL) q
- WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT content FROM chunks) c WHERE c.content = q.content)""")
+def _said(lang: str) -> str:
+    return "'" + NO_SOURCES[lang, "documents"].replace("'", "''") + "'"
+
+
+@query(f"""SELECT q.id AS query_id, CASE WHEN regexp_matches(content, '[şğüöçŞĞÜÖÇ]') OR (content <> '' AND length(regexp_replace(content, '[^çğıöşüÇĞİÖŞÜ]', '', 'g')) / length(content)::DOUBLE > 0.01) THEN {_said("tr")} ELSE {_said("en")} END AS message
+ FROM (SELECT DISTINCT id, content FROM messages WHERE content IS NOT NULL) q WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT content FROM chunks) c WHERE c.content = q.content)""")
 def zero_source_guard(spark: SparkSession, d: str) -> DataFrame:
-    """Questions without any candidate get a fixed message; here a candidate is a chunk of the same text."""
+    """Questions without any candidate get a fixed message and reach no model; here a candidate is a chunk of the same text."""
     asked = table(spark, d, "messages").where(F.col("content").isNotNull()).select(F.col("id").alias("query_id"), "content").distinct()
     left = asked.join(table(spark, d, "chunks").select("content").distinct(), "content", "left_anti")
-    return left.select("query_id", F.when(F.col("content").contains("?"), "No source answers this question.").otherwise("No sources found.").alias("message"))
+    return left.select("query_id", no_sources(query_language(F.col("content"))).alias("message"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.citations import validation
-from ..functions.providers import embedded, first_that_works, hash_provider
+from ..functions.providers import called, embedded, first_that_works, hash_provider
 from ..session import scratch, table
 from ..sources import readers
 from ..streaming import streams as S
@@ -87,6 +87,23 @@ def json_sources(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(readers.QUESTIONS).json(folder)
 
 
+@query("SELECT event_type AS id, coalesce(round(avg(value), 3), 0) AS score, count(*)::BIGINT AS n FROM events GROUP BY event_type")
+def eval_report(spark: SparkSession, d: str) -> DataFrame:
+    """Means of judged scores, written as a JSON report and read again."""
+    folder = scratch(spark, "report")
+    rows = table(spark, d, "events").groupBy(F.col("event_type").alias("id")).agg(F.coalesce(F.round(F.avg("value"), 3), F.lit(0.0)).alias("score"), F.count(F.lit(1)).alias("n"))
+    rows.groupBy().agg(F.current_timestamp().alias("generated_at"), F.collect_list(F.struct("id", "score", "n")).alias("rows")).write.json(folder)  # a row for each kind of event
+    report = spark.read.schema("generated_at timestamp, rows array<struct<id:string,score:double,n:long>>").json(folder)
+    return report.select(F.explode("rows").alias("r")).select("r.*")
+
+
+@query("SELECT doc_id::VARCHAR AS id, CASE WHEN length(coalesce(title, '')) < 20 THEN 'short' ELSE 'long' END AS kind FROM documents")
+def concurrent_calls(spark: SparkSession, d: str) -> DataFrame:
+    """A slow call for each row, four at a time in each worker; results carry their keys and need no order."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.coalesce("title", F.lit("")).alias("title"))
+    return called(rows, "id", "title", lambda t: "short" if len(t) < 20 else "long", 4).withColumnRenamed("reply", "kind")
+
+
 @query()
 def offline_embed(spark: SparkSession, d: str) -> DataFrame:
     return embedded(table(spark, d, "documents"), "doc_id", "title")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.formats import power_bytes
 from ..session import table
 from .registry import query
 
@@ -57,8 +58,8 @@ def format_bytes(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.listed_bytes(F.col("file_size_bytes")).alias("shown"))
 
 
-@query(r"""SELECT event_id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || ' min' WHEN m < 1440 THEN (m // 60) || ' h' ELSE (m // 1440) || ' d' END AS shown
-FROM (SELECT event_id, (epoch(TIMESTAMP '2024-02-01 00:00:00')::BIGINT - floor(epoch(ts))::BIGINT) // 60 AS m FROM events)""")
+@query(r"""SELECT event_id, CASE WHEN m < 1 THEN 'az önce' WHEN m < 60 THEN m || ' dk önce' WHEN m < 1440 THEN (m // 60) || ' sa önce' ELSE (m // 1440) || ' gün önce' END AS shown
+FROM (SELECT event_id, (epoch_us(TIMESTAMP '2024-02-01 00:00:00') // 1000 - epoch_us(ts) // 1000) // 60000 AS m FROM events)""")
 def relative_time(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", T.elapsed(F.lit("2024-02-01 00:00:00").cast("timestamp"), F.col("ts").cast("timestamp")).alias("shown"))
 
@@ -75,6 +76,12 @@ def display_timezone(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.date_format(F.from_utc_timestamp("ts", "Europe/Istanbul"), "yyyy-MM-dd HH:mm:ss").alias("shown"))
 
 
+@query(r"""SELECT doc_id, CASE WHEN n = 0 THEN '0 B' ELSE regexp_replace(regexp_replace(printf('%.2f', round(n / power(1024.0::DOUBLE, p), 2)), '(\.\d*?)0+$', '\1'), '\.$', '') || ' ' || coalesce(['B', 'KB', 'MB', 'GB'][p + 1], 'undefined') END AS shown
+FROM (SELECT doc_id, file_size_bytes AS n, floor(ln(file_size_bytes::DOUBLE) / ln(1024.0::DOUBLE) + 1e-12)::INT AS p FROM documents WHERE file_size_bytes > 0)""")
+def format_bytes_powers(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("file_size_bytes > 0").select("doc_id", power_bytes(F.col("file_size_bytes")).alias("shown"))
+
+
 _SPLIT = rf"string_split(regexp_replace(text, '([.!?]){WS}+([A-ZÇĞİÖŞÜ])', '\1' || chr(1) || '\2', 'g'), chr(1))"
 
 
