@@ -77,6 +77,12 @@ def analyzed(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.translate(text, "Iİ", "ıi")), "[^\\p{L}\\p{M}\\p{N}]+"), lambda t: F.length(t) > 0)
 
 
+def light_stem(term: Column) -> Column:
+    """A Turkish term without a case ending and then without plural or possessive, if three letters stay. An own rule, not Snowball's."""
+    bare = F.regexp_replace(F.regexp_replace(term, "(?:nd[ae]n?|[dt][ae]n?|n[ıiuü]n|[ıiuü]n|yl[ae]|l[ae])\\z", ""), "(?:l[ae]r[ıiuü]?|s[ıiuü])\\z", "")
+    return F.when(F.length(bare) >= 3, bare).otherwise(term)
+
+
 def postings(rows: DataFrame, key: str = "id", text: str = "content", stop_words: list[str] | None = None) -> DataFrame:
     """key, term, position (from 0, counting stop words) of every term of every text."""
     out = rows.select(key, F.posexplode(analyzed(F.col(text))).alias("position", "term"))

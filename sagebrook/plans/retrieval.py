@@ -15,29 +15,31 @@ from .registry import query
 _SIM = "list_dot_product(e.embedding::DOUBLE[], q.v) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.v, q.v)))"
 
 
-def _query_vectors(spark: SparkSession, d: str, most: int) -> list[tuple]:
-    """The stated query set: the vectors of the smallest ids."""
-    rows = table(spark, d, "embeddings").orderBy("vec_id").limit(most).collect()
-    return [(r["vec_id"], r["embedding"]) for r in rows]
+def _one_vector(spark: SparkSession, d: str) -> list[float]:
+    """The vector that is asked about: the one with the smallest id."""
+    return table(spark, d, "embeddings").orderBy("vec_id").select("embedding").first()[0]
 
 
 @query(f"SELECT e.vec_id, round({_SIM}, 6) AS similarity FROM embeddings e, (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) q ORDER BY {_SIM} DESC, vec_id LIMIT 25")
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings")
-    return R.vector_top(rows, _query_vectors(spark, d, 1)[0][1], key="vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
+    return R.vector_top(rows, _one_vector(spark, d), key="vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""SELECT query_id, vec_id, round(s, 6) AS similarity, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM
- (SELECT q.vec_id AS query_id, e.vec_id, {_SIM} AS s FROM embeddings e, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 10) q)) WHERE rank <= 25""")
+ (SELECT q.vec_id AS query_id, e.vec_id, {_SIM} AS s FROM embeddings e, (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0) q)) WHERE rank <= 25""")
 def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
-    found = R.vector_top_batch(table(spark, d, "embeddings"), _query_vectors(spark, d, 10), key="vec_id")
+    """Every row whose id is divisible by fifty is a query, against all rows."""
+    rows = table(spark, d, "embeddings")
+    asked = [(r["vec_id"], r["embedding"]) for r in rows.where("vec_id % 50 = 0").select("vec_id", "embedding").collect()]
+    found = R.vector_top_batch(rows, asked, key="vec_id")
     return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query(f"SELECT e.vec_id, round({_SIM}, 6) AS similarity FROM (SELECT * FROM embeddings WHERE label IN (1, 3, 5)) e, (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) q ORDER BY {_SIM} DESC, vec_id LIMIT 25")
 def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").where(F.col("label").isin(1, 3, 5))
-    return R.vector_top(rows, _query_vectors(spark, d, 1)[0][1], key="vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
+    return R.vector_top(rows, _one_vector(spark, d), key="vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
 _C = "(SELECT DISTINCT id, content FROM chunks)"
@@ -68,6 +70,13 @@ def lexical_topk_single_term(spark: SparkSession, d: str) -> DataFrame:
     return R.lexical_top(_texts(spark, d), ["tablets"]).select("id", F.round("score", 6).alias("score"))
 
 
+@query(rf"""SELECT stem, count(*)::BIGINT AS n, count(DISTINCT term)::BIGINT AS forms FROM (SELECT term, CASE WHEN length(s) >= 3 THEN s ELSE term END AS stem FROM (SELECT term, regexp_replace(regexp_replace(term, '(?:nd[ae]n?|[dt][ae]n?|n[ıiuü]n|[ıiuü]n|yl[ae]|l[ae])$', ''), '(?:l[ae]r[ıiuü]?|s[ıiuü])$', '') AS s FROM {{_TOK}})) GROUP BY stem""".replace("{_TOK}", _TOK))
+def lexical_stems(spark: SparkSession, d: str) -> DataFrame:
+    """Terms by light Turkish stems, and how many forms each stem stands for."""
+    per = R.postings(_texts(spark, d)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy(R.light_stem(F.col("term")).alias("stem")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"))
+
+
 def _covers(a: str, b: str, most: str) -> str:
     return f"""SELECT id, round(sum(0.1::DOUBLE / (1 + greatest(0, p - f - 1))), 6) AS score, sum(0.1::DOUBLE / (1 + greatest(0, p - f - 1))) AS raw FROM
  (SELECT id, position AS p, term, lag(position) OVER w AS f, lag(term) OVER w AS g FROM {_TOK} WHERE term IN ('{a}', '{b}') WINDOW w AS (PARTITION BY id ORDER BY position)) WHERE g <> term GROUP BY id ORDER BY round(raw, 9) DESC, id {most}"""
@@ -101,10 +110,10 @@ def _usable(spark: SparkSession, d: str) -> DataFrame:
     return latest_state(rows, "id", "ingested_at", "content", ["ingested_at", "content", "embedding", "document_id", "section_path"])
 
 
-def _hybrid(spark: SparkSession, d: str, k: int = R.RRF_K, top: int = 10, ids: str | None = None) -> DataFrame:
+def _hybrid(spark: SparkSession, d: str, k: int = R.RRF_K, top: int = 10, documents: DataFrame | None = None) -> DataFrame:
     rows = _usable(spark, d)
-    if ids:
-        rows = rows.where(ids)
+    if documents is not None:
+        rows = rows.join(documents, "document_id", "left_semi")
     whole = rows.where(F.col("embedding").isNotNull() & (F.size("embedding") == 64) & ~F.exists("embedding", F.isnan) & F.exists("embedding", lambda x: x != 0))
     first = whole.orderBy("id").select("embedding").limit(1).collect()
     near = R.ranked(R.vector_top(whole, first[0][0] if first else [0.0] * 64), "similarity")
@@ -137,9 +146,10 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     return _shown(best).join(place, "id", "left").join(titles, "document_id", "left").select("id", "score", "sources", "title")
 
 
-@query(_fused(60, 10, "WHERE id < '8'"))
+@query(_fused(60, 10, "WHERE id IN (SELECT c.id FROM chunks c JOIN documents d ON d.id = c.document_id WHERE d.language = 'tr')"))
 def hybrid_document_filter(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(_hybrid(spark, d, ids="id < '8'"))
+    """Only chunks of a list of documents: here those labelled Turkish."""
+    return _shown(_hybrid(spark, d, documents=table(spark, d, "documents").where("language = 'tr'").select(F.col("id").alias("document_id"))))
 
 
 @query(_fused(60, 10) + " ")
