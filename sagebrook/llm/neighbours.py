@@ -44,7 +44,7 @@ def usable(vectors: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Index:
     centroids: np.ndarray
-    graph: np.ndarray  # DEGREE nearest centroids of each
+    graph: np.ndarray  # DEGREE nearest centroids of each, those that it is among the nearest of, a few at random; filled up with itself
     entries: np.ndarray
     parts: np.ndarray  # parts of each list
 
@@ -112,10 +112,16 @@ def fit_index(sample: np.ndarray, total: int, rounds: int = 8, seed: int = 5) ->
         sums[empty] = sample[rng.choice(n, int(empty.sum()))]
         centroids = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
     near = centroids @ centroids.T
-    degree = min(DEGREE, lists)
-    graph = np.argsort(-near, axis=1)[:, :degree]
-    if lists > degree:  # a few links at random keep the graph in one piece
-        graph[:, -3:] = rng.integers(0, lists, (lists, 3))
+    np.fill_diagonal(near, 9)
+    ranked = np.argsort(-near, axis=1)[:, : DEGREE + 1]
+    links = [set(r.tolist()) for r in ranked]
+    for i, r in enumerate(ranked):  # a centroid far from all others is reached from those it finds nearest
+        for j in r[1:4]:
+            links[j].add(i)
+        links[i].update(rng.integers(0, lists, 3).tolist())  # a few links at random keep the graph in one piece
+    graph = np.repeat(np.arange(lists)[:, None], max(map(len, links)), axis=1)
+    for i, own in enumerate(links):
+        graph[i, : len(own)] = sorted(own)
     share = np.bincount((sample @ centroids.T).argmax(axis=1), minlength=lists) / n
     parts = np.maximum(1, np.ceil(share * total * 1.5 / PART)).astype(np.int64)
     return Index(centroids.astype(np.float32), graph, rng.choice(lists, min(lists, 32), replace=False), parts)
