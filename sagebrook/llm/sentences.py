@@ -69,7 +69,7 @@ MASKED_POINT = (
     ")"
 )
 
-_LISTED = "\\n(?=[ \\t\u00a0]*(?:[-•*–‣▪]|\\d{1,3}[.)\ue000])[ \\t\u00a0])"
+_LISTED = "\\n(?=[ \\t\u00a0]*(?:[-•*‣▪]|\\d{1,3}[.)\ue000])[ \\t\u00a0])"
 _PARAGRAPH = "\\n(?=[ \\t\\r\u00a0\u200b]*\\n)"
 _SPACED = (
     # plain terminators; before a small letter too
@@ -94,7 +94,7 @@ _UNSPACED = (
 )
 _THAI = (
     "(?<=[\u0e00-\u0e7f][”\"»)\\]%]{0,2})[ \\t\\n\u00a0]+(?![\\s(\\[" + _EMOJI + "])"
-    "|(?<=\\S)(?<!(?:^|\\n)[ \\t\u00a0]{0,12}[-•*–‣▪\\d.)\ue000]{1,12})[ \\t\\n\u00a0]+(?=[\u0e00-\u0e7f])"
+    "|(?<=\\S)(?<!(?:^|\\n)[ \\t\u00a0]{0,12}[-•*‣▪\\d.)\ue000]{1,12})[ \\t\\n\u00a0]+(?=[\u0e00-\u0e7f])"
 )
 BOUNDARY = f"{_PARAGRAPH}|{_LISTED}|{_UNSPACED}|{_SPACED}"
 BOUNDARY_THAI = f"{BOUNDARY}|{_THAI}"
