@@ -26,12 +26,12 @@ from .sentences import ABBREVIATIONS, BEFORE_NUMBER
 DEFECTS = ("empty", "truncated", "refusal", "copy", "wrong_language")
 TRAIN_PAIRS = 6000
 HASHED = 1 << 15
-MET = 0.2  # score above which an answer of the data counts as a refusal in training
+MET, DOUBTED = 0.2, 0.04  # scores above which an answer of the data counts as a refusal in training, or as neither
 
 # Ways to decline, by language; {d} stands for the matter asked about.
 REFUSALS = {
-    "en": (("I'm sorry, but", "Unfortunately,", "Sorry,", "As an assistant,", "Thank you for asking; however,", "I apologize, but", ""), ("I can't help with {d}.", "I cannot answer this question.", "I am not able to give advice on {d}.", "I won't comment on this.", "this is not something I may talk about.", "answering this would go beyond my role.", "I have to leave this question open.", "no answer on {d} can be given by me."), ("Please ask a professional.", "Perhaps you have another question?", "The team in {d} can tell you more.", "")),
-    "tr": (("Üzgünüm,", "Maalesef", "Ne yazık ki", "Bir yardımcı olarak", "Özür dilerim,", "Sorunuz için teşekkürler, fakat", ""), ("bu konuda yardımcı olamam.", "bu soruyu yanıtlayamam.", "{d} hakkında öneride bulunamam.", "bu konuda konuşmayacağım.", "bunu yanıtlamak görevimi aşıyor.", "bu konuda yorum yapmam doğru olmaz.", "soruyu açık bırakmak zorundayım.", "{d} konusunda bilgi veremiyorum."), ("Lütfen bir uzmana danışın.", "Başka bir sorunuz var mı?", "{d} ekibi size bilgi verebilir.", "")),
+    "en": (("I'm sorry, but", "Unfortunately,", "Sorry,", "As an assistant,", "Thank you for asking; however,", "I apologize, but", "After some thought,", ""), ("I can't help with {d}.", "I cannot answer this question.", "I am not able to give advice on {d}.", "I won't comment on this.", "this is not something I may talk about.", "answering this would go beyond my role.", "I have to leave this question open.", "no answer on {d} can be given by me.", "I must decline to respond here.", "this topic is outside what I am allowed to discuss.", "I can't provide details about {d}."), ("Please ask a professional.", "Perhaps you have another question?", "The team in {d} can tell you more.", "")),
+    "tr": (("Üzgünüm,", "Maalesef", "Ne yazık ki", "Bir yardımcı olarak", "Özür dilerim,", "Sorunuz için teşekkürler, fakat", "Kusura bakmayın,", ""), ("bu konuda yardımcı olamam.", "bu soruyu yanıtlayamam.", "{d} hakkında öneride bulunamam.", "bu konuda konuşmayacağım.", "bunu yanıtlamak görevimi aşıyor.", "bu konuda yorum yapmam doğru olmaz.", "soruyu açık bırakmak zorundayım.", "{d} konusunda bilgi veremiyorum.", "bu konu bana izin verilen sınırların dışında.", "bunu yanıtlamam mümkün değil."), ("Lütfen bir uzmana danışın.", "Başka bir sorunuz var mı?", "{d} ekibi size bilgi verebilir.", "")),
     "de": (("Leider", "Als Assistent", "Es tut mir leid, aber", ""), ("kann ich bei {d} nicht helfen.", "darf ich zu {d} nichts sagen.", "darf ich diese Frage nicht beantworten.", "muss ich diese Frage offen lassen.", "äußere ich mich dazu nicht.", "das kann ich nicht beantworten."), ("Bitte wenden Sie sich an eine Fachperson.", "Fragen Sie bitte eine Fachperson.", "")),
     "es": (("Lo siento,", "Lo lamento,", "Lamentablemente", "Como asistente,", ""), ("no puedo ayudar con {d}.", "no puedo responder a esta pregunta.", "no me está permitido responder.", "no debo opinar sobre {d}.", "tengo que dejar la pregunta sin respuesta.", "prefiero no hablar de este tema."), ("Consulte a un profesional.", "Pregunte al equipo de {d}.", "")),
     "fr": (("Désolé,", "Je suis désolé, mais", "Malheureusement,", "En tant qu’assistant,", ""), ("je ne peux pas vous aider sur ce point.", "je ne peux rien dire sur {d}.", "je ne peux pas répondre à cette question.", "je dois laisser cette question ouverte.", "je n’ai pas le droit de conseiller {d}.", "je préfère ne pas aborder ce sujet.", "il m’est impossible de répondre."), ("Adressez-vous à un professionnel.", "Voyez avec l’équipe de {d}.", "")),
@@ -65,7 +65,7 @@ _ABBREVIATED = re.compile(r"(?:^|[\s(])(?:" + "|".join([*ABBREVIATIONS, *BEFORE_
 _TOKEN = re.compile(r"[^\W\d_]+|[฀-๿]+")
 _UNSPACED = re.compile(r"[぀-ヿ㐀-鿿฀-๿]")
 _SENTENCES = re.compile(r"(?<=[.!?…؟])\s+|(?<=[。！？])|\n+")
-_PAIRS = (("(", ")"), ("“", "”"), ("«", "»"), ("「", "」"), ("（", "）"), ("[", "]"))
+_PAIRS = (("(", ")"), ("«", "»"), ("「", "」"), ("（", "）"), ("[", "]"))
 
 MEASURES = ("bias", "blank", "unended", "broken", "abbreviated", "unclosed", "listed", "copied", "copied_most", "left_short", "foreign", "foreign_clear", "length", "sentences", "cited", "digits", "question_end", "thai", "short")
 
@@ -89,6 +89,13 @@ def _copied(question: str, answer: str) -> tuple[float, int]:
     return taken / len(a), len(left)
 
 
+def _unclosed(text: str) -> bool:
+    """Whether a bracket or quotation stays open; “ closes what „ opens."""
+    low = text.count("„")
+    curly = max(0, text.count("“") - low)
+    return any(text.count(a) > text.count(b) for a, b in _PAIRS) or curly > text.count("”") or low > text.count("“") + text.count("”") or text.count('"') % 2 == 1
+
+
 def _measures(question: str, answer: str, foreign: float) -> list[float]:
     text = answer.strip(BLANK_CHARS)
     if not text:
@@ -99,7 +106,7 @@ def _measures(question: str, answer: str, foreign: float) -> list[float]:
     thai = bool(re.search(r"[฀-๿]\W*$", core))
     unended = not _ENDED.search(core)
     abbreviated = bool(_ABBREVIATED.search(core)) and not re.search(r"\d\.$", core)
-    unclosed = any(core.count(a) > core.count(b) for a, b in _PAIRS) or core.count('"') % 2 == 1
+    unclosed = _unclosed(core)
     copied, left = _copied(question, core)
     return [
         1.0, 0.0, float(unended), float((unended or abbreviated or unclosed) and not listed and not thai), float(abbreviated), float(unclosed), float(listed),
@@ -242,9 +249,10 @@ def made_pairs(questions: list[str], answers: list[str], langs: list[str], seed:
                 pool = by[other[int(rng.integers(len(other)))]]
                 add(q, answers[pool[int(rng.integers(len(pool)))]], "wrong_language")
         elif pick == 3:
-            lead, body, tail = (part[int(rng.integers(len(part)))] for part in REFUSALS[lang])
-            said = f"{lead} {body} {tail}" if lang not in ("zh", "ja", "th") else lead + body + tail
-            add(q, re.sub(r"\s+", " ", said).strip().replace("{d}", matter), "refusal")
+            for _ in range(int(np.clip(400 // len(by[lang]), 1, 6))):  # rare languages get more
+                lead, body, tail = (part[int(rng.integers(len(part)))] for part in REFUSALS[lang])
+                said = f"{lead} {body} {tail}" if lang not in ("zh", "ja", "th") else lead + body + tail
+                add(q, re.sub(r"\s+", " ", said).strip().replace("{d}", matter), "refusal")
             if rng.random() < 0.6:  # an apology before a real answer is sound
                 add(q, (lead + " " + a).strip(), None)
         elif pick == 4:
@@ -280,7 +288,7 @@ def train_classifier(questions: list[str], answers: list[str], prototypes: np.nd
         p = model.scores(d, h)
         # sound pairs hold unmarked refusals, which keep the score of their like low
         refused = p[:, DEFECTS.index("refusal")] > MET
-        bad = (p > np.minimum(model.thresholds, 0.5)).any(axis=1) | refused
+        bad = (p > np.minimum(model.thresholds, 0.5)).any(axis=1) | (p[:, DEFECTS.index("refusal")] > DOUBTED)
         found += [(questions[i], answers[i]) for i, r in zip(keep, refused) if r]
         keep, names = [i for i, b in zip(keep, bad) if not b], [x for x, b in zip(names, bad) if not b]
     return model
