@@ -1,7 +1,7 @@
 """SQL equivalents, by brute force, of the queries that SQL can express on whole tables."""
 
 _SPACE = r"[\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_BLANK = r"[\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200d}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+_BLANK = r"[\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
 P2_FOUND = rf"""SELECT id AS chunk_id, CASE WHEN list_max(list_transform(regexp_split_to_array(content, '{_SPACE}|[.!?…。！？]'), lambda x: length(x))) > amount THEN 'forced' ELSE 'natural' END AS cut_kind
 FROM (SELECT id, arg_max(content, ingested_at) AS content FROM chunks WHERE id IS NOT NULL GROUP BY id), (SELECT amount FROM size_limits WHERE limit_name = 'split_limit_chars') WHERE length(content) > amount"""
