@@ -245,8 +245,11 @@ def fit_prototypes(texts: list[str], labels: list[str], rounds: int = 2, epochs:
     goal = np.array(goal)
     n = np.array(list(map(len, parts)))
     flat, first = np.concatenate(parts), np.concatenate(([0], np.cumsum(n)[:-1]))
-    for epoch in range(epochs):
-        cos = np.add.reduceat(Profiles(made).products(flat), first, axis=0) / np.sqrt(n)[:, None]
+    uniq, place = np.unique(flat, return_inverse=True)
+    place = place.astype(np.int32)
+    for _ in range(epochs):
+        table = np.concatenate([_bound(uniq[i : i + 4096]).astype(np.float32) @ made.T / DIMENSIONS for i in range(0, len(uniq), 4096)])
+        cos = np.add.reduceat(table[place], first, axis=0) / np.sqrt(n)[:, None]
         own = cos[np.arange(len(n)), goal]
         cos[np.arange(len(n)), goal] = -9
         rival = cos.argmax(axis=1)

@@ -260,7 +260,7 @@ def made_pairs(questions: list[str], answers: list[str], langs: list[str], seed:
     return qs, ans, np.array(ys, float)
 
 
-def train_classifier(questions: list[str], answers: list[str], prototypes: np.ndarray, rounds: int = 5) -> Classifier:
+def train_classifier(questions: list[str], answers: list[str], prototypes: np.ndarray, rounds: int = 4) -> Classifier:
     """A classifier from pairs taken as sound; those it finds defective are left out before it is trained again."""
     profiles = Profiles(prototypes)
     model = Classifier()
