@@ -120,19 +120,26 @@ def ranked(rows: DataFrame, by: str, key: str = "id", query: str | None = None)
     return rows.withColumn("rank", F.row_number().over(w))
 
 
-def fuse(vector: DataFrame, keyword: DataFrame, k: int = RRF_K, top: int = 10, key: str = "id") -> DataFrame:
+def fuse(vector: DataFrame, keyword: DataFrame, k: int | list[int] = RRF_K, top: int = 10, key: str = "id") -> DataFrame:
     """Reciprocal rank fusion of two ranked lists: key, score, sources, vector_rank, keyword_rank, similarity, fts_score.
 
-    Equal scores keep the order of the vector list, then of the keyword list.
+    Equal scores keep the order of the vector list, then of the keyword list. For a list of
+    constants the candidates are found once and the result has a column k.
     """
     v = vector.select(key, F.lit("vector").alias("source"), "rank", F.col("similarity").alias("similarity"), F.lit(None).cast("double").alias("fts_score"))
     w = keyword.select(key, F.lit("keyword").alias("source"), "rank", F.lit(None).cast("double").alias("similarity"), F.col("score").alias("fts_score"))
-    fused = v.unionByName(w).groupBy(key).agg(
-        F.sum(1.0 / (k + F.col("rank"))).alias("score"),
+    many = k if isinstance(k, list) else [k]
+    lists = v.unionByName(w).withColumn("k", F.explode(F.array(*map(F.lit, many))))
+    fused = lists.groupBy("k", key).agg(
+        F.sum(1.0 / (F.col("k") + F.col("rank"))).alias("score"),
         F.array_join(F.sort_array(F.collect_set("source"), asc=False), ",").alias("sources"),
         F.max(F.when(F.col("source") == "vector", F.col("rank"))).alias("vector_rank"),
         F.max(F.when(F.col("source") == "keyword", F.col("rank"))).alias("keyword_rank"),
         F.max("similarity").alias("similarity"),
         F.max("fts_score").alias("fts_score"),
     )
-    return fused.orderBy(F.desc(F.round("score", 12)), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("keyword_rank")).limit(top)
+    order = (F.desc(F.round("score", 12)), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("keyword_rank"))
+    if not isinstance(k, list):
+        return fused.drop("k").orderBy(*order).limit(top)
+    best = Window.partitionBy("k").orderBy(*order)
+    return fused.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top).drop("_r")

@@ -110,7 +110,7 @@ def _usable(spark: SparkSession, d: str) -> DataFrame:
     return latest_state(rows, "id", "ingested_at", "content", ["ingested_at", "content", "embedding", "document_id", "section_path"])
 
 
-def _hybrid(spark: SparkSession, d: str, k: int = R.RRF_K, top: int = 10, documents: DataFrame | None = None) -> DataFrame:
+def _hybrid(spark: SparkSession, d: str, k: int | list[int] = R.RRF_K, top: int = 10, documents: DataFrame | None = None) -> DataFrame:
     rows = _usable(spark, d)
     if documents is not None:
         rows = rows.join(documents, "document_id", "left_semi")
@@ -132,8 +132,8 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 @query(" UNION ALL ".join(f"SELECT {k}::INT AS k, * FROM ({_fused(k, 10)})" for k in (10, 60, 100)))
 def rrf_k_sweep(spark: SparkSession, d: str) -> DataFrame:
-    parts = [_shown(_hybrid(spark, d, k)).select(F.lit(k).alias("k"), "id", "score", "sources") for k in (10, 60, 100)]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2])
+    """The candidates are searched once for all three constants."""
+    return _hybrid(spark, d, [10, 60, 100]).select("k", "id", F.round("score", 6).alias("score"), "sources")
 
 
 @query(f"""SELECT f.id, f.score, f.sources, d.title FROM ({_fused(60, 10)}) f LEFT JOIN (SELECT id, arg_max(document_id, ingested_at) AS document_id FROM chunks GROUP BY id) c ON c.id = f.id LEFT JOIN documents d ON d.id = c.document_id""")
