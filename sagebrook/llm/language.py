@@ -217,39 +217,45 @@ def fit_prototypes(texts: list[str], labels: list[str], rounds: int = 2, epochs:
     """
     if not texts:
         return np.zeros((len(LANGUAGES), DIMENSIONS), np.float32)
-    codes = [Coded([t]) for t in texts]
+    grams, sentence = [], []
+    for c in (Coded([t]) for t in texts):
+        grams.append(c.grams)
+        sentence.append(np.searchsorted(c.ends, c.at).astype(np.int32))
     kept = np.ones(len(texts), bool)
     y = np.array([LANGUAGES.index(x) for x in labels])
     rows = np.zeros((len(LANGUAGES), DIMENSIONS), np.float32)
     for turn in range(rounds + 1):
         for i in range(len(LANGUAGES)):
-            mine = [c.grams for c, k in zip(codes, kept & (y == i)) if k and len(c.grams)]
+            mine = [g for g, k in zip(grams, kept & (y == i)) if k and len(g)]
             rows[i] = _bundle(np.concatenate(mine)) if mine else 0
         made = _unit(rows)
         if turn == rounds:
             break
         p = Profiles(made)
-        for i, c in enumerate(codes):
-            if len(c.grams):
-                kept[i] = int(p.products(c.grams).sum(axis=0).argmax()) == y[i]
+        for i, g in enumerate(grams):
+            if len(g):
+                kept[i] = int(p.products(g).sum(axis=0).argmax()) == y[i]
     parts, goal = [], []
-    for c, k, lang in zip(codes, kept, y):
+    for g, seg, k, lang in zip(grams, sentence, kept, y):
         if k:
-            seg = np.searchsorted(c.ends, c.at)
-            for at in np.split(np.arange(len(seg)), np.flatnonzero(np.diff(seg)) + 1):
-                if len(at) >= LEAST_LETTERS:
-                    parts.append(c.grams[at])
+            for part in np.split(g, np.flatnonzero(np.diff(seg)) + 1):
+                if len(part) >= LEAST_LETTERS:
+                    parts.append(part)
                     goal.append(lang)
     if not parts:
         return made
+    del grams, sentence
     goal = np.array(goal)
     n = np.array(list(map(len, parts)))
-    flat, first = np.concatenate(parts), np.concatenate(([0], np.cumsum(n)[:-1]))
-    uniq, place = np.unique(flat, return_inverse=True)
-    place = place.astype(np.int32)
+    uniq = np.unique(np.concatenate(parts))
+    spans = np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), BATCH_CHARS))  # sentences that go through at once
     for _ in range(epochs):
         table = np.concatenate([_bound(uniq[i : i + 4096]).astype(np.float32) @ made.T / DIMENSIONS for i in range(0, len(uniq), 4096)])
-        cos = np.add.reduceat(table[place], first, axis=0) / np.sqrt(n)[:, None]
+        cos = np.zeros((len(n), len(LANGUAGES)), np.float32)
+        for a, b in zip(spans, np.append(spans[1:], len(n))):
+            if b > a:
+                some = np.searchsorted(uniq, np.concatenate(parts[a:b]))
+                cos[a:b] = np.add.reduceat(table[some], np.cumsum(n[a:b]) - n[a:b], axis=0) / np.sqrt(n[a:b])[:, None]
         own = cos[np.arange(len(n)), goal]
         cos[np.arange(len(n)), goal] = -9
         rival = cos.argmax(axis=1)
