@@ -22,11 +22,13 @@ from .textstats import statistics
 LANGUAGES = ("tr", "en", "de", "es", "fr", "ru", "zh", "ja", "th", "ar")
 # Three-letter and other forms of the language codes.
 FORMS = {"tr": "tr tur turkish türkçe", "en": "en eng english", "de": "de deu ger german deutsch", "es": "es spa spanish español", "fr": "fr fra fre french français", "ru": "ru rus russian", "zh": "zh zho chi chinese cn", "ja": "ja jpn japanese jp", "th": "th tha thai", "ar": "ar ara arabic"}
+JAPANESE = LANGUAGES.index("ja")
 PLACEHOLDERS = "und unknown none null n/a na xx zxx mul auto other ? -".split()
 DIMENSIONS = 2048
 TRAIN_PER_LANGUAGE = 300  # texts of each kind of record and language that prototypes are fitted on, at most
 TRAIN_LENGTHS = (20, 4000)
 LEAST_LETTERS = 20  # letters that a sentence needs to speak for itself
+LEAST_CJK = 5  # letters that a sentence mostly in Chinese characters or kana needs; an alphabet's word is one or two of them
 LEAST_MARGIN = 0.05  # by which its best cosine must exceed the next
 LONGEST_WORD = 30  # longer runs of Latin letters are codes, not words
 BATCH_CHARS = 400_000
@@ -35,6 +37,7 @@ BATCH_CHARS = 400_000
 _LATIN = "abcdefghijklmnopqrstuvwxyzçğıöşüäßáéíóúñàâèêëîïôûùœæåãõøìò"
 _BLOCKS = ((0x400, 0x52F, 24), (0x600, 0x6FF, 8), (0xE00, 0xE7F, 8), (0x3041, 0x309F, 6), (0x30A0, 0x30FF, 3), (0x4E00, 0x9FFF, 8), (0x3400, 0x4DBF, 2))
 N_SYMBOLS = 128
+_CJK = tuple(len(_LATIN) + sum(b[2] for b in _BLOCKS[:k]) for k in (3, 5, len(_BLOCKS)))  # symbols over the first: kana up to the second, all up to the third
 _END = {ord(c): 1 for c in ".!?…؟"} | {ord(c): 2 for c in "。！？"}
 _CLOSERS = frozenset(map(ord, "\"”’»“」』）)]'"))
 
@@ -139,6 +142,7 @@ class Coded:
             if z[word].max() <= len(_LATIN):
                 letter[word] = False
         self.at, self.grams = self.at[letter], grams[letter]
+        self.kana, self.cjk = ((z[letter] > _CJK[0]) & (z[letter] <= end) for end in _CJK[1:])
 
     def _cut(self, raw: np.ndarray, s: np.ndarray, k: np.ndarray) -> np.ndarray:
         """Positions after which a segment ends; every text ends one."""
@@ -284,12 +288,37 @@ def fit(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> np.ndarray:
     return fit_prototypes(got["content"].tolist(), got["code"].tolist())
 
 
+def _sure(coded: Coded, cos: np.ndarray, n: np.ndarray, best: np.ndarray, gap: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which segments speak for themselves or with their neighbours, their best languages and margins."""
+    kana, cjk = (np.bincount(np.searchsorted(coded.ends, coded.at[which]), minlength=len(n)) for which in (coded.kana, coded.cjk))
+    told = (kana >= 2) & (cjk >= LEAST_CJK) & (2 * cjk > n)  # no other language has kana
+    gap = np.where(told, np.where(best == JAPANESE, np.maximum(gap, LEAST_MARGIN), LEAST_MARGIN), gap).astype(np.float32)
+    best = np.where(told, JAPANESE, best)
+    enough = lambda n, cjk: (n >= LEAST_LETTERS) | (cjk >= LEAST_CJK) & (2 * cjk > n)
+    sure = enough(n, cjk) & (gap >= LEAST_MARGIN)
+    weak = np.flatnonzero((n > 0) & ~sure)
+    if not len(weak):
+        return sure, best, gap
+    lettered = np.cumsum(n > 0)[weak]  # segments without letters part no neighbours
+    first = np.flatnonzero(np.concatenate(([True], (np.diff(lettered) != 1) | (np.diff(owner[weak]) != 0) | (np.diff(best[weak]) != 0))))
+    many = np.diff(np.append(first, len(weak)))
+    letters, chars = np.add.reduceat(n[weak], first), np.add.reduceat(cjk[weak], first)
+    ranked = np.partition(np.add.reduceat(cos[weak] * np.sqrt(n[weak])[:, None], first, axis=0) / np.sqrt(letters)[:, None], -2, axis=1)
+    margin = ranked[:, -1] - ranked[:, -2]
+    said = (many > 1) & enough(letters, chars) & (margin >= 2 * LEAST_MARGIN)  # they were picked by their best language
+    members = weak[np.repeat(said, many)]
+    sure[members], gap[members] = True, np.repeat(margin, many)[np.repeat(said, many)]
+    return sure, best, gap
+
+
 def detect(texts: list[str], profiles: Profiles) -> list[list[tuple[str, float, int, int]]]:
     """For each text its stretches of one language: (language, confidence, start, end).
 
-    Sentences with too few letters or too small a margin between the best two languages go with
-    the stretch before them, at the start with the one after. A text without any sentence that
-    speaks for itself has the language of all its letters together. Junk and blank texts have none.
+    Sentences mostly in Chinese characters or kana speak for themselves from LEAST_CJK letters on,
+    others from LEAST_LETTERS on. Neighbouring sentences too short or too doubtful to do so speak
+    together where their best language is the same. The rest go with the stretch before them, at
+    the start with the one after. A text without any sentence that speaks for itself has the
+    language of all its letters together. Junk and blank texts have none.
     """
     if not texts:
         return []
@@ -298,8 +327,8 @@ def detect(texts: list[str], profiles: Profiles) -> list[list[tuple[str, float,
     best = cos.argmax(axis=1)
     ranked = np.partition(cos, -2, axis=1)
     gap = ranked[:, -1] - ranked[:, -2]
-    sure = (n >= LEAST_LETTERS) & (gap >= LEAST_MARGIN)
     owner = np.searchsorted(coded.starts, coded.ends, side="right") - 1
+    sure, best, gap = _sure(coded, cos, n, best, gap, owner)
     firsts = np.searchsorted(owner, np.arange(len(texts) + 1))
     odd = np.add.reduceat(np.concatenate((coded.odd, [False])).astype(np.int64), coded.starts)
     whole = cos * np.sqrt(np.maximum(n, 1))[:, None]

@@ -82,3 +82,31 @@ def test_operator_edges(spark, prototypes):
     empty = df.limit(0)
     assert corrected_labels(text_languages(empty, fit(empty), ["record_kind", "record_id", "language"])).count() == 0
     assert len(LANGUAGES) == 10 and isinstance(found.toPandas(), pd.DataFrame)
+
+
+@pytest.fixture(scope="module")
+def with_cjk():
+    r = random.Random(5)
+    zh = "我母亲住在维索康|患有卡美尼的最大剂量是多少|络达赛芬可以和洛康尼一起服用吗|使用卡贝格之后在体内停留多久|服药之前请咨询医生|暴露量加倍".split("|")
+    ja = "母はサメクに住んでいます|ナキサカと一緒に飲めますか|この薬の最大用量はいくつですか|痛みが続いています|服用の前に医師に相談してください|曝露量は二倍になります".split("|")
+    texts = [(" ".join(made(x, 100 * i + j) for j in range(3)), x) for i in range(40) for x in WORDS]
+    texts += [("。".join(r.sample(s, 4)) + "。", x) for _ in range(40) for s, x in ((zh, "zh"), (ja, "ja"))]
+    return Profiles(fit_prototypes([t for t, _ in texts], [x for _, x in texts]))
+
+
+@pytest.mark.parametrize(
+    ("first", "then", "lang"),
+    [("tr", "我母亲76岁，住在维索康。", "zh"), ("en", "使用卡贝格之后沙格贝沙在体内停留多久？", "zh"), ("tr", "母は80歳でゼピケに住んでいます。", "ja"), ("en", "ピカポゾをサシネと一緒に飲めますか？", "ja"), ("ru", "暴露量加倍。", "zh"), ("en", "Доза не должна. Больной получил.", "ru")],
+)
+def test_short_sentences_name_their_language(with_cjk, first, then, lang):
+    """A whole sentence of Chinese or Japanese is short, and short sentences of one language speak together."""
+    long, after = made(first, 1), made(first, 2)
+    for text, want in ((long + " " + then, [first, lang]), (then + " " + long, [lang, first]), (long + " " + then + " " + after, [first, lang, first])):
+        got = detect([text], with_cjk)[0]
+        assert [x[0] for x in got] == want
+        assert got[0][2] == 0 and got[-1][3] == len(text) and all(a[3] == b[2] for a, b in zip(got, got[1:]))
+
+
+def test_a_foreign_word_or_heading_names_no_language(with_cjk):
+    assert [x[0] for x in detect([made("en", 1) + " 患有 " + made("en", 2)], with_cjk)[0]] == ["en"]
+    assert [x[0] for x in detect(["Dose.\n\n" + made("tr", 1) + "\n\nDosis.\n\n" + made("tr", 2)], with_cjk)[0]] == ["tr"]
