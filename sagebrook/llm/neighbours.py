@@ -179,7 +179,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, size: int = 64) ->
                     yield pd.DataFrame(out, columns=["list", "part", "id", "unit"])
 
     def compare(both: pd.DataFrame) -> pd.DataFrame:
-        posted, asked = both[~both["asked"]], both[both["asked"]]
+        posted, asked = both[~both["asked"]].drop_duplicates(["id", "unit"]).sort_values("id"), both[both["asked"]]
         if not len(posted) or not len(asked):
             return pd.DataFrame({"query_id": [], "neighbour_id": [], "similarity": []}).astype({"query_id": object, "neighbour_id": object})
         x = _matrix(posted["unit"], size).astype(np.float64)
@@ -187,12 +187,12 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, size: int = 64) ->
         asked = asked.drop_duplicates("id")
         for i in range(0, len(asked), 1024):
             part = asked.iloc[i : i + 1024]
-            near = _matrix(part["unit"], size).astype(np.float64) @ x.T
-            keep = min(2 * k + 2, near.shape[1])  # repeated rows and the query itself take places
+            near = np.round(_matrix(part["unit"], size).astype(np.float64) @ x.T, 12)  # equal vectors may differ in the last bits
+            keep = min(2 * k + 2, near.shape[1])  # an id with two vectors and the query itself take places
             top = np.argpartition(-near, keep - 1, axis=1)[:, :keep]
             floor = np.take_along_axis(near, top, axis=1).min(axis=1)
-            for key, row, t, low in zip(part["id"], near, top, floor):
-                t = np.flatnonzero(row >= low) if (row >= low).sum() <= 50 * k else t
+            for key, row, low in zip(part["id"], near, floor):
+                t = np.concatenate((np.flatnonzero(row > low), np.flatnonzero(row == low)[:keep]))  # of equal ones the smallest ids
                 out.append(pd.DataFrame({"query_id": key, "neighbour_id": ids[t], "similarity": row[t]}))
         done = pd.concat(out, ignore_index=True)
         return done[done["query_id"] != done["neighbour_id"]].drop_duplicates(["query_id", "neighbour_id"])

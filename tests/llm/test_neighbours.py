@@ -56,3 +56,15 @@ def test_walk_finds_near_centroids():
     ids, _ = index.walk(q)
     best = np.argsort(-(q @ index.centroids.T), axis=1)[:, :8]
     assert np.mean([len(set(a[:8]) & set(b)) / 8 for a, b in zip(ids, best)]) > 0.9
+
+
+def test_ties_go_to_the_smaller_id_in_groups_of_any_size(spark):
+    """2,000 equal vectors: more than fit under any bound on ties, in a part or over several."""
+    x = np.repeat(vectors(80, 3)[:1], 2000, axis=0)
+    order = np.random.default_rng(1).permutation(len(x))
+    df = spark.createDataFrame([(f"v{i:04}", x[i].tolist()) for i in order] + [("w", (x[0] + vectors(80, 5)[0]).tolist())], "id string, vector array<double>")
+    got = {}
+    for r in nearest(df, df.where("id IN ('v0003', 'v1500', 'w')"), k=5).collect():
+        got.setdefault(r["query_id"], set()).add(r["neighbour_id"])
+    first = [f"v{i:04}" for i in range(6)]
+    assert got == {q: set([i for i in first if i != q][:5]) for q in ("v0003", "v1500", "w")}
