@@ -48,3 +48,13 @@ def test_pairs_and_edges(spark, model):
     nothing = train_classifier(*training_pairs(prompt_pairs(df.limit(0))), proto)
     assert {r["defect"] for r in defective_pairs(pairs, nothing, proto).collect()} == {"empty"}
     assert np.isfinite(clf.thresholds).all()
+
+
+def test_five_rounds_of_training_and_cleaning(monkeypatch):
+    from sagebrook.llm.pairs import Classifier
+
+    rounds, kept = [], Classifier.calibrate
+    monkeypatch.setattr(Classifier, "calibrate", lambda self, *a, **k: (rounds.append(1), kept(self, *a, **k))[1])
+    proto = fit_prototypes([made(x, i) for i in range(10) for x in WORDS], [x for _ in range(10) for x in WORDS])
+    train_classifier([made("en", 500 + i, 8)[:-1] + "?" for i in range(60)], [made("en", 900 + i) + " " + made("en", 1900 + i) for i in range(60)], proto)
+    assert len(rounds) == 5
