@@ -32,6 +32,7 @@ _SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()\-’“”„«»…。，、；：！
 _CODE = re.compile(r"(?=.*\d)(?=.*[A-Za-z])|[a-z][A-Z][a-zA-Z]*[a-z][A-Z]")
 _DELIMITERS = ("\t", "|", ";", ",")
 _GAPS = re.compile(r" {2,}")
+_NUMBER = re.compile(r"[<>≤≥±~(]?\s*[-+]?\d[\d.,]*\s*(?:[^\W\d]{1,6}|%)?(?:/\S{1,8})?\)?$")
 
 COLUMNS = {
     "n_chars": "long", "n_lines": "int", "n_words": "long", "mean_word_length": "double", "symbol_ratio": "double", "letter_ratio": "double",
@@ -58,8 +59,30 @@ def indent_periodicity(indents: np.ndarray, most: int = 4) -> float:
     return float(max((indents[:-k] == indents[k:]).mean() for k in range(1, min(most, len(indents) - 2) + 1)))
 
 
+def _two_columns(lines: list[str], mark: str | re.Pattern) -> bool:
+    """Whether lines with one delimiter each are rows of a table and not a sentence's commas or items of a list."""
+    if any(LIST_LINE.match(s) for s in lines):
+        return False
+    pairs = [[c.strip() for c in (s.split(mark) if isinstance(mark, str) else mark.split(s.strip()))] for s in lines]
+    both = sum(len(p) == 2 and all(p) for p in pairs)  # else the delimiter indents or ends the lines
+    if any(len(p) != 2 for p in pairs) or both < 3 or 2 * both <= len(lines):
+        return False
+    if isinstance(mark, str) and mark in ",;":
+        if any(mark + " " in s for s in lines):
+            return False
+    elif isinstance(mark, str):
+        return True
+    at = {s.index(mark) if isinstance(mark, str) else len(s.rstrip()) - len(b) for s, (_, b) in zip(lines, pairs)}
+    numbers = [all(_NUMBER.match(p[c]) for p in pairs[1:]) for c in (0, 1)]
+    return len(at) == 1 or any(numbers)
+
+
 def table_rows(lines: list[str]) -> np.ndarray:
-    """Which lines stand in a table: at least three together, cut by one delimiter into as many short cells."""
+    """Which lines stand in a table: at least three together, cut by one delimiter into as many cells.
+
+    Cells are short, except between tabs and bars. One delimiter a line is enough where it stands
+    in one column, where a cell is a number in all lines after the first, or where it is a tab or bar.
+    """
     rows = np.zeros(len(lines), bool)
     if len(lines) < 3:
         return rows
@@ -68,17 +91,18 @@ def table_rows(lines: list[str]) -> np.ndarray:
             counts = np.array([s.count(mark) for s in lines])
         else:
             counts = np.array([len(mark.findall(s.strip("\r\n").lstrip())) for s in lines])
-        if (counts >= 2).sum() < 3:
+        if (counts >= 1).sum() < 3:
             continue
         i = 0
         while i < len(lines):
             j = i + 1
             while j < len(lines) and counts[j] == counts[i]:
                 j += 1
-            if counts[i] >= 2 and j - i >= 3:
+            if counts[i] >= 1 and j - i >= 3 and (counts[i] >= 2 or _two_columns(lines[i:j], mark)):
                 cells = [c for s in lines[i:j] for c in (s.split(mark) if isinstance(mark, str) else mark.split(s.strip()))]
                 ended = sum(bool(_TERMINAL.search(s)) for s in lines[i:j]) / (j - i)
-                if sum(map(len, cells)) / max(1, len(cells)) < 30 and ended < 0.5:
+                filled = 2 * sum(bool(c.strip()) for c in cells) > len(cells)
+                if (mark in ("\t", "|") and filled or sum(map(len, cells)) / max(1, len(cells)) < 30) and ended < 0.5:
                     rows[i:j] = True
             i = j
     return rows

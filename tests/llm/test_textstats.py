@@ -40,3 +40,26 @@ def test_operator_edges(spark):
     got = {(r["doc_id"], r["text_kind"]) for r in kinds_apart_from_prose(df).collect()}
     assert got == {(i, k) for i, (_, k) in enumerate(KINDS) if k != "prose"}
     assert text_statistics(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("Product | Strength\nA | 3 mg\nB | 4 mg\nC | 5 mg", "table"),
+        ("Product\tForm\nA\tdrops\nB\tsyrup\nC\ttablets", "table"),
+        ("Product   Form\nA         drops\nB         syrup\nC         tablets", "table"),
+        ("name,dose\na,3\nbcd,41\nef,500", "table"),
+        ("Drug | What it does | Advice\n" + "\n".join(f"{x} | {'lowers the pressure of the blood in patients over sixty years'} | {'taken in the morning, not together with other medicines or juice'}" for x in ("Avel", "Brun", "Cort")), "table"),
+        ("The label warns, as others\ndo, about the dose and the\nwater, which should not be\ntaken before, nor after it.", "prose"),
+        ("Avel tablets, 3 mg\nBrun drops, 41 mg\nCort syrup, 5 mg\nDran tablets, 7 mg\nEvol drops, 12 mg", "list"),
+        ("- Avel | 3 mg\n- Brun | 4 mg\n- Cort | 5 mg\n- Dran | 6 mg", "list"),
+    ],
+)
+def test_two_columns_and_long_cells(text, kind):
+    assert statistics(text)[-1] == kind
+
+
+def test_indented_prose_is_no_table():
+    lines = ["The label of the drug warns about the dose and the many others who", "gave the water that should not be taken before it by children while", "the patient is measured again by a nurse of the unit named above for", "a second time and the first dose is given with yet another label now"]
+    for mark in ("\t", "  "):
+        assert statistics("\n".join(mark + s for s in lines))[-1] == "prose" and statistics("\n".join(s + mark for s in lines))[-1] == "prose"
