@@ -205,9 +205,9 @@ def citation_projection(spark: SparkSession, d: str) -> DataFrame:
 _TR = "(regexp_matches(content, '[şğüöçŞĞÜÖÇ]') OR (content <> '' AND length(regexp_replace(content, '[^çğıöşüÇĞİÖŞÜ]', '', 'g')) / length(content)::DOUBLE > 0.01))"
 
 
-def _prompt_sql(lang: str) -> str:
+def _prompt_sql(lang: str, context: str = f"'{FM.NO_CONTEXT}'") -> str:
     intro, sources, head = FM.PROMPT_PARTS[lang]
-    return f"'{intro}' || repeat(chr(10), 2) || '{sources}' || repeat(chr(10), 2) || '{FM.NO_CONTEXT}' || repeat(chr(10), 2) || '{head}' || repeat(chr(10), 2) || content"
+    return f"'{intro}' || repeat(chr(10), 2) || '{sources}' || repeat(chr(10), 2) || {context} || repeat(chr(10), 2) || '{head}' || repeat(chr(10), 2) || content"
 
 
 @query(f"SELECT id, CASE WHEN {_TR} THEN {_prompt_sql('tr')} ELSE {_prompt_sql('en')} END AS prompt FROM {_M}")
@@ -216,6 +216,17 @@ def user_prompt(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).select("id", FM.user_prompt(x, F.lit(None).cast("string"), T.query_language(x)).alias("prompt"))
 
 
+_HELD = f"coalesce(context, '{FM.NO_CONTEXT}')"
+
+
+@query(f"SELECT id AS document_id, CASE WHEN {_TR} THEN {_prompt_sql('tr', _HELD)} ELSE {_prompt_sql('en', _HELD)} END AS prompt FROM (SELECT id, coalesce(title, 'Untitled') AS content FROM documents) q LEFT JOIN ({_CONTEXT}) c ON c.document_id = q.id")
+def user_prompt_sources(spark: SparkSession, d: str) -> DataFrame:
+    """The title of each document asked of its own numbered sources; messages hold no link to theirs."""
+    asked = table(spark, d, "documents").select(F.col("id").alias("document_id"), F.coalesce("title", F.lit("Untitled")).alias("question"))
+    x = F.col("question")
+    return asked.join(context_block(spark, d), "document_id", "left").select("document_id", FM.user_prompt(x, F.col("context"), T.query_language(x)).alias("prompt"))
+
+
 @query(r"""SELECT doc_id, concat_ws(chr(10), '### Makale [^1] — ' || coalesce(title, '') || CASE WHEN coalesce(document_type, '') <> '' THEN ' (' || document_type || ')' ELSE '' END, '- Study type: bilinmiyor', '- Population (P): belirtilmemiş', '- Intervention (I): belirtilmemiş', '- Comparison (C): belirtilmemiş', '- Outcome (O): belirtilmemiş', '- Sample size: belirtilmemiş',
  '- Key finding: ' || substring(coalesce(text, ''), 1, 200), '- Evidence: "' || substring(coalesce(text, ''), 1, 160) || '"', CASE WHEN source IS NOT NULL THEN '- Quality flags: ' || source || ', ' || coalesce(lang, 'none') END) AS prompt FROM documents""")
 def synthesis_prompt(spark: SparkSession, d: str) -> DataFrame:

@@ -54,3 +54,9 @@ def test_entry_has_rows(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_prompts_have_their_numbered_sources(spark):
+    got = registry.queries()["user_prompt_sources"](spark, str(DATA)).toPandas()["prompt"]
+    assert (got.str.contains("## Kaynak [^2] — ", regex=False) & got.str.contains("\n\n---\n\n", regex=False)).any()
+    assert {p.split("\n")[0] for p in got} == {"Aşağıdaki kaynaklara dayanarak soruyu yanıtla.", "Answer the question based on the sources below."}
