@@ -1,9 +1,12 @@
 """Near-duplicate texts: all pairs whose character pieces overlap beyond a threshold.
 
-Each text becomes 256 minima of hashed pieces. Runs of the minima (bands) name blocks; texts that
-are similar enough share a block with a probability beyond 0.999. Within blocks the texts' 256-bit
-fingerprints, one bit a minimum, are compared exactly, tile by tile, with exclusive-or and bit
-counts. Pairs within the radius are held against the threshold with their whole texts.
+A text is the set of its pieces, a long row of bits of which as many are set as it has different
+pieces (its population). Two texts at the threshold differ in no more bits than the radius, and so
+do their populations; the row is sampled by 256 minima of hashed pieces, one bit each. Runs of the
+minima (bands) name blocks; texts that are similar enough share a block with a probability beyond
+0.999. Within blocks the samples are compared exactly, tile by tile in order of population, with
+exclusive-or and bit counts; tiles whose populations differ beyond the radius are skipped. Pairs
+within the radius are held against the threshold with their whole texts.
 """
 
 from __future__ import annotations
@@ -19,13 +22,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint
+from .conversations import connected_components
 
 WORDS = 4  # of 64 bits in a fingerprint
 MINIMA = 64 * WORDS
 TILE = 1024
 BLOCK = 8192  # texts that one task compares with each other at once, about
 SAMPLED = 16  # one text in so many is counted to find large blocks; no block is left out by that
-COPIES = 100  # larger groups of equal texts are linked through their smallest id alone
+EQUAL = 2048  # equal texts that one task pairs with each other at once, about
+PARTNERS = 2048  # candidates of one text that one task measures, about
 BATCH_CHARS = 600_000
 _SPACES = re.compile(r"\s+")
 
@@ -43,7 +48,7 @@ class Measure:
 
     @property
     def radius(self) -> int:
-        """Differing bits that a pair at the threshold passes with odds of 4.5 standard deviations."""
+        """Differing sampled bits that a pair at the threshold passes with odds of 4.5 standard deviations."""
         p = (1 - self.threshold) / 2
         return math.ceil(MINIMA * p + 4.5 * math.sqrt(MINIMA * p * (1 - p)))
 
@@ -64,13 +69,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def minima(texts: list[str], m: Measure) -> tuple[np.ndarray, np.ndarray]:
-    """(texts, MINIMA) minima of hashed pieces, and each text's number of pieces with repeats. Texts are normal already."""
+    """(texts, MINIMA) minima of hashed pieces, and each text's population. Texts are normal already."""
     lens = np.fromiter(map(len, texts), np.int64, len(texts))
     count = np.maximum(lens - m.piece + 1, 0)
     raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     out = np.full((len(texts), MINIMA), np.iinfo(np.uint32).max, np.uint32)
     if not count.sum():
         return out, count
+    size = np.zeros(len(texts), np.int64)
     h = np.zeros(len(raw) - m.piece + 1, np.uint64)
     for k in range(m.piece):
         h = h * np.uint64(0x100000001B3) + raw[k : len(raw) - m.piece + 1 + k]
@@ -78,11 +84,13 @@ def minima(texts: list[str], m: Measure) -> tuple[np.ndarray, np.ndarray]:
     own = np.repeat(np.arange(len(texts)), count)
     at = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count) + begins[own]
     h = _mix(h[at])
+    seen = np.sort((own.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
+    size += np.bincount((seen[np.diff(seen, prepend=~seen[0]) != 0] >> np.uint64(44)).astype(np.int64), minlength=len(texts))
     if m.short:
         first = np.flatnonzero(np.diff(own, prepend=-1))
         for j in range(MINIMA):
             out[own[first], j] = np.minimum.reduceat((_mix(h + np.uint64(j * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(32)).astype(np.uint32), first)
-        return out, count
+        return out, size
     flat = out.reshape(-1)
     for j in range(WORDS):
         g = _mix(h + np.uint64(j * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) if j else h
@@ -96,11 +104,11 @@ def minima(texts: list[str], m: Measure) -> tuple[np.ndarray, np.ndarray]:
         holes = np.flatnonzero(empty[r])
         source = filled[np.searchsorted(filled, holes) % len(filled)]
         bins[r, holes] = (bins[r, source].astype(np.uint64) * np.uint64(0x9E3779B1) + ((holes - source) % 64).astype(np.uint64)).astype(np.uint32) & np.uint32(0xFFFFFFFE)
-    return out, count
+    return out, size
 
 
 def signatures(texts: list[str], m: Measure) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints (texts, WORDS), band keys (texts, bands) and numbers of pieces."""
+    """Sampled bits (texts, WORDS), band keys (texts, bands) and populations."""
     low, count = minima(texts, m)
     bits = (_mix(low.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
     prints = np.packbits(bits, axis=1).view(np.uint64).reshape(len(texts), WORDS)
@@ -110,35 +118,46 @@ def signatures(texts: list[str], m: Measure) -> tuple[np.ndarray, np.ndarray, np
     return prints, _mix(keys + np.arange(m.bands, dtype=np.uint64)[None, :] * np.uint64(0xD6E8FEB86659FD93)), count
 
 
-def close_pairs(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of fingerprints within `radius` of each other, tile by tile in order of bit count."""
-    pops = np.bitwise_count(prints).sum(axis=1)
+def close_pairs(prints: np.ndarray, pops: np.ndarray, m: Measure) -> tuple[np.ndarray, np.ndarray, int]:
+    """Index pairs within the radius of each other, tile by tile in order of population, and the tiles skipped.
+
+    Sets of x and y > x pieces that share the threshold's part of their union differ in
+    (1 - threshold) of it, which y - x exceeds where x < threshold * y. So a tile that begins
+    beyond that, and all after it, hold no partner of the tile at hand. Populations are counted by
+    hashes of 44 bits, so one piece is allowed for.
+    """
     order = np.argsort(pops, kind="stable")
     prints, pops = prints[order], pops[order]
-    left, right = [], []
+    left, right, skipped = [], [], 0
     for i in range(0, len(prints), TILE):
-        a = prints[i : i + TILE]
+        a, most = prints[i : i + TILE], pops[i : i + TILE][-1]
         for j in range(i, len(prints), TILE):
-            if int(pops[j]) - int(pops[min(i + TILE, len(pops)) - 1]) > radius:
-                break  # bit counts only grow from here
+            if m.threshold * pops[j] > most + 1:
+                skipped += -(-(len(prints) - j) // TILE)
+                break
             b = prints[j : j + TILE]
             far = np.bitwise_count(a[:, None, 0] ^ b[None, :, 0]).astype(np.uint16)
             for w in range(1, WORDS):
                 far += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
-            x, y = np.nonzero(far <= radius)
-            keep = (x + i) < (y + j)
+            x, y = np.nonzero(far <= m.radius)
+            keep = ((x + i) < (y + j)) & (pops[x + i] + 1 >= m.threshold * pops[y + j])
             left.append(order[x[keep] + i])
             right.append(order[y[keep] + j])
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(left or none), np.concatenate(right or none), skipped
 
 
-def _in_blocks(key: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Close index pairs within runs of equal keys. `side` 0: all pairs of the block; 1 and 2: only across."""
+def _in_blocks(key: np.ndarray, side: np.ndarray, prints: np.ndarray, pops: np.ndarray, m: Measure) -> tuple[np.ndarray, np.ndarray]:
+    """Close index pairs within runs of equal keys that ascend by population. `side` 0: all pairs of the block; 1 and 2: only across.
+
+    Runs smaller than a tile go together: all their rows are held against the next row, then the
+    one after, and so on; a row whose next is beyond its radius is done.
+    """
     first = np.flatnonzero(np.diff(key, prepend=key[0] - 1 if len(key) else 0))
     size = np.diff(np.append(first, len(key)))
     left, right = [], []
     for f, n in zip(first[size > 48], size[size > 48]):
-        x, y = close_pairs(prints[f : f + n], radius)
+        x, y, _ = close_pairs(prints[f : f + n], pops[f : f + n], m)
         left.append(x + f)
         right.append(y + f)
     small = np.repeat(size <= 48, size)
@@ -146,7 +165,8 @@ def _in_blocks(key: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: in
     last = np.repeat(first + size, size)
     while len(at):
         at = at[at + gap < last[at]]
-        near = np.bitwise_count(prints[at] ^ prints[at + gap]).sum(axis=1) <= radius
+        at = at[pops[at] + 1 >= m.threshold * pops[at + gap]]
+        near = np.bitwise_count(prints[at] ^ prints[at + gap]).sum(axis=1) <= m.radius
         left.append(at[near])
         right.append(at[near] + gap)
         gap += 1
@@ -156,8 +176,8 @@ def _in_blocks(key: np.ndarray, side: np.ndarray, prints: np.ndarray, radius: in
 
 
 def _signed(rows: DataFrame, m: Measure) -> DataFrame:
-    """id, twin (a hash of the normal text), fingerprint words and band keys of every text that has pieces."""
-    schema = "id string, twin binary, " + ", ".join(f"f{w} long" for w in range(WORDS)) + ", bands array<long>"
+    """id, twin (a hash of the normal text), population, sampled words and band keys of every text that has pieces."""
+    schema = "id string, twin binary, pop int, " + ", ".join(f"f{w} long" for w in range(WORDS)) + ", bands array<long>"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
@@ -176,20 +196,20 @@ def _signed(rows: DataFrame, m: Measure) -> DataFrame:
                     start, size = end, 0
                     continue
                 words = {f"f{w}": prints[ok, w].view(np.int64) for w in range(WORDS)}
-                yield pd.DataFrame({"id": ids[start:end][ok], "twin": [hashlib.blake2b(part[i].encode("utf-8", "replace"), digest_size=16).digest() for i in ok], **words, "bands": list(keys[ok].view(np.int64))})
+                yield pd.DataFrame({"id": ids[start:end][ok], "twin": [hashlib.blake2b(part[i].encode("utf-8", "replace"), digest_size=16).digest() for i in ok], "pop": count[ok].astype(np.int32), **words, "bands": list(keys[ok].view(np.int64))})
                 start, size = end, 0
 
     return rows.mapInPandas(run, schema)
 
 
 def _candidates(heads: DataFrame, m: Measure) -> DataFrame:
-    """Distinct pairs (a < b) of hashed ids whose fingerprints are close in some block.
+    """Distinct pairs (a < b) of hashed ids that are close in some block.
 
     Blocks of more than about BLOCK texts are split: their texts get a group by hash, and every pair of
     groups is a block of its own, so that no task holds an unbounded block and no pair is lost.
     """
     words = [f"f{w}" for w in range(WORDS)]
-    spread = heads.select("rid", *words, F.explode("bands").alias("key"))
+    spread = heads.select("rid", "pop", *words, F.explode("bands").alias("key"))
     some = spread.where(F.pmod(F.xxhash64("rid"), F.lit(SAMPLED)) == 0).groupBy("key").agg((F.count(F.lit(1)) * SAMPLED).alias("n"))
     large = some.where(F.col("n") > BLOCK // 2).select("key", F.ceil(F.col("n") / (BLOCK // 2)).cast("int").alias("groups"))
     # at most bands * texts / BLOCK blocks are large
@@ -197,8 +217,7 @@ def _candidates(heads: DataFrame, m: Measure) -> DataFrame:
     others = F.sequence(F.lit(0), F.col("groups") - 1)
     shares = F.transform(others, lambda o: F.struct(F.xxhash64("key", F.least(own, o), F.greatest(own, o)).alias("key"), F.when(o == own, 0).when(own < o, 1).otherwise(2).alias("side")))
     plain = F.array(F.struct(F.col("key").alias("key"), F.lit(0).alias("side")))
-    split = spread.join(large, "key", "left").select("rid", *words, F.explode(F.when(F.col("groups").isNull(), plain).otherwise(shares)).alias("s")).select("s.key", "s.side", "rid", *words)
-    radius = m.radius
+    split = spread.join(large, "key", "left").select("rid", "pop", *words, F.explode(F.when(F.col("groups").isNull(), plain).otherwise(shares)).alias("s")).select("s.key", "s.side", "rid", "pop", *words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -215,34 +234,42 @@ def _candidates(heads: DataFrame, m: Measure) -> DataFrame:
     def found(b: pd.DataFrame) -> pd.DataFrame:
         prints = np.ascontiguousarray(b[words].to_numpy(np.int64)).view(np.uint64)
         rid = b["rid"].to_numpy()
-        x, y = _in_blocks(b["key"].to_numpy(), b["side"].to_numpy(), prints, radius)
+        x, y = _in_blocks(b["key"].to_numpy(), b["side"].to_numpy(), prints, b["pop"].to_numpy(), m)
         x, y = np.minimum(rid[x], rid[y]), np.maximum(rid[x], rid[y])
         return pd.DataFrame({"a": x, "b": y})[x != y].drop_duplicates()
 
-    return split.repartition("key").sortWithinPartitions("key").mapInPandas(run, "a long, b long").distinct()
+    return split.repartition("key").sortWithinPartitions("key", "pop").mapInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(rows: DataFrame, m: Measure, number_ids: bool = False) -> tuple[DataFrame, DataFrame]:
     """Links between different texts and the members of groups of equal texts.
 
     `rows` has id and text. The first result is (id_a, id_b, similarity), one row for each pair
-    of class representatives at or above the threshold; the second (class_id, id), a row for each
-    text that has pieces, class_id being the smallest id with the same normal text. Null texts,
-    texts shorter than `shortest` and those without a whole piece belong to none. ids must be
-    unique; ids are compared as numbers where `number_ids`. Repeated rows count once.
+    of class representatives at or above the threshold; the second (class_id, id, n), a row for
+    each text that has pieces, class_id being the smallest id with the same normal text and n the
+    number of such texts. Null ids and texts, texts shorter than `shortest` and those without a
+    whole piece belong to none. ids must be unique; ids are compared as numbers where
+    `number_ids`. Repeated rows count once. Other columns are not kept.
     """
     texts = rows.where(F.col("id").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= m.shortest)).select("id", "text")
     signed = checkpoint(_signed(texts, m))
     rank = F.col("id").cast("long") if number_ids else F.col("id")
     words = [f"f{w}" for w in range(WORDS)]
-    classes = signed.groupBy("twin").agg(F.min(F.struct(rank.alias("k"), "id", *words, "bands")).alias("h"), F.count(F.lit(1)).alias("n"))
-    heads = classes.select(F.xxhash64("h.id").alias("rid"), F.col("h.id").alias("id"), *[F.col(f"h.{w}") for w in words], "h.bands")
+    classes = signed.groupBy("twin").agg(F.min(F.struct(rank.alias("k"), "id", "pop", *words, "bands")).alias("h"), F.countDistinct("id").alias("n"))
+    heads = classes.select(F.xxhash64("h.id").alias("rid"), F.col("h.id").alias("id"), "h.pop", *[F.col(f"h.{w}") for w in words], "h.bands")
     pairs = checkpoint(_candidates(heads, m))
     named = heads.select("rid", "id")
-    wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select(F.col("b").alias("rid"))).distinct().join(named, "rid").join(texts.dropDuplicates(["id"]), "id")
-    wanted = checkpoint(wanted.select("rid", "id", "text"))
-    left, right = (wanted.select(*[F.col(c).alias(c + s) for c in wanted.columns]) for s in ("_a", "_b"))
-    both = pairs.join(left, pairs["a"] == left["rid_a"]).join(right, pairs["b"] == right["rid_b"]).select("id_a", "id_b", "text_a", "text_b")
+    # a text of many partners is measured in groups of them, each with its own copy of the text
+    ends = pairs.select(F.col("a").alias("rid")).unionAll(pairs.select(F.col("b").alias("rid"))).groupBy("rid").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("groups"))
+    wanted = checkpoint(ends.join(named, "rid").join(texts.dropDuplicates(["id"]), "id").select("rid", "groups", "id", "text"))
+    heavy = wanted.where("groups > 1").select("rid", "groups")
+    parts = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    left, right = (parts.select(*[F.col(c).alias(c + s) for c in ("rid", "part", "id", "text")]) for s in ("_a", "_b"))
+    dealt = pairs
+    for own, other in (("a", "b"), ("b", "a")):
+        dealt = dealt.join(heavy.select(F.col("rid").alias(own), F.col("groups").alias("_g")), own, "left").withColumn(f"part_of_{own}", F.coalesce(F.pmod(F.xxhash64(other), F.col("_g")).cast("int"), F.lit(0))).drop("_g")
+    with_a = dealt.join(left, (F.col("a") == F.col("rid_a")) & (F.col("part_of_a") == F.col("part_a"))).select("b", "part_of_b", "id_a", "text_a")
+    both = with_a.join(right, (F.col("b") == F.col("rid_b")) & (F.col("part_of_b") == F.col("part_b"))).select("id_a", "id_b", "text_a", "text_b")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -262,20 +289,45 @@ def near_duplicates(rows: DataFrame, m: Measure, number_ids: bool = False) -> tu
 
 
 def all_pairs(links: DataFrame, members: DataFrame, number_ids: bool = False) -> DataFrame:
-    """(id_a, id_b) of all pairs, members of groups of equal texts included.
+    """(id_a, id_b) of all pairs, each once: of the members of linked classes, and of equal texts.
 
-    Groups of more than COPIES equal texts are not expanded: their members are paired with the
-    smallest id, and that id alone with other texts.
+    Large classes are dealt to groups of about EQUAL texts, and every pair of groups is paired by
+    itself, so that no task holds an unbounded class. The result has as many rows as there are
+    pairs; links and members say the same at the size of the texts.
     """
-    own = members.where((F.col("n") <= COPIES) | (F.col("id") == F.col("class_id")))
-    a, b = (own.select(F.col("class_id").alias(f"class_{s}"), F.col("id").alias(s)) for s in ("x", "y"))
-    cross = links.select(F.col("id_a").alias("class_x"), F.col("id_b").alias("class_y")).join(a, "class_x").join(b, "class_y").select("x", "y")
-    several = members.where((F.col("n") > 1) & (F.col("n") <= COPIES))
-    within = several.select("class_id", F.col("id").alias("x")).join(several.select("class_id", F.col("id").alias("y")), "class_id").where(F.col("x") != F.col("y")).select("x", "y")
-    star = members.where((F.col("n") > COPIES) & (F.col("id") != F.col("class_id"))).select(F.col("class_id").alias("x"), F.col("id").alias("y"))
-    pairs = cross.unionByName(within).unionByName(star)
-    first = F.col("x").cast("long") < F.col("y").cast("long") if number_ids else F.col("x") < F.col("y")
-    return pairs.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("id_a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("id_b")).distinct()
+    share = F.ceil(F.col("n") / EQUAL).cast("int")
+    dealt = members.select("class_id", "id", "n", share.alias("g"), F.pmod(F.xxhash64("id"), share).cast("int").alias("part"))
+    a, b = (dealt.select(F.col("class_id").alias(f"class_{s}"), F.col("part").alias(f"part_{s}"), F.col("id").alias(s)) for s in ("x", "y"))
+    sizes = members.where(F.col("id") == F.col("class_id")).select("class_id", share.alias("g"))
+    spread = links.select(F.col("id_a").alias("class_x"), F.col("id_b").alias("class_y"))
+    for s in ("x", "y"):
+        spread = spread.join(sizes.select(F.col("class_id").alias(f"class_{s}"), "g"), f"class_{s}").withColumn(f"part_{s}", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).drop("g")
+    cross = spread.join(a, ["class_x", "part_x"]).join(b, ["class_y", "part_y"]).select("x", "y")
+    other = F.explode(F.sequence(F.lit(0), F.col("g") - 1))
+    rows = dealt.where("n > 1")
+    x = rows.select("class_id", F.col("id").alias("x"), F.col("part").alias("part_x"), other.alias("part_y"))
+    y = rows.select("class_id", F.col("id").alias("y"), F.col("part").alias("part_y"), other.alias("part_x"))
+    before = (lambda p, q: F.col(p).cast("long") < F.col(q).cast("long")) if number_ids else (lambda p, q: F.col(p) < F.col(q))
+    within = x.join(y, ["class_id", "part_x", "part_y"]).where(before("x", "y")).select("x", "y")
+    first = before("x", "y")
+    return cross.unionByName(within).select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("id_a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("id_b"))
+
+
+def groups(links: DataFrame, members: DataFrame, number_ids: bool = False) -> DataFrame:
+    """(id, class_id, group_id, n_links): a row for each text that has pieces.
+
+    group_id is the smallest id among all texts that links of similar ones lead to, n_links the
+    number of other classes that the text's class is linked to.
+    """
+    rank = F.col("id").cast("long") if number_ids else F.col("id")
+    own = members.where(F.col("id") == F.col("class_id")).select("class_id", F.xxhash64("class_id").alias("node"))
+    edges = links.select(F.xxhash64("id_a").alias("a"), F.xxhash64("id_b").alias("b"))
+    parts = connected_components(edges.unionAll(own.select(F.col("node"), F.col("node"))))
+    named = parts.join(own, "node").select("class_id", "component", F.col("class_id").alias("id"))
+    least = named.groupBy("component").agg(F.min_by("id", rank).alias("group_id"))
+    degree = links.select(F.explode(F.array("id_a", "id_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("n_links"))
+    of_class = named.select("class_id", "component").join(least, "component").join(degree, "class_id", "left").select("class_id", "group_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return members.select("class_id", "id").join(of_class, "class_id").select("id", "class_id", "group_id", "n_links")
 
 
 CONTENT = Measure(piece=5, threshold=0.6, shortest=200, bands=30, rows=3)

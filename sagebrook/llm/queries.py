@@ -13,6 +13,7 @@ from .conversations import sound_conversations
 from .language import corrected_labels, fit, text_languages
 from .mixing import mix_sources
 from .neardup import CONTENT, TITLE, all_pairs, near_duplicates
+from .neardup import groups as near_groups
 from .neighbours import nearest
 from .packing import container_use, pack_documents
 from .pairs import TRAIN_PAIRS, defective_pairs, prompt_pairs, train_classifier, training_pairs
@@ -79,12 +80,29 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_defects(spark, sf_dir).select("answer_id", "defect").distinct()
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of chunks with nearly the same content and of documents with nearly the same title."""
+def _near(spark: SparkSession, sf_dir: str) -> list[tuple[str, bool, tuple[DataFrame, DataFrame]]]:
+    """Links and members of contents and of titles, and whether their ids are numbers."""
     chunks = latest(table(spark, sf_dir, "chunks"), "id", "ingested_at", ["content"]).withColumnRenamed("content", "text")
     titles = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("title").alias("text"))
-    content = all_pairs(*near_duplicates(chunks, CONTENT)).select(F.lit("chunks").alias("record_kind"), "id_a", "id_b")
-    return content.unionByName(all_pairs(*near_duplicates(titles, TITLE, True), True).select(F.lit("documents").alias("record_kind"), "id_a", "id_b"))
+    return [("chunks", False, near_duplicates(chunks, CONTENT)), ("documents", True, near_duplicates(titles, TITLE, True))]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks with nearly the same content and of documents with nearly the same title."""
+    out = [all_pairs(*found, number).select(F.lit(kind).alias("record_kind"), "id_a", "id_b") for kind, number, found in _near(spark, sf_dir)]
+    return out[0].unionByName(out[1])
+
+
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same between texts that differ, each by its smallest id; p5_groups has who shares a text."""
+    out = [links.select(F.lit(kind).alias("record_kind"), "id_a", "id_b", F.round("similarity", 6).alias("similarity")) for kind, _, (links, _) in _near(spark, sf_dir)]
+    return out[0].unionByName(out[1])
+
+
+def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every chunk and title with its class of equal texts and its group of nearly equal ones."""
+    out = [near_groups(*found, number).select(F.lit(kind).alias("record_kind"), F.col("id").alias("record_id"), "class_id", "group_id", "n_links") for kind, number, found in _near(spark, sf_dir)]
+    return out[0].unionByName(out[1])
 
 
 def _vectors(spark: SparkSession, sf_dir: str, field: str) -> DataFrame:
@@ -151,4 +169,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": sql.P2_FOUND, "p5_found": sql.P5_FOUND, "p6_found": sql.P6_FOUND, "p7_found": sql.P7_FOUND}
+    return {"p2_found": sql.P2_FOUND, "p5_found": sql.P5_FOUND, "p5_links": sql.P5_LINKS, "p5_groups": sql.P5_GROUPS, "p6_found": sql.P6_FOUND, "p7_found": sql.P7_FOUND}

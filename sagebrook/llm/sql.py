@@ -7,19 +7,41 @@ P2_FOUND = rf"""SELECT id AS chunk_id, CASE WHEN list_max(list_transform(regexp_
 FROM (SELECT id, arg_max(content, ingested_at) AS content FROM chunks WHERE id IS NOT NULL GROUP BY id), (SELECT amount FROM size_limits WHERE limit_name = 'split_limit_chars') WHERE length(content) > amount"""
 
 
+_NORM = rf"regexp_replace(regexp_replace(lower(replace(text, 'İ', 'i' || chr(775))), '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g')"
+_CONTENTS = "(SELECT id, arg_max(content, ingested_at) AS text FROM chunks WHERE id IS NOT NULL GROUP BY id HAVING length(arg_max(content, ingested_at)) >= 200)"
+_TITLES = "(SELECT doc_id::VARCHAR AS id, title AS text FROM documents WHERE doc_id IS NOT NULL AND title IS NOT NULL)"
+
+
+def _pairs(piece: int, threshold: float, before: str) -> str:
+    """Tables after a table t (id, x): p, n and l, the pairs a, b at or above the threshold with their similarity."""
+    return f"""p AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(x) - {piece - 2}), lambda i: substring(x, i, {piece}))) AS s FROM t WHERE length(x) >= {piece}), n AS (SELECT id, count(*) AS n FROM p GROUP BY id),
+ l AS (SELECT a, b, c / (x.n + y.n - c)::DOUBLE AS similarity FROM (SELECT u.id AS a, v.id AS b, count(*) AS c FROM p u JOIN p v ON u.s = v.s AND {before} GROUP BY u.id, v.id) JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= {threshold} * (x.n + y.n - c) - 1e-9)"""
+
+
 def _similar(source: str, kind: str, piece: int, threshold: float, before: str) -> str:
-    norm = rf"regexp_replace(regexp_replace(lower(replace(text, 'İ', 'i' || chr(775))), '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g')"
-    return f"""SELECT '{kind}' AS record_kind, a AS id_a, b AS id_b FROM (WITH t AS (SELECT id, {norm} AS x FROM {source}),
- p AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(x) - {piece - 2}), lambda i: substring(x, i, {piece}))) AS s FROM t WHERE length(x) >= {piece}), n AS (SELECT id, count(*) AS n FROM p GROUP BY id),
- c AS (SELECT u.id AS a, v.id AS b, count(*) AS c FROM p u JOIN p v ON u.s = v.s AND {before} GROUP BY u.id, v.id)
- SELECT a, b FROM c JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE c >= {threshold} * (x.n + y.n - c) - 1e-9)"""
-
-
-P5_FOUND = (
-    _similar("(SELECT id, arg_max(content, ingested_at) AS text FROM chunks WHERE id IS NOT NULL GROUP BY id HAVING length(arg_max(content, ingested_at)) >= 200)", "chunks", 5, 0.6, "u.id < v.id")
-    + " UNION ALL "
-    + _similar("(SELECT doc_id::VARCHAR AS id, title AS text FROM documents WHERE doc_id IS NOT NULL AND title IS NOT NULL)", "documents", 3, 0.7, "u.id::BIGINT < v.id::BIGINT")
-)
+    return f"SELECT '{kind}' AS record_kind, a AS id_a, b AS id_b FROM (WITH t AS (SELECT id, {_NORM} AS x FROM {source}), {_pairs(piece, threshold, before)} SELECT a, b FROM l)"
+
+
+def _classes(source: str, piece: int, threshold: float, before: str, number: str) -> str:
+    return f"""m AS (SELECT id, x, min_by(id, id{number}) OVER (PARTITION BY x) AS class_id FROM (SELECT id, {_NORM} AS x FROM {source}) WHERE length(x) >= {piece}),
+ t AS (SELECT id, x FROM m WHERE id = class_id), {_pairs(piece, threshold, before)}"""
+
+
+def _links(source: str, kind: str, piece: int, threshold: float, before: str, number: str = "") -> str:
+    return f"SELECT '{kind}' AS record_kind, a AS id_a, b AS id_b, round(similarity, 6) AS similarity FROM (WITH {_classes(source, piece, threshold, before, number)} SELECT * FROM l)"
+
+
+def _groups(source: str, kind: str, piece: int, threshold: float, before: str, number: str = "") -> str:
+    return f"""SELECT '{kind}' AS record_kind, id AS record_id, class_id, group_id, n_links FROM (WITH RECURSIVE {_classes(source, piece, threshold, before, number)},
+ e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r AS (SELECT id, id AS g FROM t UNION SELECT r.id, e.b FROM r JOIN e ON r.g = e.a),
+ k AS (SELECT id, min_by(g, g{number}) AS group_id FROM r GROUP BY id), d AS (SELECT a, count(*)::BIGINT AS n FROM e GROUP BY a)
+ SELECT m.id, class_id, group_id, coalesce(n, 0) AS n_links FROM m JOIN k ON k.id = class_id LEFT JOIN d ON d.a = class_id)"""
+
+
+_ON_CONTENTS, _ON_TITLES = (_CONTENTS, "chunks", 5, 0.6, "u.id < v.id"), (_TITLES, "documents", 3, 0.7, "u.id::BIGINT < v.id::BIGINT")
+P5_FOUND = _similar(*_ON_CONTENTS) + " UNION ALL " + _similar(*_ON_TITLES)
+P5_LINKS = _links(*_ON_CONTENTS) + " UNION ALL " + _links(*_ON_TITLES, "::BIGINT")
+P5_GROUPS = _groups(*_ON_CONTENTS) + " UNION ALL " + _groups(*_ON_TITLES, "::BIGINT")
 
 
 def _nearest(field: str) -> str:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from sagebrook.llm import neardup
-from sagebrook.llm.neardup import CONTENT, TITLE, Measure, all_pairs, close_pairs, near_duplicates, normal, pieces
+from sagebrook.llm.neardup import CONTENT, TITLE, Measure, all_pairs, close_pairs, groups, near_duplicates, normal, pieces
 
 
 def brute(texts, m, number=False):
@@ -52,19 +52,57 @@ def test_titles_against_brute_force(spark):
     assert len(want) > 60 and len(want - got) <= 0.005 * len(want)
 
 
-def test_copies_and_edges(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "COPIES", 5)
+def test_copies_and_edges(spark):
     text = " ".join(corpus(1, (60, 61), 3)["0"].split())
     texts = {f"{i:02}": text.replace(" ", "\n ") if i % 2 else text for i in range(12)} | {"n": None, "e": "", "s": "short", "x": text[:150] + " " + text[:60]}
-    got = found(spark, texts, CONTENT)
-    assert {p for p in got if p[0] == "00"} >= {("00", f"{i:02}") for i in range(1, 12)}
-    assert all("00" in p for p in got if p[0] < "n" and p[1] < "n")
-    few = {k: texts[k] for k in ("00", "01", "02", "n", "e")}
-    assert found(spark, few, CONTENT) == brute(few, CONTENT)
+    assert found(spark, texts, CONTENT) == brute(texts, CONTENT)
     assert found(spark, {"1": None}, CONTENT) == set()
     assert found(spark, {"1": "", "2": "ab", "3": "ab"}, TITLE) == set()
 
 
+def test_every_pair_of_many_equal_texts(spark, monkeypatch):
+    """A class of any size is expanded, in groups, and linked to others with all its members."""
+    text = " ".join(corpus(1, (60, 61), 3)["0"].split())
+    near = text[:-12] + " something"
+    texts = {f"{i:03}": text for i in range(102)} | {"x": near, "y": near}
+    for equal in (neardup.EQUAL, 16):
+        monkeypatch.setattr(neardup, "EQUAL", equal)
+        df = spark.createDataFrame(list(texts.items()), "id string, text string")
+        got = [(r["id_a"], r["id_b"]) for r in all_pairs(*near_duplicates(df, CONTENT)).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(texts, CONTENT)
+        assert sum(a < "x" and b < "x" for a, b in got) == 5151
+
+
+def test_texts_of_many_partners_are_dealt(spark, monkeypatch):
+    texts = corpus(120, (45, 60), 6)
+    want = found(spark, texts, CONTENT)
+    monkeypatch.setattr(neardup, "PARTNERS", 2)
+    assert found(spark, texts, CONTENT) == want and want
+
+
+def test_groups_are_components_of_links(spark):
+    texts = corpus(150, (45, 90), 7) | {"900": None}
+    texts |= {"901": texts["0"]}
+    df = spark.createDataFrame(list(texts.items()), "id string, text string")
+    parts = near_duplicates(df, CONTENT, True)
+    got = {r["id"]: r for r in groups(*parts, True).collect()}
+    root = {k: k for k in got}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in all_pairs(*parts, True).collect():
+        x, y = sorted((find(a), find(b)), key=int)
+        root[y] = x
+    assert {k: r["group_id"] for k, r in got.items()} == {k: find(k) for k in got}
+    assert got["901"]["class_id"] == "0" and got["901"]["n_links"] == got["0"]["n_links"] and "900" not in got
+    assert sum(r["n_links"] for k, r in got.items() if k == r["class_id"]) == 2 * parts[0].count()
+    nothing = near_duplicates(df.limit(0), CONTENT)
+    assert groups(*nothing).count() == 0 and all_pairs(*nothing).count() == 0
+
+
 def test_large_blocks_are_split_without_loss(spark, monkeypatch):
     texts = {k: v for k, v in corpus(150, (45, 60), 4).items()}
     want = found(spark, texts, CONTENT)
@@ -74,12 +112,19 @@ def test_large_blocks_are_split_without_loss(spark, monkeypatch):
 
 
 def test_tiles_skip_nothing_within_the_radius():
-    rng = np.random.default_rng(5)
-    prints = rng.integers(0, 2**63, (2600, neardup.WORDS), dtype=np.int64).view(np.uint64)
-    prints[1300:] = prints[:1300] ^ (np.uint64(1) << rng.integers(0, 63, (1300, neardup.WORDS)).astype(np.uint64))
-    x, y = close_pairs(prints, 60)
+    """Texts of all lengths: tiles beyond the radius of populations are skipped, and no similar pair is lost by it."""
+    r = random.Random(8)
+    base = ["".join(r.choice("abcdefghij ") for _ in range(int(200 * 1.002**i))) for i in range(1500)]
+    texts = base + [t[: len(t) * 4 // 5] for t in base]
+    prints, _, pops = neardup.signatures(texts, CONTENT)
+    assert [len(pieces(t, 5)) for t in texts] == pops.tolist()
+    x, y, skipped = close_pairs(prints, pops, CONTENT)
+    got = {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())}
     far = np.bitwise_count(prints[:, None, :] ^ prints[None, :, :]).sum(axis=2)
-    assert {tuple(sorted(p)) for p in zip(x.tolist(), y.tolist())} == {(a, b) for a, b in zip(*map(np.ndarray.tolist, np.nonzero(far <= 60))) if a < b}
+    a, b = np.nonzero(np.triu(far <= CONTENT.radius, 1))
+    near = {(i, j) for i, j in zip(a.tolist(), b.tolist()) if min(pops[i], pops[j]) + 1 >= 0.6 * max(pops[i], pops[j])}
+    assert got == near and {(i, i + 1500) for i in range(1500)} <= got
+    assert skipped >= 1
 
 
 def test_radius_passes_the_threshold():
