@@ -11,6 +11,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ TRAIN_LENGTHS = (20, 4000)
 LEAST_LETTERS = 20  # letters that a sentence needs to speak for itself
 LEAST_CJK = 5  # letters that a sentence mostly in Chinese characters or kana needs; an alphabet's word is one or two of them
 LEAST_MARGIN = 0.05  # by which its best cosine must exceed the next
-LONGEST_WORD = 30  # longer runs of Latin letters are codes, not words
+DOUBT = 0.98  # confidence under which a text is looked at for being junk
 BATCH_CHARS = 400_000
 
 # Symbols: Latin letters by themselves, other scripts in blocks, a place for everything else.
@@ -135,12 +136,6 @@ class Coded:
             grams[1:-1] = z[:-2] * N_SYMBOLS**2 + z[1:-1] * N_SYMBOLS + z[2:]
             grams[0], grams[-1] = z[0] * N_SYMBOLS + z[1], z[-2] * N_SYMBOLS**2 + z[-1] * N_SYMBOLS
         letter = z > 0
-        gaps = np.concatenate(([-1], np.flatnonzero(~letter), [len(z)]))
-        runs = np.flatnonzero(np.diff(gaps) - 1 > LONGEST_WORD)
-        for r in runs:
-            word = slice(gaps[r] + 1, gaps[r + 1])
-            if z[word].max() <= len(_LATIN):
-                letter[word] = False
         self.at, self.grams = self.at[letter], grams[letter]
         self.kana, self.cjk = ((z[letter] > _CJK[0]) & (z[letter] <= end) for end in _CJK[1:])
 
@@ -170,11 +165,19 @@ class Coded:
         return np.flatnonzero(cut)
 
 
+class Fitted(NamedTuple):
+    """What texts are compared with: prototypes, and the curve that turns margins into confidence."""
+
+    prototypes: np.ndarray
+    curve: tuple[float, float, float] = (0.0, 60.0, 1.0)  # a logistic over 1, the margin, and the letters' logarithm
+
+
 class Profiles:
     """Language prototypes and the n-gram products kept so far."""
 
-    def __init__(self, prototypes: np.ndarray) -> None:
-        self.prototypes = prototypes
+    def __init__(self, fitted: Fitted | np.ndarray) -> None:
+        fitted = fitted if isinstance(fitted, Fitted) else Fitted(fitted)
+        self.prototypes, self.curve = fitted
         self.table = np.zeros((N_SYMBOLS**3, len(LANGUAGES)), np.float32)
         self.known = np.zeros(N_SYMBOLS**3, bool)
 
@@ -186,29 +189,74 @@ class Profiles:
         self.known[new] = True
         return self.table[grams]
 
-    def cosines(self, coded: Coded) -> tuple[np.ndarray, np.ndarray]:
-        """For each segment of `coded`: cosines with the prototypes, and the number of letters."""
+    def sums(self, coded: Coded) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each segment of `coded`: its bundle's products with the prototypes, the bundle's norm, and the number of letters."""
         seg = np.searchsorted(coded.ends, coded.at)
         n = np.bincount(seg, minlength=len(coded.ends))
         out = np.zeros((len(coded.ends), len(LANGUAGES)), np.float32)
         if len(seg):
             first = np.flatnonzero(np.diff(seg, prepend=-1))
             out[seg[first]] = np.add.reduceat(self.products(coded.grams), first, axis=0)
-        return out / np.sqrt(np.maximum(n, 1))[:, None], n
+        return out, norms(coded.grams, seg, len(coded.ends)), n
 
+    def cosines(self, coded: Coded) -> tuple[np.ndarray, np.ndarray]:
+        """For each segment of `coded`: cosines with the prototypes, and the number of letters."""
+        out, norm, n = self.sums(coded)
+        return out / norm[:, None], n
 
-def _bundle(grams: np.ndarray) -> np.ndarray:
-    uniq, count = np.unique(grams, return_counts=True)
-    weight = np.log1p(count * (1e5 / max(1, len(grams)))).astype(np.float32)
-    out = np.zeros(DIMENSIONS, np.float32)
-    for i in range(0, len(uniq), 4096):
-        out += weight[i : i + 4096] @ _bound(uniq[i : i + 4096]).astype(np.float32)
-    return out
+    def confidence(self, margin: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """How likely texts of so many letters are in the language that leads by so much."""
+        a, b, c = self.curve
+        return 1 / (1 + np.exp(-np.clip(a + b * np.maximum(margin, 0) + c * np.log(np.maximum(letters, 1)), -30, 30)))
+
+
+def norms(grams: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Norms of the groups' bundles, in roots of DIMENSIONS: of n-gram counts, as different n-grams' vectors are all but orthogonal."""
+    if not len(grams):
+        return np.ones(groups)
+    key = np.sort(group.astype(np.int64) * N_SYMBOLS**3 + grams)
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    count = np.diff(np.append(first, len(key)))
+    return np.sqrt(np.maximum(np.bincount(key[first] // N_SYMBOLS**3, weights=count.astype(float) ** 2, minlength=groups), 1))
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
     rows = rows - rows.mean(axis=0)
-    return rows * np.sqrt(DIMENSIONS) / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    return (rows * np.sqrt(DIMENSIONS) / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+
+class _Vectors:
+    """The vectors of all n-grams that occur in training, bound once and kept."""
+
+    def __init__(self, grams: np.ndarray) -> None:
+        self.uniq = np.unique(grams)
+        self.bound = np.concatenate([_bound(self.uniq[i : i + 4096]) for i in range(0, len(self.uniq), 4096)])
+
+    def times(self, rows: np.ndarray) -> np.ndarray:
+        """(n-grams, rows) products with rows of DIMENSIONS numbers, as parts of DIMENSIONS."""
+        return np.concatenate([self.bound[i : i + 4096].astype(np.float32) @ rows.T / DIMENSIONS for i in range(0, len(self.uniq), 4096)])
+
+    def bundles(self, weights: np.ndarray) -> np.ndarray:
+        """(rows, DIMENSIONS) bundles of n-grams with (rows, n-grams) weights."""
+        out = np.zeros((len(weights), DIMENSIONS), np.float32)
+        for i in range(0, len(self.uniq), 4096):
+            out += weights[:, i : i + 4096].astype(np.float32) @ self.bound[i : i + 4096].astype(np.float32)
+        return out
+
+
+def _coded_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """N-grams of all texts, with the text and the sentence (numbered through) of each."""
+    out, begin, size = [], 0, 0
+    sentences = 0
+    for end in range(1, len(texts) + 1):
+        size += len(texts[end - 1])
+        if size >= BATCH_CHARS or end == len(texts):
+            c = Coded(texts[begin:end])
+            seg = np.searchsorted(c.ends, c.at)
+            out.append((c.grams, begin + np.searchsorted(c.starts, c.at, side="right") - 1, sentences + seg))
+            sentences += len(c.ends)
+            begin, size = end, 0
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def fit_prototypes(texts: list[str], labels: list[str], rounds: int = 2, epochs: int = 20) -> np.ndarray:
@@ -219,63 +267,89 @@ def fit_prototypes(texts: list[str], labels: list[str], rounds: int = 2, epochs:
     least margin, are added to its prototype and taken from the rival's; sentences that clearly
     speak another language are left alone.
     """
-    if not texts:
-        return np.zeros((len(LANGUAGES), DIMENSIONS), np.float32)
-    grams, sentence = [], []
-    for c in (Coded([t]) for t in texts):
-        grams.append(c.grams)
-        sentence.append(np.searchsorted(c.ends, c.at).astype(np.int32))
-    kept = np.ones(len(texts), bool)
+    made, kept = np.zeros((len(LANGUAGES), DIMENSIONS), np.float32), np.ones(len(texts), bool)
+    grams, text, sentence = _coded_texts(texts)
+    if not len(grams):
+        return made
+    size = np.bincount(text, minlength=len(texts))
+    vectors = _Vectors(grams)
+    at = np.searchsorted(vectors.uniq, grams)
     y = np.array([LANGUAGES.index(x) for x in labels])
-    rows = np.zeros((len(LANGUAGES), DIMENSIONS), np.float32)
     for turn in range(rounds + 1):
+        weights = np.zeros((len(LANGUAGES), len(vectors.uniq)))
         for i in range(len(LANGUAGES)):
-            mine = [g for g, k in zip(grams, kept & (y == i)) if k and len(g)]
-            rows[i] = _bundle(np.concatenate(mine)) if mine else 0
-        made = _unit(rows)
-        if turn == rounds:
-            break
-        p = Profiles(made)
-        for i, g in enumerate(grams):
-            if len(g):
-                kept[i] = int(p.products(g).sum(axis=0).argmax()) == y[i]
-    parts, goal = [], []
-    for g, seg, k, lang in zip(grams, sentence, kept, y):
-        if k:
-            for part in np.split(g, np.flatnonzero(np.diff(seg)) + 1):
-                if len(part) >= LEAST_LETTERS:
-                    parts.append(part)
-                    goal.append(lang)
-    if not parts:
+            mine = np.bincount(at[(kept & (y == i))[text]], minlength=len(vectors.uniq))
+            weights[i] = np.log1p(mine * (1e5 / max(1, mine.sum())))
+        made = _unit(vectors.bundles(weights))
+        if turn < rounds:
+            table = vectors.times(made)
+            totals = np.stack([np.bincount(text, weights=table[at, i], minlength=len(texts)) for i in range(len(LANGUAGES))], axis=1)
+            kept = (totals.argmax(axis=1) == y) | (size == 0)
+    # sentences of the texts that were kept, long enough to speak for themselves
+    first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(sentence, prepend=-1) != 0))
+    n = np.diff(np.append(first, len(text)))
+    chosen = kept[text[first]] & (n >= LEAST_LETTERS)
+    if not chosen.any():
         return made
-    del grams, sentence
-    goal = np.array(goal)
-    n = np.array(list(map(len, parts)))
-    uniq = np.unique(np.concatenate(parts))
-    spans = np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), BATCH_CHARS))  # sentences that go through at once
+    own = np.repeat(np.cumsum(chosen) - 1, n)[np.repeat(chosen, n)]
+    at, goal, n = at[np.repeat(chosen, n)], y[text[first]][chosen], n[chosen]
+    begin, norm = np.cumsum(n) - n, norms(at, own, len(n))
+    spans = [*np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), BATCH_CHARS)), len(n)]  # sentences that go through at once
     for _ in range(epochs):
-        table = np.concatenate([_bound(uniq[i : i + 4096]).astype(np.float32) @ made.T / DIMENSIONS for i in range(0, len(uniq), 4096)])
+        table = vectors.times(made)
         cos = np.zeros((len(n), len(LANGUAGES)), np.float32)
-        for a, b in zip(spans, np.append(spans[1:], len(n))):
+        for a, b in zip(spans, spans[1:]):
             if b > a:
-                some = np.searchsorted(uniq, np.concatenate(parts[a:b]))
-                cos[a:b] = np.add.reduceat(table[some], np.cumsum(n[a:b]) - n[a:b], axis=0) / np.sqrt(n[a:b])[:, None]
-        own = cos[np.arange(len(n)), goal]
+                cos[a:b] = np.add.reduceat(table[at[begin[a] : begin[b - 1] + n[b - 1]]], begin[a:b] - begin[a], axis=0) / norm[a:b, None]
+        own_cos = cos[np.arange(len(n)), goal]
         cos[np.arange(len(n)), goal] = -9
         rival = cos.argmax(axis=1)
-        lead = own - cos.max(axis=1)
-        weak = np.flatnonzero((lead < 2 * LEAST_MARGIN) & (lead > -LEAST_MARGIN))
-        if not len(weak):
+        lead = own_cos - cos.max(axis=1)
+        weak = (lead < 2 * LEAST_MARGIN) & (lead > -LEAST_MARGIN)
+        if not weak.any():
             break
-        push = np.zeros_like(made)
-        for j in weak:
-            v = _bound(parts[j]).sum(axis=0, dtype=np.float32) / np.sqrt(n[j])
-            push[goal[j]] += v
-            push[rival[j]] -= v
+        those = weak[own]
+        share = 1 / norm[own[those]]
+        weights = np.stack([np.bincount(at[those], weights=share * ((goal[own[those]] == i).astype(float) - (rival[own[those]] == i)), minlength=len(vectors.uniq)) for i in range(len(LANGUAGES))])
+        push = vectors.bundles(weights)
         made = _unit(made + push * (0.3 * np.sqrt(DIMENSIONS) / max(1e-9, float(np.linalg.norm(push, axis=1).max()))))
     return made
 
 
+def calibrated(texts: list[str], labels: list[str], prototypes: np.ndarray, steps: int = 400) -> Fitted:
+    """The prototypes with a confidence curve: a logistic regression of whether a sentence's language is right.
+
+    texts should be none that the prototypes were fitted on; those that are placed elsewhere than
+    their label says take no part. One sentence without a lead counts as a mistake.
+    """
+    start = Fitted(prototypes)
+    if not texts:
+        return start
+    profiles = Profiles(prototypes)
+    coded = Coded(texts)
+    cos, n = profiles.cosines(coded)
+    owner = np.searchsorted(coded.starts, coded.ends, side="right") - 1
+    y = np.array([LANGUAGES.index(x) for x in labels])[np.clip(owner, 0, len(texts) - 1)]
+    ranked = np.partition(cos, -2, axis=1)
+    totals = np.zeros((len(texts), len(LANGUAGES)))
+    np.add.at(totals, np.clip(owner, 0, len(texts) - 1), cos * np.sqrt(n)[:, None])
+    placed = totals.argmax(axis=1) == np.array([LANGUAGES.index(x) for x in labels])
+    margin, use = ranked[:, -1] - ranked[:, -2], (n > 0) & (owner >= 0) & placed[np.clip(owner, 0, len(texts) - 1)]
+    if not use.any():
+        return start
+    x = np.stack([np.ones(use.sum()), margin[use] * 20, np.log(n[use])], axis=1)
+    right = (cos.argmax(axis=1) == y)[use].astype(float)
+    x, goal = np.vstack([x, [1, 0, np.log(LEAST_LETTERS)]]), np.append(right, 0)  # without any lead a sentence may be wrong
+    w = np.zeros(3)
+    for _ in range(steps):  # Newton's method
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(3), x.T @ (goal - p) - 1e-3 * w)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return Fitted(prototypes, (float(w[0]), float(w[1] * 20), float(w[2])))
+
+
 def training_rows(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> DataFrame:
     """A bounded sample of labelled texts: for each kind of record and language those with the smallest hashed ids."""
     w = Window.partitionBy("record_kind", "code").orderBy(F.xxhash64("record_kind", "record_id"), "record_id")
@@ -283,32 +357,42 @@ def training_rows(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Da
     return named.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_language).select("content", "code")
 
 
-def fit(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> np.ndarray:
+def fit(rows: DataFrame, per_language: int = TRAIN_PER_LANGUAGE) -> Fitted:
+    """Prototypes of four fifths of a bounded sample of labelled texts, and the confidence curve of the last fifth."""
     got = training_rows(rows, per_language).toPandas().sort_values(["code", "content"])
-    return fit_prototypes(got["content"].tolist(), got["code"].tolist())
+    texts, labels, held = got["content"].tolist(), got["code"].tolist(), np.arange(len(got)) % 5 == 4
+    part = lambda which: ([t for t, x in zip(texts, which) if x], [c for c, x in zip(labels, which) if x])
+    return calibrated(*part(held), fit_prototypes(*part(~held)))
 
 
-def _sure(coded: Coded, cos: np.ndarray, n: np.ndarray, best: np.ndarray, gap: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which segments speak for themselves or with their neighbours, their best languages and margins."""
+def _sure(coded: Coded, sums: np.ndarray, norm: np.ndarray, n: np.ndarray, owner: np.ndarray, profiles: Profiles) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which segments speak for themselves or with their neighbours, their best languages and confidences."""
+    cos = sums / norm[:, None]
+    best = cos.argmax(axis=1)
+    ranked = np.partition(cos, -2, axis=1)
+    gap = ranked[:, -1] - ranked[:, -2]
     kana, cjk = (np.bincount(np.searchsorted(coded.ends, coded.at[which]), minlength=len(n)) for which in (coded.kana, coded.cjk))
     told = (kana >= 2) & (cjk >= LEAST_CJK) & (2 * cjk > n)  # no other language has kana
     gap = np.where(told, np.where(best == JAPANESE, np.maximum(gap, LEAST_MARGIN), LEAST_MARGIN), gap).astype(np.float32)
     best = np.where(told, JAPANESE, best)
-    enough = lambda n, cjk: (n >= LEAST_LETTERS) | (cjk >= LEAST_CJK) & (2 * cjk > n)
-    sure = enough(n, cjk) & (gap >= LEAST_MARGIN)
+    sure = ((n >= LEAST_LETTERS) | (cjk >= LEAST_CJK) & (2 * cjk > n)) & (gap >= LEAST_MARGIN)
+    trust = profiles.confidence(gap, n)
     weak = np.flatnonzero((n > 0) & ~sure)
     if not len(weak):
-        return sure, best, gap
+        return sure, best, trust
     lettered = np.cumsum(n > 0)[weak]  # segments without letters part no neighbours
     first = np.flatnonzero(np.concatenate(([True], (np.diff(lettered) != 1) | (np.diff(owner[weak]) != 0) | (np.diff(best[weak]) != 0))))
     many = np.diff(np.append(first, len(weak)))
+    run = np.full(len(n), -1)
+    run[weak] = np.repeat(np.arange(len(first)), many)
+    mine = run[np.searchsorted(coded.ends, coded.at)]
     letters, chars = np.add.reduceat(n[weak], first), np.add.reduceat(cjk[weak], first)
-    ranked = np.partition(np.add.reduceat(cos[weak] * np.sqrt(n[weak])[:, None], first, axis=0) / np.sqrt(letters)[:, None], -2, axis=1)
+    ranked = np.partition(np.add.reduceat(sums[weak], first, axis=0) / norms(coded.grams[mine >= 0], mine[mine >= 0], len(first))[:, None], -2, axis=1)
     margin = ranked[:, -1] - ranked[:, -2]
-    said = (many > 1) & enough(letters, chars) & (margin >= 2 * LEAST_MARGIN)  # they were picked by their best language
+    said = (many > 1) & ((letters >= LEAST_LETTERS) | (chars >= LEAST_CJK) & (2 * chars > letters)) & (margin >= 2 * LEAST_MARGIN)  # they were picked by their best language
     members = weak[np.repeat(said, many)]
-    sure[members], gap[members] = True, np.repeat(margin, many)[np.repeat(said, many)]
-    return sure, best, gap
+    sure[members], trust[members] = True, np.repeat(profiles.confidence(margin, letters), many)[np.repeat(said, many)]
+    return sure, best, trust
 
 
 def detect(texts: list[str], profiles: Profiles) -> list[list[tuple[str, float, int, int]]]:
@@ -318,55 +402,50 @@ def detect(texts: list[str], profiles: Profiles) -> list[list[tuple[str, float,
     others from LEAST_LETTERS on. Neighbouring sentences too short or too doubtful to do so speak
     together where their best language is the same. The rest go with the stretch before them, at
     the start with the one after. A text without any sentence that speaks for itself has the
-    language of all its letters together. Junk and blank texts have none.
+    language of all its letters together. Junk and blank texts have none. Confidence is that of a
+    stretch's surest sentence, on the curve fitted on held-out sentences.
     """
     if not texts:
         return []
     coded = Coded(texts)
-    cos, n = profiles.cosines(coded)
-    best = cos.argmax(axis=1)
-    ranked = np.partition(cos, -2, axis=1)
-    gap = ranked[:, -1] - ranked[:, -2]
+    sums, norm, n = profiles.sums(coded)
     owner = np.searchsorted(coded.starts, coded.ends, side="right") - 1
-    sure, best, gap = _sure(coded, cos, n, best, gap, owner)
+    sure, best, trust = _sure(coded, sums, norm, n, owner, profiles)
     firsts = np.searchsorted(owner, np.arange(len(texts) + 1))
     odd = np.add.reduceat(np.concatenate((coded.odd, [False])).astype(np.int64), coded.starts)
-    whole = cos * np.sqrt(np.maximum(n, 1))[:, None]
+    grams_at = np.searchsorted(coded.at, coded.starts)
+    grams_to = np.searchsorted(coded.at, coded.starts + coded.lens)
     out: list[list[tuple[str, float, int, int]]] = []
     for i, text in enumerate(texts):
         a, b = firsts[i], firsts[i + 1]
         letters = int(n[a:b].sum())
-        total = whole[a:b].sum(axis=0) / np.sqrt(max(1, letters))
-        top = np.argsort(total)
-        rest = float(total[top[-1]] - total[top[-2]])
         held = np.flatnonzero(sure[a:b]) + a
-        if not letters or rest <= 0 or (not len(held) or odd[i] > 0.04 * len(text) or letters < 0.4 * len(text.strip())) and statistics(text)[-1] == "junk":
+        if not letters or (not len(held) or trust[held].max() < DOUBT or odd[i] > 0.04 * len(text) or letters < 0.4 * len(text.strip())) and statistics(text)[-1] == "junk":
             out.append([])
             continue
         if not len(held):
-            out.append([(LANGUAGES[top[-1]], _confidence(rest), 0, len(text))])
+            grams = coded.grams[grams_at[i] : grams_to[i]]
+            total = sums[a:b].sum(axis=0) / norms(grams, np.zeros(len(grams), np.int64), 1)
+            top = np.argsort(total)
+            rest = float(total[top[-1]] - total[top[-2]])
+            out.append([(LANGUAGES[top[-1]], float(profiles.confidence(rest, letters)), 0, len(text))] if rest > 0 else [])
             continue
         parts: list[list] = []
         for j in held:
             end = int(coded.ends[j] - coded.starts[i]) + 1
             if parts and parts[-1][0] == best[j]:
-                parts[-1][2], parts[-1][1] = end, max(parts[-1][1], float(gap[j]))
+                parts[-1][2], parts[-1][1] = end, max(parts[-1][1], float(trust[j]))
             else:
                 start = min(len(text), int(coded.ends[j - 1] - coded.starts[i]) + 1) if parts else 0
                 if parts:
                     parts[-1][2] = start
-                parts.append([best[j], float(gap[j]), end, start])
+                parts.append([best[j], float(trust[j]), end, start])
         parts[-1][2] = len(text)
-        out.append([(LANGUAGES[lang], _confidence(g), start, end) for lang, g, end, start in parts])
+        out.append([(LANGUAGES[lang], sure_, start, end) for lang, sure_, end, start in parts])
     return out
 
 
-def _confidence(margin: float) -> float:
-    """From 0 to 1: 0.5 at the least margin by which a sentence speaks for itself."""
-    return 1 - 0.5 ** (max(margin, 0.0) / LEAST_MARGIN)
-
-
-def text_languages(rows: DataFrame, prototypes: np.ndarray, keep: list[str], text: str = "content") -> DataFrame:
+def text_languages(rows: DataFrame, prototypes: Fitted | np.ndarray, keep: list[str], text: str = "content") -> DataFrame:
     """Each row's `keep` columns with `segments`: an array of (language, confidence, start_char, end_char).
 
     Null, blank and junk texts have an empty array. Every text is read whole and by itself, so

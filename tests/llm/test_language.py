@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from sagebrook.llm.language import LANGUAGES, Profiles, corrected_labels, detect, fit, fit_prototypes, label_code, text_languages
+from sagebrook.llm.language import LANGUAGES, Coded, Fitted, Profiles, calibrated, corrected_labels, detect, fit, fit_prototypes, label_code, norms, text_languages
 
 WORDS = {
     "en": "the dose of this drug should not be taken with water when the patient has been given another label before".split(),
@@ -110,3 +110,49 @@ def test_short_sentences_name_their_language(with_cjk, first, then, lang):
 def test_a_foreign_word_or_heading_names_no_language(with_cjk):
     assert [x[0] for x in detect([made("en", 1) + " 患有 " + made("en", 2)], with_cjk)[0]] == ["en"]
     assert [x[0] for x in detect(["Dose.\n\n" + made("tr", 1) + "\n\nDosis.\n\n" + made("tr", 2)], with_cjk)[0]] == ["tr"]
+
+
+def test_confidence_is_calibrated_and_grows_with_the_margin(prototypes):
+    """On held-out sentences, some of them short, the mean confidence is near the share of right languages."""
+    r = random.Random(9)
+    texts = [(made(x, 5000 + i, r.choice((2, 3, 4, 6, 12))), x) for i in range(150) for x in WORDS]
+    fitted = calibrated([t for t, _ in texts[:300]], [x for _, x in texts[:300]], prototypes)
+    p = Profiles(fitted)
+    cos, n = p.cosines(coded := Coded([t for t, _ in texts[300:]]))
+    owner = np.searchsorted(coded.starts, coded.ends, side="right") - 1
+    said = n > 0
+    right = np.array([LANGUAGES[k] == texts[300 + o][1] for k, o in zip(cos.argmax(axis=1)[said], owner[said])])
+    ranked = np.sort(cos[said], axis=1)
+    trust = p.confidence(ranked[:, -1] - ranked[:, -2], n[said])
+    assert abs(trust.mean() - right.mean()) < 0.05
+    assert p.confidence(np.array([0.0]), np.array([30]))[0] < p.confidence(np.array([0.3]), np.array([30]))[0]
+    assert calibrated([], [], prototypes).curve == Fitted(prototypes).curve
+
+
+def test_norms_count_repeated_ngrams():
+    from sagebrook.llm.language import DIMENSIONS, _bound
+
+    for text in ("the label of the drug and the label of the dose", "zuderin zuderin zuderin zuderin zuderin"):
+        coded = Coded([text])
+        true = np.linalg.norm(_bound(coded.grams).sum(axis=0, dtype=np.float64)) / np.sqrt(DIMENSIONS)
+        assert abs(norms(coded.grams, np.zeros(len(coded.grams), int), 1)[0] - true) < 0.1 * true
+
+
+def test_segment_boundaries(prototypes):
+    """Boundaries between languages fall where sentences meet."""
+    r, p, near, all_ = random.Random(4), Profiles(prototypes), 0, 0
+    for i in range(40):
+        langs = r.sample(list(WORDS), 3)
+        parts = [" ".join(made(x, 70_000 + 31 * i + j, r.randint(6, 14)) for j in range(r.randint(1, 3))) for x in langs]
+        got = detect([" ".join(parts)], p)[0]
+        all_ += 2
+        if [x[0] for x in got] == langs:
+            near += sum(abs(g[3] - end) <= 1 for g, end in zip(got, (len(parts[0]), len(parts[0]) + 1 + len(parts[1]))))
+    assert near >= 0.95 * all_
+
+
+def test_long_words_are_words(prototypes):
+    text = "Die Dosis des Arzneimittelverschreibungspflichtigkeitsnachweises darf nicht mit Wasser eingenommen werden."
+    assert [x[0] for x in detect([text], Profiles(prototypes))[0]] == ["de"]
+    assert Coded(["derpatientvorhereineandereerhieltundnichtmehr"]).grams.size == 45
+    assert detect(["zuderin " * 60, "zuderin\n" * 60], Profiles(prototypes)) == [[], []]
