@@ -1,9 +1,9 @@
 """Defects of prompt and response pairs, by a multi-label linear classifier.
 
 The classifier is trained on pairs of the data at hand, taken as sound, and on defects made from
-them: answers cut in mid-sentence, questions given back, answers swapped between languages, and
-refusals. Its features are hashed n-grams of the answer and measures of the pair. Thresholds are
-set on held-out made pairs.
+them: answers cut in mid-sentence, questions given back, answers swapped between pairs, and
+refusals. Its features are hashed n-grams of the answer and measures of the pair, for every defect.
+Thresholds are set on held-out made pairs.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,14 +20,17 @@ from pyspark.sql import functions as F
 
 from .common import BLANK_CHARS, latest
 from .conversations import plain_role, role_rank
-from .language import BATCH_CHARS, LANGUAGES, Coded, Profiles
+from .language import BATCH_CHARS, LANGUAGES, Coded, Fitted, Profiles
 from ..operators.ordering import sequence_within, with_parts
 from .sentences import ABBREVIATIONS, BEFORE_NUMBER
 
 DEFECTS = ("empty", "truncated", "refusal", "copy", "wrong_language")
 TRAIN_PAIRS = 6000
 HASHED = 1 << 15
-MET, DOUBTED = 0.2, 0.04  # scores above which an answer of the data counts as a refusal in training, or as neither
+BATCH, RATE, WORD_RATE = 64, 0.6, 0.15  # examples of one step of training, and its length for measures and n-grams
+WORD_SHARE = {"refusal": 1.0}  # weight of n-grams against measures; refusals lie in words, the other defects mostly in the pair
+OTHER_SHARE = 0.15
+MET, DOUBTED, SETTLED = 0.2, 0.04, 0.8  # scores above which an answer of the data counts as a refusal in training, or as neither until it is settled
 
 # Ways to decline, by language; {d} stands for the matter asked about.
 REFUSALS = {
@@ -111,12 +115,12 @@ def _measures(question: str, answer: str, foreign: float) -> list[float]:
     return [
         1.0, 0.0, float(unended), float((unended or abbreviated or unclosed) and not listed and not thai), float(abbreviated), float(unclosed), float(listed),
         copied, float(copied >= 0.5), float(copied > 0.2 and left < 40), max(-1.0, min(1.0, foreign * 5)), float(foreign > 0.08),
-        np.log1p(len(core)) / 8, len(_SENTENCES.split(core)) / 10, min(3, text.count("[^")) / 3, min(1.0, sum(c.isdigit() for c in core) / len(core) * 10), float(core[-1:] in "?？؟"), float(thai), float(len(core) < 160),
+        np.log1p(len(core)) / 8, len(_SENTENCES.split(core)) / 10, min(3, text.count("[^")) / 3, min(1.0, sum(map(str.isdigit, core)) / len(core) * 10), float(core[-1:] in "?？؟"), float(thai), float(len(core) < 160),
     ]
 
 
 def _hashes(answer: str) -> np.ndarray:
-    """Places of the answer's word n-grams (character n-grams where words aren't spaced), short text first and whole."""
+    """Places of the answer's word n-grams (character n-grams where words aren't spaced), those at its start and end also as such."""
     words = _TOKEN.findall(re.sub(r"\[\^\d+\]", " ", answer.lower()))
     grams = []
     for w in words:
@@ -125,12 +129,15 @@ def _hashes(answer: str) -> np.ndarray:
         else:
             grams.append(w)
     grams += [f"{a} {b}" for a, b in zip(words, words[1:]) if not _UNSPACED.search(a)]
+    if words:
+        grams += [f"^ {' '.join(words[:2])}", f"$ {words[-1][-4:]}"]
     return np.unique([zlib.crc32(g.encode()) % HASHED for g in grams]) if grams else np.zeros(0, np.int64)
 
 
-def _asked(question: str) -> set[str]:
-    low = question.lower()
-    return {lang for lang, p in _NAMED.items() if p.search(low)}
+@lru_cache(maxsize=1 << 12)
+def _asked(question: str) -> frozenset[str]:
+    low = question.replace("İ", "i").lower()  # else İ becomes two characters
+    return frozenset(lang for lang, p in _NAMED.items() if p.search(low))
 
 
 def _whole(texts: list[str], profiles: Profiles) -> tuple[np.ndarray, list[set[int]]]:
@@ -151,10 +158,29 @@ def _whole(texts: list[str], profiles: Profiles) -> tuple[np.ndarray, list[set[i
     return total / np.sqrt(np.maximum(letters, 1))[:, None], spoken
 
 
-def features(questions: list[str], answers: list[str], profiles: Profiles) -> tuple[np.ndarray, list[np.ndarray]]:
+class Hashed:
+    """Places of n-grams of many answers, one after the other."""
+
+    def __init__(self, each: list[np.ndarray]) -> None:
+        self.size = np.fromiter(map(len, each), np.int64, len(each))
+        self.flat = np.concatenate(each).astype(np.int64) if each else np.zeros(0, np.int64)
+        self.begin = np.cumsum(self.size) - self.size
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def __getitem__(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some answers: the places, whose they are (counted among the given), and their weights."""
+        size = self.size[rows]
+        own = np.repeat(np.arange(len(rows)), size)
+        at = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[rows], size)
+        return self.flat[at], own, 1 / np.sqrt(size[own])
+
+
+def features(questions: list[str], answers: list[str], profiles: Profiles) -> tuple[np.ndarray, Hashed]:
     q_cos, q_spoken = _whole(questions, profiles)
     a_cos, _ = _whole(answers, profiles)
-    rows, hashed = [], []
+    rows = []
     for i, (q, a) in enumerate(zip(questions, answers)):
         foreign = 0.0
         if q_cos[i].any() and a_cos[i].any():
@@ -162,8 +188,11 @@ def features(questions: list[str], answers: list[str], profiles: Profiles) -> tu
             others = [k for k in range(len(LANGUAGES)) if k not in allowed]
             foreign = float(a_cos[i][others].max() - a_cos[i][list(allowed)].max()) if others else -1.0
         rows.append(_measures(q, a, foreign))
-        hashed.append(_hashes(a))
-    return np.array(rows).reshape(len(rows), len(MEASURES)), hashed
+    return np.array(rows).reshape(len(rows), len(MEASURES)), Hashed([_hashes(a) for a in answers])
+
+
+_MEASURED = np.array([[d != "refusal" or name not in ("length", "sentences", "short") for name in MEASURES] for d in DEFECTS], float)  # a short answer is no refusal
+_SHARES = [WORD_SHARE.get(d, OTHER_SHARE) for d in DEFECTS]
 
 
 class Classifier:
@@ -171,38 +200,40 @@ class Classifier:
 
     def __init__(self) -> None:
         self.dense = np.zeros((len(DEFECTS), len(MEASURES)))
-        self.sparse = np.zeros((len(DEFECTS), HASHED), np.float32)
+        self.sparse = np.zeros((len(DEFECTS), HASHED))
         self.thresholds = np.full(len(DEFECTS), 0.5)
 
-    def scores(self, dense: np.ndarray, hashed: list[np.ndarray]) -> np.ndarray:
-        z = dense @ self.dense.T
-        for i, h in enumerate(hashed):
-            if len(h):
-                z[i] += self.sparse[:, h].sum(axis=1) / np.sqrt(len(h))
+    def _sums(self, dense: np.ndarray, part: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+        places, own, weight = part
+        worded = [np.bincount(own, weights=w[places] * weight, minlength=len(dense)) * s for w, s in zip(self.sparse, _SHARES)]
+        return dense @ self.dense.T + np.stack(worded, axis=1)
+
+    def scores(self, dense: np.ndarray, hashed: Hashed) -> np.ndarray:
+        z = self._sums(dense, hashed[np.arange(len(dense))]) if len(dense) else np.zeros((0, len(DEFECTS)))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def train(self, dense: np.ndarray, hashed: list[np.ndarray], y: np.ndarray, epochs: int = 12, seed: int = 7) -> None:
-        """Adagrad over shuffled examples. Only refusals use n-grams: the other defects lie in the pair, not in words."""
+    def train(self, dense: np.ndarray, hashed: Hashed, y: np.ndarray, rows: np.ndarray, epochs: int = 16, seed: int = 7) -> None:
+        """Adagrad over shuffled batches of the given rows, all defects and all of a batch's n-grams at once."""
         rng = np.random.default_rng(seed)
-        g_dense, g_sparse = np.full_like(self.dense, 1e-3), np.full_like(self.sparse, 1e-2)
-        worded = np.array([d == "refusal" for d in DEFECTS], np.float32)
+        g_dense, g_sparse = np.full_like(self.dense, 1e-4), np.full_like(self.sparse, 1e-4)
         for _ in range(epochs):
-            for i in rng.permutation(len(y)):
-                h, x = hashed[i], dense[i]
-                scale = 1 / np.sqrt(len(h)) if len(h) else 0.0
-                z = self.dense @ x + (self.sparse[:, h].sum(axis=1) * scale if len(h) else 0)
-                err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i]
-                grad = err[:, None] * x[None, :] + 1e-4 * self.dense
+            order = rng.permutation(rows)
+            for i in range(0, len(order), BATCH):
+                some = order[i : i + BATCH]
+                part = hashed[some]
+                err = 1 / (1 + np.exp(-np.clip(self._sums(dense[some], part), -30, 30))) - y[some]
+                grad = _MEASURED * (err.T @ dense[some] / len(some) + 1e-5 * self.dense)
                 g_dense += grad**2
-                self.dense -= 0.15 * grad / np.sqrt(g_dense)
-                if len(h):
-                    push = (err * worded * scale).astype(np.float32)[:, None]
-                    g_sparse[:, h] += push**2
-                    self.sparse[:, h] -= 0.15 * push / np.sqrt(g_sparse[:, h])
-
-    def calibrate(self, dense: np.ndarray, hashed: list[np.ndarray], y: np.ndarray, rate: float = 0.03) -> None:
-        """For each defect the threshold with the best F1, with made defects weighted down to `rate` of all pairs."""
-        p = self.scores(dense, hashed)
+                self.dense -= RATE * grad / np.sqrt(g_dense)
+                places, back = np.unique(part[0], return_inverse=True)
+                if not len(places):
+                    continue
+                push = np.stack([np.bincount(back, weights=e[part[1]] * part[2], minlength=len(places)) * s for e, s in zip(err.T, _SHARES)]) / len(some)
+                g_sparse[:, places] += push**2
+                self.sparse[:, places] -= WORD_RATE * push / np.sqrt(g_sparse[:, places])
+
+    def calibrate(self, p: np.ndarray, y: np.ndarray, rate: float = 0.03) -> None:
+        """For each defect the threshold on scores `p` with the best F1, with made defects weighted down to `rate` of all pairs."""
         for k in range(len(DEFECTS)):
             pos, neg = np.sort(p[y[:, k] == 1, k]), np.sort(p[y[:, k] == 0, k])
             if not len(pos) or not len(neg):
@@ -215,82 +246,94 @@ class Classifier:
             self.thresholds[k] = float(np.clip((best[0] + best[-1]) / 2, 0.02, 0.98))
 
 
-def made_pairs(questions: list[str], answers: list[str], langs: list[str], seed: int = 11) -> tuple[list[str], list[str], np.ndarray]:
-    """Sound pairs and pairs with made defects, with their labels."""
+def made_pairs(questions: list[str], answers: list[str], langs: list[str], seed: int = 11) -> tuple[list[str], list[str], np.ndarray, np.ndarray]:
+    """Sound pairs and pairs with made defects, their labels, and the numbers of the two pairs each is made from.
+
+    The first pairs are those given. An answer put to a question of another language is wrong
+    there; put to another question of its own language it has none of the defects.
+    """
     rng = np.random.default_rng(seed)
     by: dict[str, list[int]] = {}
     for i, lang in enumerate(langs):
         by.setdefault(lang, []).append(i)
-    qs, ans, ys = [], [], []
+    none = [False] * len(DEFECTS)
+    qs, ans, ys, source = list(questions), list(answers), [none for _ in questions], [(i, i) for i in range(len(questions))]
 
-    def add(q: str, a: str, defect: str | None) -> None:
+    def add(i: int, q: str, a: str, defect: str | None, j: int | None = None) -> None:
         qs.append(q)
         ans.append(a)
         ys.append([d == defect for d in DEFECTS])
+        source.append((i, i if j is None else j))
 
     for i, (q, a, lang) in enumerate(zip(questions, answers, langs)):
-        add(q, a, None)
         core = _TRAIL.sub("", a)
         matter = max(re.findall(r"[^\W\d_]{4,12}", q) or ["X"], key=len)
         pick = i % 5
         if pick == 0 and len(core) > 60 and not re.search(r"[฀-๿]", core):
             cut = re.sub(r"[\s.!?…,;:。！？，、]+$", "", core[: int(rng.integers(len(core) // 3, len(core) - 12))])
             if not _ITEM.match(cut.rsplit("\n", 1)[-1].strip()):
-                add(q, cut, "truncated")
+                add(i, q, cut, "truncated")
         elif pick == 1 and q.strip(BLANK_CHARS):
             parts = [s for s in _SENTENCES.split(q) if len(s) > 12] or [q]
             back = q if rng.random() < 0.6 else parts[int(rng.integers(len(parts)))]
-            add(q, LEADS[int(rng.integers(len(LEADS)))] + back.strip() + ("" if rng.random() < 0.7 else "."), "copy")
+            add(i, q, LEADS[int(rng.integers(len(LEADS)))] + back.strip() + ("" if rng.random() < 0.7 else "."), "copy")
             if rng.random() < 0.5:  # a question given back before a real answer is sound
-                add(q, back.strip() + " " + a, None)
+                add(i, q, back.strip() + " " + a, None)
         elif pick == 2 and len(by) > 1:
             other = [x for x in by if x != lang and x not in _asked(q)]
             if other:
                 pool = by[other[int(rng.integers(len(other)))]]
-                add(q, answers[pool[int(rng.integers(len(pool)))]], "wrong_language")
+                j, k = (pool[int(rng.integers(len(pool)))] for _ in range(2))
+                add(i, q, answers[j], "wrong_language", j)
+                add(k, questions[k], answers[j], None, j)
         elif pick == 3:
             for _ in range(int(np.clip(400 // len(by[lang]), 1, 6))):  # rare languages get more
                 lead, body, tail = (part[int(rng.integers(len(part)))] for part in REFUSALS[lang])
                 said = f"{lead} {body} {tail}" if lang not in ("zh", "ja", "th") else lead + body + tail
-                add(q, re.sub(r"\s+", " ", said).strip().replace("{d}", matter), "refusal")
+                add(i, q, re.sub(r"\s+", " ", said).strip().replace("{d}", matter), "refusal")
             if rng.random() < 0.6:  # an apology before a real answer is sound
-                add(q, (lead + " " + a).strip(), None)
+                add(i, q, (lead + " " + a).strip(), None)
         elif pick == 4:
-            add(q, BLANK_CHARS[: int(rng.integers(0, 3))], "empty")
-    return qs, ans, np.array(ys, float)
+            add(i, q, BLANK_CHARS[: int(rng.integers(0, 3))], "empty")
+    return qs, ans, np.array(ys, float).reshape(len(ys), len(DEFECTS)), np.array(source, np.int64).reshape(len(source), 2)
+
 
+def train_classifier(questions: list[str], answers: list[str], fitted: Fitted | np.ndarray, rounds: int = 5) -> Classifier:
+    """A classifier from pairs taken as sound; those it finds defective are left out before it is trained again.
 
-def train_classifier(questions: list[str], answers: list[str], prototypes: np.ndarray, rounds: int = 5) -> Classifier:
-    """A classifier from pairs taken as sound; those it finds defective are left out before it is trained again."""
-    profiles = Profiles(prototypes)
+    Features are made once; a round of training takes the pairs that are left, with what was made
+    from them. Refusals met in the data join the refused examples.
+    """
+    profiles = Profiles(fitted)
     model = Classifier()
     model.dense[:, 0], model.dense[0, 1] = -10, 20  # knows blank answers alone until it has seen pairs
-    keep = [i for i, a in enumerate(answers) if a.strip(BLANK_CHARS)]
-    cos, _ = _whole([answers[i] for i in keep], profiles)
-    names = [LANGUAGES[k] for k in cos.argmax(axis=1)] if len(keep) else []
-    found: list[tuple[str, str]] = []  # refusals met in the data
+    spoken = [i for i, a in enumerate(answers) if a.strip(BLANK_CHARS)]
+    if not spoken:
+        return model
+    questions, answers = [questions[i] for i in spoken], [answers[i] for i in spoken]
+    cos, _ = _whole(answers, profiles)
+    qs, ans, y, source = made_pairs(questions, answers, [LANGUAGES[k] for k in cos.argmax(axis=1)])
+    dense, hashed = features(qs, ans, profiles)
+    given, refusal = len(questions), DEFECTS.index("refusal")
+    left, met, doubted = np.ones(given, bool), np.zeros(given, bool), np.zeros(given, bool)
+    first = np.arange(len(y)) < given
     for turn in range(rounds):
-        if not keep:
-            return model
-        qs, ans, y = made_pairs([questions[i] for i in keep], [answers[i] for i in keep], names)
-        for q, a in found:
-            qs.append(q)
-            ans.append(a)
-            y = np.vstack([y, [d == "refusal" for d in DEFECTS]])
-        dense, hashed = features(qs, ans, profiles)
-        held = np.arange(len(y)) % 5 == 4
+        rows = np.flatnonzero(left[source].all(axis=1) | first & np.concatenate((met, np.zeros(len(y) - given, bool))))
         model = Classifier()
-        model.train(dense[~held], [h for h, x in zip(hashed, held) if not x], y[~held])
-        model.calibrate(dense[held], [h for h, x in zip(hashed, held) if x], y[held])
-        if turn == rounds - 1:
-            break
-        d, h = features([questions[i] for i in keep], [answers[i] for i in keep], profiles)
-        p = model.scores(d, h)
-        # sound pairs hold unmarked refusals, which keep the score of their like low
-        refused = p[:, DEFECTS.index("refusal")] > MET
-        bad = (p > np.minimum(model.thresholds, 0.5)).any(axis=1) | (p[:, DEFECTS.index("refusal")] > DOUBTED)
-        found += [(questions[i], answers[i]) for i, r in zip(keep, refused) if r]
-        keep, names = [i for i, b in zip(keep, bad) if not b], [x for x, b in zip(names, bad) if not b]
+        model.train(dense, hashed, y, rows[rows % 5 != 4])
+        p = model.scores(dense, hashed)
+        held = np.union1d(rows, np.flatnonzero(doubted & ~met))  # what was only doubted is sound, or thresholds would drift that way
+        held = held[held % 5 == 4]
+        model.calibrate(p[held], y[held])
+        if turn < rounds - 1:
+            # sound pairs hold unmarked refusals, which keep the score of their like low
+            own = p[:given]
+            bad = (own > np.minimum(model.thresholds, 0.5))
+            bad[:, refusal] = own[:, refusal] > MET
+            met |= left & bad[:, refusal] | doubted & (own[:, refusal] > SETTLED)
+            doubted |= left & ~bad.any(axis=1) & (own[:, refusal] > DOUBTED)
+            y[np.flatnonzero(met), refusal] = 1
+            left &= ~bad.any(axis=1) & ~doubted
     return model
 
 
@@ -317,7 +360,7 @@ def training_pairs(pairs: DataFrame, rate: float = 1.0, most: int = TRAIN_PAIRS)
     return got["question"].tolist(), got["answer"].tolist()
 
 
-def defective_pairs(pairs: DataFrame, model: Classifier, prototypes: np.ndarray) -> DataFrame:
+def defective_pairs(pairs: DataFrame, model: Classifier, prototypes: Fitted | np.ndarray) -> DataFrame:
     """One row for each defect found: question_id, answer_id, defect, score.
 
     A blank answer is only empty, whatever else. Null questions and answers count as blank.

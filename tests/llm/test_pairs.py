@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sagebrook.llm.language import Profiles, fit_prototypes
-from sagebrook.llm.pairs import DEFECTS, defective_pairs, features, made_pairs, prompt_pairs, train_classifier, training_pairs
+from sagebrook.llm.pairs import DEFECTS, Hashed, defective_pairs, features, made_pairs, prompt_pairs, train_classifier, training_pairs
 
 from .test_language import WORDS, made
 
@@ -23,7 +23,7 @@ def model():
 
 def test_held_out_accuracy(model):
     clf, proto, q, a, langs = model
-    qs, ans, y = made_pairs(q, a, langs, seed=99)
+    qs, ans, y, _ = made_pairs(q, a, langs, seed=99)
     p = clf.scores(*features(qs, ans, Profiles(proto))) >= clf.thresholds
     for k, d in enumerate(DEFECTS):
         if y[:, k].sum() >= 5:
@@ -58,3 +58,32 @@ def test_five_rounds_of_training_and_cleaning(monkeypatch):
     proto = fit_prototypes([made(x, i) for i in range(10) for x in WORDS], [x for _ in range(10) for x in WORDS])
     train_classifier([made("en", 500 + i, 8)[:-1] + "?" for i in range(60)], [made("en", 900 + i) + " " + made("en", 1900 + i) for i in range(60)], proto)
     assert len(rounds) == 5
+
+
+def test_swaps_within_a_language_are_sound_and_balance_those_between():
+    q, a, langs = [f"what of {i}?" for i in range(60)], [f"answer {i}" for i in range(60)], ["en", "tr"] * 30
+    qs, ans, y, source = made_pairs(q, a, langs)
+    assert qs[:60] == q and ans[:60] == a and not y[:60].any() and len(qs) == len(ans) == len(y) == len(source)
+    wrong = np.flatnonzero(y[:, DEFECTS.index("wrong_language")])
+    assert len(wrong) >= 10
+    for i in wrong:
+        given, j = source[i]
+        assert langs[given] != langs[j] and ans[i] == a[j] == ans[i + 1] and not y[i + 1].any()
+        assert langs[q.index(qs[i + 1])] == langs[j] and qs[i] == q[given]
+
+
+def test_languages_asked_for():
+    from sagebrook.llm.pairs import _asked
+
+    assert _asked("Bunu alabilir miyim? Lütfen İspanyolca yanıtla.") == {"es"}
+    assert _asked("LÜTFEN İNGİLİZCE YANITLA") == {"en"} and _asked("Bitte antworte auf français.") == {"fr"} and not _asked("Bu nedir?")
+
+
+def test_ngrams_serve_every_defect(model):
+    clf = model[0]
+    trained = np.abs(clf.sparse).sum(axis=1)
+    assert all(trained[DEFECTS.index(d)] > 0 for d in DEFECTS)
+    assert clf.scores(np.zeros((0, clf.dense.shape[1])), Hashed([])).shape == (0, len(DEFECTS))
+    each = [np.array([3, 5]), np.zeros(0, np.int64), np.array([5])]
+    places, own, weight = Hashed(each)[np.array([2, 0, 1])]
+    assert places.tolist() == [5, 3, 5] and own.tolist() == [0, 1, 1] and np.allclose(weight, [1, 2**-0.5, 2**-0.5])
