@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .common import latest, limits, table
-from .conversations import sound_conversations
+from .conversations import rebuild_conversations, sound_conversations
 from .language import corrected_labels, fit, text_languages
 from .mixing import mix_sources
 from .neardup import CONTENT, TITLE, all_pairs, near_duplicates
@@ -134,6 +134,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("conversation_id", "turn_no", "message_id")
 
 
+def p7_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages without a conversation, in those that their replies and quotations show."""
+    found = rebuild_conversations(table(spark, sf_dir, "messages")).where("recovered")
+    return found.select("conversation_id", "turn_no", "message_id", "role", "sound")
+
+
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in containers of container_tokens tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), limits(spark, sf_dir)["container_tokens"])
@@ -169,4 +175,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": sql.P2_FOUND, "p5_found": sql.P5_FOUND, "p5_links": sql.P5_LINKS, "p5_groups": sql.P5_GROUPS, "p6_found": sql.P6_FOUND, "p7_found": sql.P7_FOUND}
+    return {"p2_found": sql.P2_FOUND, "p5_found": sql.P5_FOUND, "p5_links": sql.P5_LINKS, "p5_groups": sql.P5_GROUPS, "p6_found": sql.P6_FOUND, "p7_found": sql.P7_FOUND, "p7_recovered": sql.P7_RECOVERED}

@@ -57,3 +57,15 @@ P7_FOUND = rf"""WITH m AS (SELECT id, c, r, t FROM (SELECT id, arg_max(conversat
  o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY t, CASE k WHEN 's' THEN 0 WHEN 'u' THEN 1 ELSE 2 END, id) AS n FROM s),
  g AS (SELECT c FROM o GROUP BY c HAVING regexp_full_match(string_agg(k, '' ORDER BY n), 's*(ua)+'))
  SELECT c AS conversation_id, n::INT AS turn_no, id AS message_id FROM o WHERE c IN (SELECT c FROM g) AND c IN (SELECT id FROM conversations)"""
+
+
+_ROLE = """CASE WHEN lower(trim(r)) IN ('user', 'human', 'customer', 'question') THEN 'user' WHEN lower(trim(r)) IN ('assistant', 'bot', 'ai', 'model', 'answer') THEN 'assistant' WHEN lower(trim(r)) IN ('system', 'developer') THEN 'system' ELSE 'other' END"""
+_PLAIN = rf"trim(regexp_replace(lower(TEXT), '[\s\x{{a0}}\x{{200b}}]+', ' ', 'g'))"
+P7_RECOVERED = rf"""WITH RECURSIVE m AS (SELECT id, arg_max(conversation_id, ingested_at) AS c, arg_max(role, ingested_at) AS r, arg_max(coalesce(content, ''), ingested_at) AS x, arg_max(tenant_id, ingested_at) AS tenant, max(created_at) AS t FROM messages WHERE id IS NOT NULL GROUP BY id HAVING c IS NULL),
+ s AS (SELECT id, tenant, {_PLAIN.replace('TEXT', 'x')} AS held, {_PLAIN.replace('TEXT', "array_to_string(list_transform(list_filter(string_split(x, chr(10)), lambda l: l LIKE '>%'), lambda l: regexp_replace(l, '^[>[:space:]]+', '')), ' ')")} AS quoted FROM m),
+ k AS (SELECT tenant, held FROM s WHERE length(held) >= 20 GROUP BY tenant, held HAVING count(*) <= 3),
+ q AS (SELECT DISTINCT s.id, q.id AS other FROM s JOIN k USING (tenant, held) JOIN s q ON q.tenant IS NOT DISTINCT FROM s.tenant AND q.quoted = s.held),
+ e AS (SELECT * FROM q UNION SELECT other, id FROM q), g AS (SELECT id, id AS root FROM m UNION SELECT g.id, e.other FROM g JOIN e ON g.root = e.id), d AS (SELECT id, min(root) AS root FROM g GROUP BY id),
+ o AS (SELECT m.id, root, {_ROLE} AS role, row_number() OVER (PARTITION BY root ORDER BY t NULLS FIRST, CASE {_ROLE} WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, m.id) AS n FROM m JOIN d ON d.id = m.id WHERE regexp_replace(x, '{_BLANK}+', '', 'g') <> ''),
+ v AS (SELECT root, regexp_full_match(string_agg(CASE role WHEN 'other' THEN 'x' ELSE role[1] END, '' ORDER BY n), 's*(ua)+') AS sound FROM o GROUP BY root)
+ SELECT 'lost:' || o.root AS conversation_id, n::INT AS turn_no, id AS message_id, role, sound FROM o JOIN v ON v.root = o.root"""
