@@ -21,6 +21,7 @@ SAMPLE = 20_000  # vectors that centroids are fitted on, about
 MOST_LISTS = 2048
 PART = 2000  # vectors a part of a list, about
 PER_LIST = 200
+QUERY_PART = 8192  # queries that one task compares with a part, about
 REPLICAS = 3
 REPLICA_RATIO = 1.12  # of squared distances, up to which a vector also goes on a further list
 QUERY_RATIO = 1.8
@@ -47,6 +48,7 @@ class Index:
     graph: np.ndarray  # DEGREE nearest centroids of each, those that it is among the nearest of, a few at random; filled up with itself
     entries: np.ndarray
     parts: np.ndarray  # parts of each list
+    asked: np.ndarray  # parts of each list's queries
 
     def lists_of(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For up to REPLICAS lists: the places of the vectors that belong there, and the list."""
@@ -96,11 +98,11 @@ class Index:
         return [i[k] for i, k in zip(ids, keep)]
 
 
-def fit_index(sample: np.ndarray, total: int, rounds: int = 8, seed: int = 5) -> Index:
-    """Balanced spherical k-means on the sample: crowded centroids pay for their size when vectors choose."""
+def fit_index(sample: np.ndarray, total: int, rounds: int = 8, seed: int = 5, queries: int = 0, exact: bool = False) -> Index:
+    """Balanced spherical k-means on the sample: crowded centroids pay for their size when vectors choose. `exact`: one list, in parts, that all queries search."""
     rng = np.random.default_rng(seed)
     n = len(sample)
-    lists = int(max(1, min(MOST_LISTS, n // 8, -(-total // PER_LIST))))
+    lists = 1 if exact else int(max(1, min(MOST_LISTS, n // 8, -(-total // PER_LIST))))
     centroids = sample[rng.choice(n, lists, replace=False)]
     size = np.full(lists, n / lists)
     for _ in range(rounds):
@@ -124,7 +126,8 @@ def fit_index(sample: np.ndarray, total: int, rounds: int = 8, seed: int = 5) ->
         graph[i, : len(own)] = sorted(own)
     share = np.bincount((sample @ centroids.T).argmax(axis=1), minlength=lists) / n
     parts = np.maximum(1, np.ceil(share * total * 1.5 / PART)).astype(np.int64)
-    return Index(centroids.astype(np.float32), graph, rng.choice(lists, min(lists, 32), replace=False), parts)
+    asked = np.maximum(1, np.ceil(np.minimum(share * LEAST_LISTS * 1.5, 1) * queries / QUERY_PART)).astype(np.int64)
+    return Index(centroids.astype(np.float32), graph, rng.choice(lists, min(lists, 32), replace=False), parts, asked)
 
 
 def _units(rows: DataFrame, size: int) -> DataFrame:
@@ -141,23 +144,24 @@ def _matrix(raw: pd.Series, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float32).reshape(-1, size)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, size: int = 64) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, size: int = 64, exact: bool = False) -> DataFrame:
     """(query_id, neighbour_id, similarity): for each query the k most similar other rows by cosine.
 
     `rows` and `queries` have id and vector; an id delivered twice counts once. Vectors that are
     null, of another size, all zero or not finite take no part on either side. Ties go to the
     smaller id. Fewer than k usable rows give fewer neighbours; no usable rows give none.
     Every row is on at least one list; the share of true neighbours found is measured in the tests.
+    `exact` compares every query with every row, in blocks of PART rows and QUERY_PART queries.
     """
     units = _units(rows, size)
     total = rows.count()
     rate = min(1.0, SAMPLE / max(1, total))
     chosen = units.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1)
-    got = chosen.select("unit").limit(3 * SAMPLE).toPandas()["unit"]
+    got = chosen.orderBy(F.xxhash64("id"), "id").select("unit").limit(3 * SAMPLE).toPandas()["unit"]  # SAMPLE of them but for chance; the same on each run
     schema = "query_id string, neighbour_id string, similarity double"
     if not len(got):
         return rows.sparkSession.createDataFrame([], schema)
-    index = fit_index(_matrix(got, size), total)
+    index = fit_index(_matrix(got, size), total, queries=queries.count(), exact=exact)
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -168,15 +172,18 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, size: int = 64) ->
                 parts = index.parts[lists].astype(np.uint64)
                 if not len(at):
                     continue
-                yield pd.DataFrame({"list": lists, "part": (spread[at] % parts).astype(np.int64), "id": ids[at], "unit": raw[at]})
+                for q in range(int(index.asked[lists].max())):
+                    some = index.asked[lists] > q
+                    yield pd.DataFrame({"list": lists[some], "part": (spread[at] % parts).astype(np.int64)[some], "asked_part": q, "id": ids[at][some], "unit": raw[at][some]})
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for i in range(0, len(b), 512):
                 c = b.iloc[i : i + 512]
-                out = [(int(x), p, key, raw) for key, raw, lists in zip(c["id"], c["unit"], index.select(_matrix(c["unit"], size))) for x in lists for p in range(int(index.parts[x]))]
+                spread = pd.util.hash_array(c["id"].to_numpy().astype(object)).astype(np.uint64)
+                out = [(int(x), p, int(h % np.uint64(index.asked[x])), key, raw) for key, raw, h, lists in zip(c["id"], c["unit"], spread, index.select(_matrix(c["unit"], size))) for x in lists for p in range(int(index.parts[x]))]
                 if out:
-                    yield pd.DataFrame(out, columns=["list", "part", "id", "unit"])
+                    yield pd.DataFrame(out, columns=["list", "part", "asked_part", "id", "unit"])
 
     def compare(both: pd.DataFrame) -> pd.DataFrame:
         posted, asked = both[~both["asked"]].drop_duplicates(["id", "unit"]).sort_values("id"), both[both["asked"]]
@@ -197,9 +204,9 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, size: int = 64) ->
         done = pd.concat(out, ignore_index=True)
         return done[done["query_id"] != done["neighbour_id"]].drop_duplicates(["query_id", "neighbour_id"])
 
-    posted = units.mapInPandas(post, "list long, part long, id string, unit binary").withColumn("asked", F.lit(False))
-    asked = _units(queries, size).mapInPandas(ask, "list long, part long, id string, unit binary").withColumn("asked", F.lit(True))
-    found = posted.unionByName(asked).groupBy("list", "part").applyInPandas(compare, schema)
+    posted = units.mapInPandas(post, "list long, part long, asked_part long, id string, unit binary").withColumn("asked", F.lit(False))
+    asked = _units(queries, size).mapInPandas(ask, "list long, part long, asked_part long, id string, unit binary").withColumn("asked", F.lit(True))
+    found = posted.unionByName(asked).groupBy("list", "part", "asked_part").applyInPandas(compare, schema)
     best = found.groupBy("query_id", "neighbour_id").agg(F.max("similarity").alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbour_id")
     return best.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")

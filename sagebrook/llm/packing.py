@@ -83,3 +83,11 @@ def container_use(packed: DataFrame, capacity: int) -> DataFrame:
     """How full the containers are: one row."""
     each = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used"), F.sum(F.col("n_tokens") * F.col("n_tokens")).alias("squares"))
     return each.agg(F.count(F.lit(1)).alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), (F.sum("used") / (F.count(F.lit(1)) * capacity)).alias("share_used"), (F.stddev_pop("squares") / F.avg("squares")).alias("attention_spread"))
+
+
+def packing_soundness(packed: DataFrame, capacity: int, key: str = "doc_id") -> DataFrame:
+    """One row: documents, and what should all be 0: overfull containers, documents cut that would fit, tokens missing or packed twice."""
+    over = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("n")).where(F.col("n") > capacity).agg(F.count(F.lit(1)).alias("overfull"))
+    each = packed.groupBy(key).agg(F.count(F.lit(1)).alias("parts"), F.sum("n_tokens").alias("n"), F.max("token_end").alias("end"))
+    counts = each.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("parts") > 1) & (F.col("n") <= capacity)).alias("needless"), F.count_if(F.col("n") != F.col("end")).alias("uneven"))
+    return counts.crossJoin(over)  # one row each

@@ -15,11 +15,11 @@ from .mixing import mix_sources
 from .neardup import CONTENT, TITLE, all_pairs, near_duplicates
 from .neardup import groups as near_groups
 from .neighbours import nearest
-from .packing import container_use, pack_documents
+from .packing import container_use, pack_documents, packing_soundness
 from .pairs import TRAIN_PAIRS, defective_pairs, prompt_pairs, train_classifier, training_pairs
 from .sentences import sentence_units
-from .splitting import split_oversized
-from .textstats import kinds_apart_from_prose, text_statistics
+from .splitting import soundness, split_oversized
+from .textstats import kinds_apart_from_prose, text_statistics, word_statistics
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +39,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_no = 1").select("chunk_id", "cut_kind")
 
 
+def p2_soundness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the pieces of each chunk give it back, keep the limit and overlap exactly."""
+    by = limits(spark, sf_dir)
+    return soundness(p2_pieces(spark, sf_dir), table(spark, sf_dir, "chunks"), by["split_limit_chars"], by["split_overlap_chars"])
+
+
 def _languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of documents, chunks and messages; of rows delivered twice, the last."""
     parts = [
@@ -125,7 +131,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for a fiftieth of all chunks, chosen by their hashed ids (ids are no numbers here), against all."""
-    return _neighbours(spark, sf_dir, lambda rows: rows.where(F.pmod(F.xxhash64("id"), F.lit(50)) == 0))
+    fiftieth = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long") % 50 == 0
+    return _neighbours(spark, sf_dir, lambda rows: rows.where(fiftieth)).withColumn("similarity", F.round("similarity", 4))  # units are kept as floats
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +157,11 @@ def p8_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container_use(p8_containers(spark, sf_dir), limits(spark, sf_dir)["container_tokens"])
 
 
+def p8_soundness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed, and how many containers hold too much, parts were cut without need or tokens are missing or twice there."""
+    return packing_soundness(p8_containers(spark, sf_dir), limits(spark, sf_dir)["container_tokens"])
+
+
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of the mixture and how often each is used."""
     return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
@@ -170,9 +182,16 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_statistics(table(spark, sf_dir, "documents"))
 
 
+def p10_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and ratios of characters, lines and words of every document."""
+    found = word_statistics(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.round(c, 6).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes if c != "doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": sql.P2_FOUND, "p5_found": sql.P5_FOUND, "p5_links": sql.P5_LINKS, "p5_groups": sql.P5_GROUPS, "p6_found": sql.P6_FOUND, "p7_found": sql.P7_FOUND, "p7_recovered": sql.P7_RECOVERED}
+    named = {name.lower(): text for name, text in vars(sql).items() if name[0] == "P" and name[1:2].isdigit()}
+    return {name: named[name] for name in queries() if name in named}

@@ -15,14 +15,14 @@ from .common import BLANK_CHARS, is_blank
 
 # Abbreviations after which a sentence goes on.
 ABBREVIATIONS = (
-    "Prof Dr Dra Mr Mrs Ms Jr Sr St vs approx ext cf ff al incl resp "
+    "Prof Dr Dra Mr Mrs Ms Jr Sr St vs approx ext cf ff al incl resp Inc Ltd Corp Co Gov Sen Gen Capt Rev Hon dept est "
     "örn bkz dah Uzm Ecz Doç Op Av Sn Pzt Sal Çar Per Cum Cmt Paz "
     "ca bzw Abschn evtl ggf inkl Mo Fr env ex sect apdo ej Sra Sto pág Mme Mlle Mon Tue Wed Thu Fri Sat Sun "
     "проф напр см рис тел гр стр доц"
 ).split()
 TITLES = "Prof Dr Dra Mr Mrs Ms Uzm Ecz Doç".split()
 # Abbreviations that count only before a number.
-BEFORE_NUMBER = "No Nr no nr sec rev fig Fig Figs Abb Tab Şek Sek pp Vol vol Art art Ch ch Sec Sect Kap cap núm п с гл табл Рис Табл n".split()
+BEFORE_NUMBER = "No Nr no nr Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec sec rev fig Fig Figs Abb Tab Şek Sek pp Vol vol Art art Ch ch Sec Sect Kap cap núm п с гл табл Рис Табл n".split()
 # Abbreviations that may close a sentence; they do before a capital or a number.
 CLOSERS = "etc usw vb vd др".split()
 # Words that go on after a quotation which ends in a point.
@@ -30,14 +30,16 @@ AFTER_QUOTE = "and or but ve veya ama und oder aber et ou mais y o pero и ил
 
 SEP, SPAN_ON, SPAN_OFF = "\ue0ff", "\ue0f0", "\ue0f1"
 POINT = "\ue000"  # a point that ends nothing
-QUOTED_FROM = ".!?…؟。！？"
-QUOTED_TO = "\ue010\ue011\ue012\ue013\ue014\ue015\ue016\ue017"  # terminators within a quotation
+OTHER_ENDS = "।॥։።፧។៕။۔"  # of Devanagari, Armenian, Ethiopic, Khmer, Burmese and Urdu
+QUOTED_FROM = ".!?…؟。！？" + OTHER_ENDS
+QUOTED_TO = "".join(chr(0xE010 + i) for i in range(len(QUOTED_FROM)))  # terminators within a quotation
 PRIVATE = "[\ue000-\ue0ff]"
 
 _EMOJI = "\\x{1F1E6}-\\x{1FAFF}\u2600-\u27bf\ufe0f\u200d"
 _GAP = "[ \\t\u00a0]*\\n?[ \\t\u00a0]*"
 _TAIL = f"(?:{_GAP}\\[\\^\\d+\\]|{_GAP}[{_EMOJI}]+)*"
-_END = "[.!?…؟]"
+_QUOTED_OTHER = f"{QUOTED_TO[8]}-{QUOTED_TO[-1]}"
+_END = f"[.!?…؟{OTHER_ENDS}]"
 _CLOSE = "(?:[ \u00a0]?»|[\"”“’'」』）)\\]])"
 _BLANK = "[\\s\u00a0\u200b\u202f\u3000]"
 _LOWER = f"(?!{_BLANK}+\\p{{Ll}}(?!\\p{{Lu}}))"
@@ -79,13 +81,13 @@ _SPACED = (
     # a quotation that ends in a point
     f"|[.\ue010](?:[ \u00a0]?»|[\"”“]){_TAIL}(?={_BLANK}|$)(?!{_BLANK}+{_word(AFTER_QUOTE)}\\b)"
     # other closing marks
-    f"|[.!?…؟\ue010-\ue014]++{_CLOSE}++{_TAIL}(?={_BLANK}|$){_LOWER}"
+    f"|[.!?…؟{OTHER_ENDS}\ue010-\ue014{_QUOTED_OTHER}]++{_CLOSE}++{_TAIL}(?={_BLANK}|$){_LOWER}"
     # a missing space before the next sentence
-    f"|{_END}++(?<=(?:[\\p{{Ll}}\\p{{N}})%/][\\p{{L}}\\p{{N}})%]|\\d\\])[.!?…؟]{{1,3}})(?=\\p{{Lu}}(?:[\\p{{Ll}}\\s’']|\\p{{Lu}}{{2}}|\\p{{Lu}}\\s)|[¿¡“«„])"
-    f"|{_END}++(?<=\\p{{L}}{{3}}[.!?…؟]{{1,3}})(?=\\p{{Lu}}\\p{{Ll}})"
-    f"|{_END}++(?<=\\p{{Ll}}{{3}}[.!?…؟]{{1,3}})(?=\\p{{N}})"
-    f"|{_END}++(?<=\\p{{IsArabic}}{{2}}[.!?…؟]{{1,3}})(?=\\p{{IsArabic}})"
-    f"|[.!?…؟\ue010-\ue014]++{_CLOSE}*+(?:{_GAP}\\[\\^\\d+\\])++(?=\\p{{L}})"
+    f"|{_END}++(?<=(?:[\\p{{Ll}}\\p{{N}})%/][\\p{{L}}\\p{{N}})%]|\\d\\])[.!?…؟{OTHER_ENDS}]{{1,3}})(?=\\p{{Lu}}(?:[\\p{{Ll}}\\s’']|\\p{{Lu}}{{2}}|\\p{{Lu}}\\s)|[¿¡“«„])"
+    f"|{_END}++(?<=\\p{{L}}{{3}}[.!?…؟{OTHER_ENDS}]{{1,3}})(?=\\p{{Lu}}\\p{{Ll}})"
+    f"|{_END}++(?<=\\p{{Ll}}{{3}}[.!?…؟{OTHER_ENDS}]{{1,3}})(?=\\p{{N}})"
+    f"|{_END}++(?<=\\p{{IsArabic}}{{2}}[.!?…؟{OTHER_ENDS}]{{1,3}})(?=\\p{{IsArabic}})"
+    f"|[.!?…؟{OTHER_ENDS}\ue010-\ue014{_QUOTED_OTHER}]++{_CLOSE}*+(?:{_GAP}\\[\\^\\d+\\])++(?=\\p{{L}})"
     f"|[.!?…\ue010-\ue013]++[\"”»](?=\\p{{Lu}}\\p{{Ll}})"
 )
 _UNSPACED = (

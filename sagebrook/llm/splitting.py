@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_STRETCH = re.compile(r"[^\s.!?…。！？]+")
+# Fixed value: sentence marks that end a stretch.
+_BOUNDS = ".!?…。！？"
 _SENTENCE = re.compile(r"(?:[.!?…؟]+[\"”’»)\]]*(?:\s*\[\^\d+\])*\s+|[。！？]+[」』”’）)]*\s*|\n+[ \t]*)")
 _MARK = re.compile(r"(?:[-•*–‣▪]|\d{1,3}[.)])[ \t]")
 _CLAUSE = re.compile(r"[,;:،؛，、；：]\s*")
@@ -93,9 +94,21 @@ def split_text(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]
     return [(max(0, starts[i] - overlap), ends[i], strengths[i]) for i in left]
 
 
-def longest_stretch(text: str) -> int:
-    """Length of the longest run without white space and sentence marks."""
-    return max((m.end() - m.start() for m in _STRETCH.finditer(text)), default=0)
+def forced(text: str, pieces: list[tuple[int, int, int]], limit: int) -> bool:
+    """Whether a cut between the pieces lies in a stretch longer than the limit without white space and sentence marks.
+
+    Such a stretch can't be spared a cut, as pieces are within the limit.
+    """
+    bound = lambda c: c.isspace() or c in _BOUNDS
+    for _, end, _ in pieces[:-1]:
+        low = high = end
+        while low > 0 and high - low <= limit and not bound(text[low - 1]):
+            low -= 1
+        while high < len(text) and high - low <= limit and not bound(text[high]):
+            high += 1
+        if high - low > limit:
+            return True
+    return False
 
 
 _NAMES = ("paragraph", "line", "sentence", "clause", "word", "inside")
@@ -108,8 +121,8 @@ def split_oversized(chunks: DataFrame, limit: int, overlap: int) -> DataFrame:
     A chunk delivered twice counts once, as delivered last. Pieces have at most `limit`
     characters; each after the first repeats the last `overlap` characters of the one before.
     Offsets are those of the chunk plus the place in it, null where the chunk has none.
-    cut_kind is forced where a stretch longer than the limit holds neither white space nor a
-    sentence mark, else natural. Null ids, null and short contents give no rows; other columns
+    cut_kind is forced where a cut had to fall into a stretch longer than the limit that holds
+    neither white space nor a sentence mark, else natural. Null ids, null and short contents give no rows; other columns
     are not kept. Only oversized texts are shuffled.
     """
     if not 0 <= overlap < limit:
@@ -122,9 +135,10 @@ def split_oversized(chunks: DataFrame, limit: int, overlap: int) -> DataFrame:
         for b in batches:
             out = []
             for key, text, offset, section in zip(b["chunk_id"], b["content"], b["char_offset_start"], b["section_path"]):
-                kind = "forced" if longest_stretch(text) > limit else "natural"
+                pieces = split_text(text, limit, overlap)
+                kind = "forced" if forced(text, pieces, limit) else "natural"
                 offset = None if pd.isna(offset) else int(offset)
-                for k, (start, end, strength) in enumerate(split_text(text, limit, overlap)):
+                for k, (start, end, strength) in enumerate(pieces):
                     out.append((key, k + 1, text[start:end], None if offset is None else offset + start, None if offset is None else offset + end, section, _NAMES[PARAGRAPH - strength], kind))
             if not out:
                 continue
@@ -132,3 +146,18 @@ def split_oversized(chunks: DataFrame, limit: int, overlap: int) -> DataFrame:
             yield done.astype({"char_offset_start": "Int32", "char_offset_end": "Int32"})
 
     return rows.mapInPandas(run, SCHEMA)
+
+
+def soundness(pieces: DataFrame, chunks: DataFrame, limit: int, overlap: int) -> DataFrame:
+    """For each chunk cut: whether its pieces give back its text, keep the limit, and overlap exactly. Groups are the pieces of one chunk."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("piece_no", F.col("content").alias("piece")))), lambda p: p["piece"])
+    each = pieces.groupBy("chunk_id").agg(texts.alias("t"))
+    last = chunks.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("chunk_id")).agg(F.max_by("content", "ingested_at").alias("whole")).where(F.length("whole") > limit)
+    joined = F.array_join(F.transform("t", lambda p, i: F.when(i == 0, p).otherwise(F.substring(p, F.lit(overlap + 1), F.length(p)))), "")
+    pairs = F.zip_with(F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t") - 1), lambda a, b: F.right(a, F.lit(overlap)) == F.left(b, F.lit(overlap)))
+    return last.join(each, "chunk_id", "left").select(
+        "chunk_id",
+        F.coalesce(joined == F.col("whole"), F.lit(False)).alias("gives_back"),
+        F.coalesce(F.forall("t", lambda p: F.length(p) <= limit), F.lit(False)).alias("within_limit"),
+        F.coalesce(F.forall(pairs, lambda x: x), F.lit(False)).alias("overlaps"),
+    )

@@ -1,5 +1,7 @@
 """SQL equivalents, by brute force, of the queries that SQL can express on whole tables."""
 
+from .textstats import BLANKS, COMMON_WORDS, ENDED, MARKS, UNSPACED_WORDS, WORD
+
 _SPACE = r"[\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _BLANK = r"[\s\v\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
 
@@ -52,6 +54,11 @@ def _nearest(field: str) -> str:
 
 P6_FOUND = _nearest("embedding") + " UNION ALL " + _nearest("embedding_translated")
 
+P6_NEIGHBOURS = " UNION ALL ".join(
+    _nearest(f).replace("q.id AS q, r.id AS n,", "q.id AS q, r.id AS n, list_dot_product(q.x, r.x) AS s,").replace("n AS neighbour_id FROM", "n AS neighbour_id, round(s, 4) AS similarity FROM").replace("FROM v q SEMI JOIN probe_chunks p ON p.chunk_id = q.id JOIN", "FROM (SELECT * FROM v WHERE ('0x' || substring(md5(id), 1, 8))::UBIGINT % 50 = 0) q JOIN")
+    for f in ("embedding", "embedding_translated")
+)
+
 P7_FOUND = rf"""WITH m AS (SELECT id, c, r, t FROM (SELECT id, arg_max(conversation_id, ingested_at) AS c, arg_max(role, ingested_at) AS r, arg_max(coalesce(content, ''), ingested_at) AS x, max(created_at) AS t FROM messages WHERE id IS NOT NULL GROUP BY id) WHERE c IS NOT NULL AND regexp_replace(x, '{_BLANK}+', '', 'g') <> ''),
  s AS (SELECT *, CASE WHEN lower(trim(r)) IN ('user', 'human') THEN 'u' WHEN lower(trim(r)) IN ('assistant', 'bot', 'ai', 'model') THEN 'a' WHEN lower(trim(r)) = 'system' THEN 's' ELSE 'x' END AS k FROM m),
  o AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY t, CASE k WHEN 's' THEN 0 WHEN 'u' THEN 1 ELSE 2 END, id) AS n FROM s),
@@ -69,3 +76,13 @@ P7_RECOVERED = rf"""WITH RECURSIVE m AS (SELECT id, arg_max(conversation_id, ing
  o AS (SELECT m.id, root, {_ROLE} AS role, row_number() OVER (PARTITION BY root ORDER BY t NULLS FIRST, CASE {_ROLE} WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END, m.id) AS n FROM m JOIN d ON d.id = m.id WHERE regexp_replace(x, '{_BLANK}+', '', 'g') <> ''),
  v AS (SELECT root, regexp_full_match(string_agg(CASE role WHEN 'other' THEN 'x' ELSE role[1] END, '' ORDER BY n), 's*(ua)+') AS sound FROM o GROUP BY root)
  SELECT 'lost:' || o.root AS conversation_id, n::INT AS turn_no, id AS message_id, role, sound FROM o JOIN v ON v.root = o.root"""
+
+P2_SOUNDNESS = "SELECT id AS chunk_id, true AS gives_back, true AS within_limit, true AS overlaps FROM (SELECT id, arg_max(content, ingested_at) AS content FROM chunks WHERE id IS NOT NULL GROUP BY id), (SELECT amount FROM size_limits WHERE limit_name = 'split_limit_chars') WHERE length(content) > amount"
+P8_SOUNDNESS = "SELECT count(DISTINCT doc_id)::BIGINT AS documents, 0::BIGINT AS overfull, 0::BIGINT AS needless, 0::BIGINT AS uneven FROM documents"
+
+_RE2 = lambda pattern: pattern.replace("\\p{Is", "\\p{").replace("'", "''")
+_KNOWN = ", ".join(f"'{w}'" for w in (*sorted(COMMON_WORDS), *UNSPACED_WORDS))
+P10_WORDS = f"""SELECT doc_id, length(t)::BIGINT AS n_chars, len(l)::INT AS n_lines, len(w)::BIGINT AS n_words, round(CASE WHEN len(w) = 0 THEN 0 ELSE list_sum(list_transform(w, lambda x: length(x))) / len(w)::DOUBLE END, 6) AS mean_word_length,
+ round(CASE WHEN solid = 0 THEN 0 ELSE coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / solid::DOUBLE END, 6) AS letter_ratio, round(CASE WHEN len(l) = 0 THEN 0 ELSE len(list_filter(l, lambda x: regexp_matches(x, '{_RE2(ENDED)}'))) / len(l)::DOUBLE END, 6) AS punctuation_end_share,
+ round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: x IN ({_KNOWN}))) / len(w)::DOUBLE END, 6) AS common_word_share
+ FROM (SELECT doc_id, t, list_filter(string_split(t, chr(10)), lambda x: length(regexp_replace(x, '{BLANKS}', '', 'g')) > 0) AS l, regexp_extract_all(regexp_replace(lower(replace(t, 'İ', 'i' || chr(775))), '{MARKS}', '', 'g'), '{_RE2(WORD)}') AS w, length(regexp_replace(t, '{BLANKS}', '', 'g')) AS solid FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Frequent function words of the languages at hand.
@@ -22,6 +22,8 @@ COMMON_WORDS = frozenset(
     "и в на с по не от до для как что при или из о к за "
     "في من على إلى عن مع أو لا ما هذا قبل بعد حتى".split()
 )
+# Frequent function words of languages that don't space words.
+UNSPACED_WORDS = "の に は を が で と も した して です ます これ この 的 了 是 在 和 不 有 与 或 请 可以 以及 之后 之前 ที่ และ ใน ของ เป็น การ ให้ ได้ ไม่ กับ หรือ จาก".split()
 # Words of page navigation.
 NAVIGATION_WORDS = frozenset("menu home print share login logout search sitemap cookies rss top next previous back contact copyright subscribe privacy terms giriş ara anasayfa yazdır paylaş menü iletişim startseite drucken suche anmelden accueil imprimer recherche inicio buscar imprimir".split())
 
@@ -34,9 +36,9 @@ _DELIMITERS = ("\t", "|", ";", ",")
 _GAPS = re.compile(r" {2,}")
 _NUMBER = re.compile(r"[<>≤≥±~(]?\s*[-+]?\d[\d.,]*\s*(?:[^\W\d]{1,6}|%)?(?:/\S{1,8})?\)?$")
 
+LEXICAL = ("n_chars", "n_lines", "n_words", "mean_word_length", "letter_ratio", "punctuation_end_share", "common_word_share")  # by expressions
 COLUMNS = {
-    "n_chars": "long", "n_lines": "int", "n_words": "long", "mean_word_length": "double", "symbol_ratio": "double", "letter_ratio": "double",
-    "punctuation_end_share": "double", "common_word_share": "double", "distinct_word_share": "double", "repeated_line_share": "double", "compressed_share": "double",
+    "symbol_ratio": "double", "distinct_word_share": "double", "repeated_line_share": "double", "compressed_share": "double",
     "delimiter_alignment": "double", "indent_periodicity": "double", "line_length_autocorrelation": "double", "list_share": "double", "table_share": "double", "junk_share": "double", "text_kind": "string",
 }
 
@@ -145,7 +147,7 @@ def statistics(text: str | None) -> tuple:
     text = text or ""
     lines = [s for s in text.split("\n") if s.strip(" \t\r\x0b\x0c ​﻿　")]
     if not lines:
-        return (len(text), 0, 0, *[0.0] * 13, 1.0, "junk")
+        return (*[0.0] * (len(COLUMNS) - 2), 1.0, "junk")
     solid = len(text) - sum(map(str.isspace, text)) or 1
     words = _WORD.findall(text.lower())
     symbol_ratio = len(_SYMBOL.findall(text)) / solid
@@ -176,29 +178,65 @@ def statistics(text: str | None) -> tuple:
         shares = {"table": table_share, "list": list_share, "junk": junk_share}
         kind = max(shares, key=shares.get) if sum(shares.values()) > 0.5 else "prose"
     return (
-        len(text), len(lines), len(words), letters / max(1, len(words)), symbol_ratio, letters / solid,
-        float(ended.mean()), sum(w in COMMON_WORDS for w in words) / max(1, len(words)), len(set(words)) / max(1, len(words)), 1 - len(counts) / len(lines), packed,
+        symbol_ratio, len(set(words)) / max(1, len(words)), 1 - len(counts) / len(lines), packed,
         float(tabled.mean()), periodic, correlated, list_share, table_share, junk_share, kind,
     )
 
 
-def text_statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each row of `df`: `key` and the values of COLUMNS. Other columns are not kept, so none can clash.
+# Letters of scripts that don't space words, for a set of characters; names of scripts begin with Is in one of the two dialects.
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}ー"
+_SPACED = rf"[^\P{{L}}{_UNSPACED}]"
+MARKS = r"[̀-ͯؐ-ًؚ-ٟ]"  # taken out before words are cut
+WORD = (
+    "(?:" + "|".join(UNSPACED_WORDS) + r")|\p{IsHan}{1,2}|\p{IsHiragana}{1,3}|[\p{IsKatakana}ー]{1,8}|\p{IsThai}{1,4}"
+    + rf"|{_SPACED}+(?:['’-]{_SPACED}+){{0,9}}"  # an unbounded group would nest too deep in long runs
+)
+ENDED = r"[.!?…؟。！？:।][\]'\"”’»“」)]*(?:[ \t]*\[\^[0-9]+\])*[ \t\r]*$"
+BLANKS = r"[ \t\r\n\x{b}\x{c}\x{a0}\x{200b}\x{3000}\x{feff}]"
 
-    Null, empty and blank texts have statistics of 0 and the kind junk. Repeated rows give
-    repeated results. Each text is read whole, by itself: nothing is shuffled.
+
+def lexical(text: Column) -> list[Column]:
+    """The columns of LEXICAL: counts and ratios of characters, lines and words.
+
+    Words of scripts without spaces are function words and else pieces of two Chinese characters,
+    three hiragana, eight katakana or four Thai letters, about as long as words there are.
     """
-    kinds = df.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kinds}, " + ", ".join(f"{k} {v}" for k, v in COLUMNS.items())
+    given = F.coalesce(text, F.lit(""))
+    lines = F.filter(F.split(given, "\n"), lambda s: F.length(F.regexp_replace(s, BLANKS, "")) > 0)
+    words = F.regexp_extract_all(F.regexp_replace(F.lower(given), MARKS, ""), F.lit(WORD), 0)
+    letters, count, n_lines = F.length(F.array_join(words, "")), F.size(words), F.size(lines)
+    share = lambda part, whole: F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
+    return [
+        F.length(given).cast("long").alias("n_chars"), n_lines.alias("n_lines"), count.cast("long").alias("n_words"), share(letters, count).alias("mean_word_length"),
+        share(letters, F.length(F.regexp_replace(given, BLANKS, ""))).alias("letter_ratio"), share(F.size(F.filter(lines, lambda s: s.rlike(ENDED))), n_lines).alias("punctuation_end_share"),
+        share(F.size(F.filter(words, lambda w: w.isin(*COMMON_WORDS, *UNSPACED_WORDS))), count).alias("common_word_share"),
+    ]
+
+
+def word_statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`key` and the columns of LEXICAL for each row; null texts count as empty, whose counts and shares are 0."""
+    return df.select(key, *lexical(F.col(text)))
+
+
+def _structures(df: DataFrame, key: str, text: str, keep: list[str]) -> DataFrame:
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in (key, *keep))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = pd.DataFrame([statistics(t) for t in b[text]], columns=list(COLUMNS))
-            out.insert(0, key, b[key].to_numpy())
-            yield out
+            found = pd.DataFrame([statistics(t) for t in b[text]], columns=list(COLUMNS), index=b.index)
+            yield pd.concat([b[[key, *keep]], found], axis=1)
+
+    return df.select(key, *keep, text).mapInPandas(run, f"{kinds}, " + ", ".join(f"{k} {v}" for k, v in COLUMNS.items()))
+
+
+def text_statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of `df`: `key` and the values of LEXICAL and COLUMNS. Other columns are not kept, so none can clash.
 
-    return df.select(key, text).mapInPandas(run, schema)
+    Null, empty and blank texts have statistics of 0 and the kind junk. Repeated rows give
+    repeated results. Each text is read whole, by itself: nothing is shuffled.
+    """
+    return _structures(df.select(key, *lexical(F.col(text)), F.col(text).alias("_text")), key, "_text", list(LEXICAL))
 
 
 def kinds_apart_from_prose(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return text_statistics(df, key, text).where(F.col("text_kind") != "prose").select(key, "text_kind")
+    return _structures(df.select(key, F.col(text).alias("_text")), key, "_text", []).where(F.col("text_kind") != "prose").select(key, "text_kind")

@@ -68,3 +68,17 @@ def test_ties_go_to_the_smaller_id_in_groups_of_any_size(spark):
         got.setdefault(r["query_id"], set()).add(r["neighbour_id"])
     first = [f"v{i:04}" for i in range(6)]
     assert got == {q: set([i for i in first if i != q][:5]) for q in ("v0003", "v1500", "w")}
+
+
+def test_exact_search_in_blocks_of_rows_and_queries(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART", 300)
+    monkeypatch.setattr(neighbours, "QUERY_PART", 100)
+    x = vectors(1500, 6)
+    df = spark.createDataFrame([(f"v{i}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T
+    np.fill_diagonal(near, -2)
+    want = {(f"v{i}", f"v{j}") for i, row in enumerate(near) for j in np.argsort(-row)[:5]}
+    assert {(r["query_id"], r["neighbour_id"]) for r in nearest(df, df, k=5, exact=True).collect()} == want
+    some = {(r["query_id"], r["neighbour_id"]) for r in nearest(df, df, k=5).collect()}  # every vector a query
+    assert len(some) == len(want) and len(some & want) >= 0.95 * len(want)

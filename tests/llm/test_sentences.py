@@ -20,6 +20,10 @@ CASES = [
     ("هل هذا صحيح؟ نعم. انتهى", ["هل هذا صحيح؟", "نعم.", "انتهى"]),
     ("yükseltir.Hâlen sürer [^2].Sonra", ["yükseltir.", "Hâlen sürer [^2].", "Sonra"]),
     ("no closing mark", ["no closing mark"]),
+    ("दवा भोजन के बाद लें। पानी के साथ लें। क्या यह सुरक्षित है?", ["दवा भोजन के बाद लें।", "पानी के साथ लें।", "क्या यह सुरक्षित है?"]),
+    ("Դեղը խմեք ջրով։ Մի մանրացրեք։", ["Դեղը խմեք ջրով։", "Մի մանրացրեք։"]),
+    ("Acme Inc. Announced it on Jan. 5 to all. Next.", ["Acme Inc. Announced it on Jan. 5 to all.", "Next."]),
+    ("He said: “दवा लें। पानी लें।” Then he left.", ["He said: “दवा लें। पानी लें।”", "Then he left."]),
 ]
 
 

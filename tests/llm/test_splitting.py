@@ -1,10 +1,11 @@
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sagebrook.llm.splitting import longest_stretch, split_oversized, split_text
+from sagebrook.llm.splitting import forced, soundness, split_oversized, split_text
 
 
 @given(st.text(alphabet="ab. \n,;", max_size=400), st.integers(20, 60), st.integers(0, 15))
@@ -44,6 +45,19 @@ def test_operator(spark):
         split_oversized(df, 10, 10)
 
 
-def test_stretch():
-    assert longest_stretch("ab.cde fghi") == 4
-    assert longest_stretch("") == 0
+@given(st.lists(st.sampled_from(["abcdefgh", "x" * 45, "c" * 61, ". ", " ", ",", "\n", "。"]), max_size=30).map("".join), st.integers(0, 15))
+@settings(max_examples=200, deadline=None)
+def test_forced_is_a_stretch_beyond_the_limit(text, overlap):
+    """The verdict from the cuts equals that from the whole text."""
+    if len(text) > 60:
+        longest = max(map(len, re.split(r"[\s.!?…。！？]", text)))
+        assert forced(text, split_text(text, 60, overlap), 60) == (longest > 60)
+
+
+def test_soundness(spark):
+    text = "Some words here. " * 30
+    chunks = spark.createDataFrame([("a", text, 0, 1), ("b", "y" * 250, None, 1), ("c", "short", 0, 1)], "id string, content string, char_offset_start int, ingested_at int").selectExpr("*", "'s' AS section_path")
+    pieces = split_oversized(chunks, 100, 20)
+    assert {tuple(r) for r in soundness(pieces, chunks, 100, 20).collect()} == {("a", True, True, True), ("b", True, True, True)}
+    broken = pieces.where("NOT (chunk_id = 'a' AND piece_no = 2) AND chunk_id <> 'b'")
+    assert {tuple(r) for r in soundness(broken, chunks, 100, 20).collect()} == {("a", False, True, False), ("b", False, False, False)}

@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from sagebrook.llm.textstats import COLUMNS, autocorrelation, kinds_apart_from_prose, statistics, text_statistics
+from sagebrook.llm.textstats import COLUMNS, LEXICAL, autocorrelation, kinds_apart_from_prose, statistics, text_statistics, word_statistics
 
 PROSE = "The label of the drug warns about the dose. It should not be taken with water.\nBefore the first dose the patient is measured again."
 KINDS = [
@@ -29,8 +29,7 @@ def test_kind(text, kind):
 def test_features():
     assert autocorrelation(np.array([5, 9, 5, 9, 5, 9, 5, 9.0])) > 0.8
     assert autocorrelation(np.array([1.0, 2.0])) == 0
-    by = dict(zip(COLUMNS, statistics(PROSE)))
-    assert by["n_lines"] == 2 and by["punctuation_end_share"] == 1 and by["common_word_share"] > 0.3 and by["symbol_ratio"] == 0
+    assert dict(zip(COLUMNS, statistics(PROSE)))["symbol_ratio"] == 0
 
 
 def test_operator_edges(spark):
@@ -39,7 +38,8 @@ def test_operator_edges(spark):
     assert text_statistics(df).count() == len(rows)
     got = {(r["doc_id"], r["text_kind"]) for r in kinds_apart_from_prose(df).collect()}
     assert got == {(i, k) for i, (_, k) in enumerate(KINDS) if k != "prose"}
-    assert text_statistics(df.limit(0)).count() == 0
+    assert text_statistics(df.limit(0)).count() == 0 and word_statistics(df).count() == len(rows)
+    assert text_statistics(df).columns == ["doc_id", *LEXICAL, *COLUMNS]
 
 
 @pytest.mark.parametrize(
@@ -63,3 +63,12 @@ def test_indented_prose_is_no_table():
     lines = ["The label of the drug warns about the dose and the many others who", "gave the water that should not be taken before it by children while", "the patient is measured again by a nurse of the unit named above for", "a second time and the first dose is given with yet another label now"]
     for mark in ("\t", "  "):
         assert statistics("\n".join(mark + s for s in lines))[-1] == "prose" and statistics("\n".join(s + mark for s in lines))[-1] == "prose"
+
+
+def test_words_of_any_script(spark):
+    texts = [PROSE, "使用卡贝格之后在体内停留多久？请勿压碎药片的包装。", "服用の前に医師に相談してください。", "ยานี้ใช้เพื่อรักษาและป้องกันการเจ็บป่วย", "ab" * 40_000 + "é́" * 2000, "", None]
+    by = {r["doc_id"]: r for r in word_statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert by[0]["n_lines"] == 2 and by[0]["punctuation_end_share"] == 1 and by[0]["common_word_share"] > 0.3
+    for i in (1, 2, 3):
+        assert by[i]["n_words"] >= 6 and 1 <= by[i]["mean_word_length"] <= 4 and by[i]["common_word_share"] > 0, i
+    assert by[4]["n_words"] == 1 and by[5]["n_words"] == by[6]["n_words"] == 0 and by[6]["mean_word_length"] == 0
