@@ -55,7 +55,7 @@ def test_forced_is_a_stretch_beyond_the_limit(text, overlap):
 
 
 def test_soundness(spark):
-    text = "Some words here. " * 30
+    text = "".join(f"Some words {i * 37} here. " for i in range(30))
     chunks = spark.createDataFrame([("a", text, 0, 1), ("b", "y" * 250, None, 1), ("c", "short", 0, 1)], "id string, content string, char_offset_start int, ingested_at int").selectExpr("*", "'s' AS section_path")
     pieces = split_oversized(chunks, 100, 20)
     assert {tuple(r) for r in soundness(pieces, chunks, 100, 20).collect()} == {("a", True, True, True), ("b", True, True, True)}
