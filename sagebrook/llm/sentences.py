@@ -31,15 +31,15 @@ AFTER_QUOTE = "and or but ve veya ama und oder aber et ou mais y o pero и ил
 SEP, SPAN_ON, SPAN_OFF = "\ue0ff", "\ue0f0", "\ue0f1"
 POINT = "\ue000"  # a point that ends nothing
 OTHER_ENDS = "।॥։።፧។៕။۔"  # of Devanagari, Armenian, Ethiopic, Khmer, Burmese and Urdu
-QUOTED_FROM = ".!?…؟。！？" + OTHER_ENDS
-QUOTED_TO = "".join(chr(0xE010 + i) for i in range(len(QUOTED_FROM)))  # terminators within a quotation
+OTHER_TO = "".join(chr(0xE01E + i) for i in range(len(OTHER_ENDS)))  # they are handled as one range: long classes are slow
+QUOTED_FROM = "。！？.!?…؟" + OTHER_TO
+QUOTED_TO = "".join(chr(0xE00D + i) for i in range(len(QUOTED_FROM)))  # terminators within a quotation
 PRIVATE = "[\ue000-\ue0ff]"
 
 _EMOJI = "\\x{1F1E6}-\\x{1FAFF}\u2600-\u27bf\ufe0f\u200d"
 _GAP = "[ \\t\u00a0]*\\n?[ \\t\u00a0]*"
 _TAIL = f"(?:{_GAP}\\[\\^\\d+\\]|{_GAP}[{_EMOJI}]+)*"
-_QUOTED_OTHER = f"{QUOTED_TO[8]}-{QUOTED_TO[-1]}"
-_END = f"[.!?…؟{OTHER_ENDS}]"
+_END = "[.!?…؟\ue01e-\ue026]"
 _CLOSE = "(?:[ \u00a0]?»|[\"”“’'」』）)\\]])"
 _BLANK = "[\\s\u00a0\u200b\u202f\u3000]"
 _LOWER = f"(?!{_BLANK}+\\p{{Ll}}(?!\\p{{Lu}}))"
@@ -81,18 +81,18 @@ _SPACED = (
     # a quotation that ends in a point
     f"|[.\ue010](?:[ \u00a0]?»|[\"”“]){_TAIL}(?={_BLANK}|$)(?!{_BLANK}+{_word(AFTER_QUOTE)}\\b)"
     # other closing marks
-    f"|[.!?…؟{OTHER_ENDS}\ue010-\ue014{_QUOTED_OTHER}]++{_CLOSE}++{_TAIL}(?={_BLANK}|$){_LOWER}"
+    f"|[.!?…؟\ue010-\ue026]++{_CLOSE}++{_TAIL}(?={_BLANK}|$){_LOWER}"
     # a missing space before the next sentence
-    f"|{_END}++(?<=(?:[\\p{{Ll}}\\p{{N}})%/][\\p{{L}}\\p{{N}})%]|\\d\\])[.!?…؟{OTHER_ENDS}]{{1,3}})(?=\\p{{Lu}}(?:[\\p{{Ll}}\\s’']|\\p{{Lu}}{{2}}|\\p{{Lu}}\\s)|[¿¡“«„])"
-    f"|{_END}++(?<=\\p{{L}}{{3}}[.!?…؟{OTHER_ENDS}]{{1,3}})(?=\\p{{Lu}}\\p{{Ll}})"
-    f"|{_END}++(?<=\\p{{Ll}}{{3}}[.!?…؟{OTHER_ENDS}]{{1,3}})(?=\\p{{N}})"
-    f"|{_END}++(?<=\\p{{IsArabic}}{{2}}[.!?…؟{OTHER_ENDS}]{{1,3}})(?=\\p{{IsArabic}})"
-    f"|[.!?…؟{OTHER_ENDS}\ue010-\ue014{_QUOTED_OTHER}]++{_CLOSE}*+(?:{_GAP}\\[\\^\\d+\\])++(?=\\p{{L}})"
+    f"|{_END}++(?<=(?:[\\p{{Ll}}\\p{{N}})%/][\\p{{L}}\\p{{N}})%]|\\d\\])[.!?…؟\ue01e-\ue026]{{1,3}})(?=\\p{{Lu}}(?:[\\p{{Ll}}\\s’']|\\p{{Lu}}{{2}}|\\p{{Lu}}\\s)|[¿¡“«„])"
+    f"|{_END}++(?<=\\p{{L}}{{3}}[.!?…؟\ue01e-\ue026]{{1,3}})(?=\\p{{Lu}}\\p{{Ll}})"
+    f"|{_END}++(?<=\\p{{Ll}}{{3}}[.!?…؟\ue01e-\ue026]{{1,3}})(?=\\p{{N}})"
+    f"|{_END}++(?<=\\p{{IsArabic}}{{2}}[.!?…؟\ue01e-\ue026]{{1,3}})(?=\\p{{IsArabic}})"
+    f"|[.!?…؟\ue010-\ue026]++{_CLOSE}*+(?:{_GAP}\\[\\^\\d+\\])++(?=\\p{{L}})"
     f"|[.!?…\ue010-\ue013]++[\"”»](?=\\p{{Lu}}\\p{{Ll}})"
 )
 _UNSPACED = (
     f"[。！？]++{_TAIL}(?![」』”’）)》。！？])"
-    f"|[。！？\ue015-\ue017]++[」』”’）)》]++{_TAIL}(?![と，、；：])"
+    f"|[。！？\ue00d-\ue00f]++[」』”’）)》]++{_TAIL}(?![と，、；：])"
 )
 _THAI = (
     "(?<=[\u0e00-\u0e7f][”\"»)\\]%]{0,2})[ \\t\\n\u00a0]+(?![\\s(\\[" + _EMOJI + "])"
@@ -112,14 +112,15 @@ def masked(text: Column) -> Column:
 
 
 def unmasked(text: Column) -> Column:
-    return F.translate(text, POINT + QUOTED_TO, "." + QUOTED_FROM)
+    return F.translate(text, POINT + QUOTED_TO + OTHER_TO, "." + QUOTED_FROM.replace(OTHER_TO, OTHER_ENDS) + OTHER_ENDS)
 
 
 def with_pieces(df: DataFrame, text: str) -> DataFrame:
     """Adds `_pieces`: the masked text cut after each unit, with nothing lost."""
-    safe = F.when(F.col(text).rlike(PRIVATE), F.regexp_replace(text, PRIVATE, "\ufffd")).otherwise(F.col(text))
+    whole = F.when(F.col(text).rlike(PRIVATE), F.regexp_replace(text, PRIVATE, "\ufffd")).otherwise(F.col(text))
+    given = F.when(F.col(text).rlike("[\u0589\u06d4\u0964-\u17d5]"), F.translate(whole, OTHER_ENDS, OTHER_TO)).otherwise(whole)
     marked = F.when(F.col("_m").rlike("[\u0e00-\u0e7f]"), F.regexp_replace("_m", BOUNDARY_THAI, f"$0{SEP}")).otherwise(F.regexp_replace("_m", BOUNDARY, f"$0{SEP}"))
-    return df.withColumn("_m", masked(safe)).withColumn("_pieces", F.split(marked, SEP)).drop("_m")
+    return df.withColumn("_m", masked(given)).withColumn("_pieces", F.split(marked, SEP)).drop("_m")
 
 
 def sentence_units(df: DataFrame, text: str = "content", keep: list[str] | None = None) -> DataFrame:
