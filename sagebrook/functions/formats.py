@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import prefix, trimmed
+from .text import collapsed, prefix, trimmed
 
 # Formats and messages that results must equal.
 SOURCE_HEAD, SOURCE_SEPARATOR, NO_CONTEXT = "## Kaynak [^{n}] — {label}", "\n\n---\n\n", "Hiç kaynak bulunamadı."
@@ -20,6 +22,13 @@ NO_SOURCES = {
     ("en", "literature"): "No relevant literature (PubMed/Europe PMC) was found for this question. Try rephrasing or being more specific.",
 }
 EVIDENCE_LABELS = ("Study type", "Population (P)", "Intervention (I)", "Comparison (C)", "Outcome (O)", "Sample size", "Key finding", "Evidence", "Quality flags")
+EVIDENCE_LABELS_TR = ("Çalışma tipi", "Popülasyon (P)", "Müdahale (I)", "Karşılaştırma (C)", "Sonuç (O)", "Örneklem", "Ana bulgu", "Kanıt", "Kalite notları")
+SYNTHESIS_PARTS = {
+    "tr": ("Aşağıdaki makale kanıtlarını sentezleyerek soruyu yanıtla.", "## Soru", "## Makale Kanıtları"),
+    "en": ("Synthesize the paper evidence below to answer the question.", "## Question", "## Paper Evidence"),
+}
+RERANK_PROMPT = 'Soru: "{question}"\n\nAşağıda numaralı aday metin parçaları var. Soruyu yanıtlamak için EN ALAKALI olanları en alakalıdan başlayarak sırala. SADECE indeks numaralarını, alaka sırasıyla, virgülle ayrılmış döndür (örn: 3,0,7). Açıklama YAZMA.\n\n{list}'
+RERANK_CHARS = 320
 UNKNOWN_STUDY, NOT_STATED = "bilinmiyor", "belirtilmemiş"
 
 
@@ -53,13 +62,32 @@ def fallback_evidence(abstract: Column) -> dict[str, Column]:
     return {"study_type": F.lit(UNKNOWN_STUDY), **fixed, "key_finding": prefix(abstract, 200), "evidence_snippet": prefix(abstract, 160)}
 
 
-def evidence_block(n: Column, title: Column, meta: Column, evidence: dict[str, Column], flags: Column) -> Column:
+def filled(template: str, **values: Column) -> Column:
+    """A text with columns in the places of {names}; null where one is null."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)])
+
+
+def rerank_prompts(questions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """query_id and prompt of questions (query_id, text) with candidates (query_id, place, content); a row for each question, with its few candidates."""
+    line = F.concat(F.lit("["), (F.col("place") - 1).cast("string"), F.lit("] "), prefix(collapsed(F.col("content")), RERANK_CHARS))
+    lines = candidates.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))), lambda x: x["line"]), "\n").alias("_list"))
+    return questions.select("query_id", "text").join(lines, "query_id").select("query_id", filled(RERANK_PROMPT, question=F.col("text"), list=F.col("_list")).alias("prompt"))
+
+
+def synthesis_prompt(question: Column, blocks: Column, language: Column) -> Column:
+    """The whole prompt from evidence blocks (an array in order)."""
+    made = {k: filled("{intro}\n\n{head}\n\n{question}\n\n{evidence}\n\n{blocks}", intro=F.lit(i), head=F.lit(h), question=question, evidence=F.lit(e), blocks=F.array_join(blocks, "\n\n")) for k, (i, h, e) in SYNTHESIS_PARTS.items()}
+    return F.when(language == "tr", made["tr"]).otherwise(made["en"])
+
+
+def evidence_block(n: Column, title: Column, meta: Column, evidence: dict[str, Column], flags: Column, labels: tuple = EVIDENCE_LABELS) -> Column:
     """One paper of a synthesis prompt; the line of flags only where there are any."""
     head = F.concat(F.lit("### Makale [^"), n.cast("string"), F.lit("] — "), title, F.when(F.coalesce(meta, F.lit("")) != "", F.concat(F.lit(" ("), meta, F.lit(")"))).otherwise(""))
     names = ("study_type", "population", "intervention", "comparison", "outcome", "sample_size", "key_finding")
-    lines = [F.concat(F.lit(f"- {label}: "), evidence[name]) for label, name in zip(EVIDENCE_LABELS, names)]
-    quoted = F.concat(F.lit(f"- {EVIDENCE_LABELS[7]}: \""), evidence["evidence_snippet"], F.lit('"'))
-    noted = F.when(F.size(flags) > 0, F.concat(F.lit(f"- {EVIDENCE_LABELS[8]}: "), F.array_join(flags, ", ")))
+    lines = [F.concat(F.lit(f"- {label}: "), evidence[name]) for label, name in zip(labels, names)]
+    quoted = F.concat(F.lit(f"- {labels[7]}: \""), evidence["evidence_snippet"], F.lit('"'))
+    noted = F.when(F.size(flags) > 0, F.concat(F.lit(f"- {labels[8]}: "), F.array_join(flags, ", ")))
     return F.concat_ws("\n", head, *lines, quoted, noted)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WS, trimmed
+from .formats import NOT_STATED, UNKNOWN_STUDY
+from .text import WS, prefix, trimmed
 
 
 def reordered(reply: Column, n: Column) -> Column:
@@ -31,5 +32,21 @@ def field(reply: Column, name: str, default: str) -> Column:
     return F.coalesce(F.nullif(trimmed(F.get_json_object(json_object(reply), f"$.{name}")), F.lit("")), F.lit(default))
 
 
+# Fields of the object that a model is asked for, and the names they have here.
+EVIDENCE_FIELDS = {"studyType": "study_type", "population": "population", "intervention": "intervention", "comparison": "comparison", "outcome": "outcome", "sampleSize": "sample_size", "keyFinding": "key_finding", "evidenceSnippet": "evidence_snippet"}
+
+
+def evidence(reply: Column, abstract: Column) -> Column:
+    """A struct of the evidence in a model's reply: trimmed fields or defaults from the abstract, and flags without blank ones.
+
+    A null reply or one without a readable object gives the defaults and no flags.
+    """
+    default = {name: F.lit(NOT_STATED) for name in EVIDENCE_FIELDS.values()} | {"study_type": F.lit(UNKNOWN_STUDY), "key_finding": prefix(abstract, 200), "evidence_snippet": prefix(abstract, 160)}
+    found = json_object(reply)
+    texts = [F.coalesce(F.nullif(trimmed(F.get_json_object(found, f"$.{given}")), F.lit("")), default[name]).alias(name) for given, name in EVIDENCE_FIELDS.items()]
+    flags = F.filter(F.transform(F.coalesce(F.from_json(F.get_json_object(found, "$.qualityFlags"), "array<string>"), F.array().cast("array<string>")), trimmed), lambda x: F.length(x) > 0)
+    return F.struct(*texts, flags.alias("flags"))
+
+
 def blank(x: Column) -> Column:
     return F.coalesce(F.length(F.regexp_replace(x, f"{WS}+", "")), F.lit(0)) == 0

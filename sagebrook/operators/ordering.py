@@ -8,26 +8,29 @@ from pyspark.sql import functions as F
 HOT_ROWS = 20_000  # groups up to this size are never split
 HOT_GROUPS = 2_000  # a group is hot if it holds more than this part of all rows: so many can be hot at most
 PARTS = 64
-
-
-def text_place(text: Column) -> Column:
-    """A number that never falls as texts ascend: their first seven bytes."""
-    return F.conv(F.rpad(F.substring(F.hex(F.encode(F.substring(text, 1, 7), "UTF-8")), 1, 14), 14, "0"), 16, 10).cast("long")
+SAMPLED = 2048  # values of a hot group from which cuts of texts are taken, about
 
 
 def with_parts(df: DataFrame, group: str, at: str | Column) -> DataFrame:
     """Adds `_part`: 0 for ordinary groups; hot groups are cut along `at` into up to PARTS parts.
 
-    `at` is a timestamp column or a number. Parts ascend with it, equal values share one and nulls come first. The cut points are
-    quantiles of each hot group, found with partial aggregation; at most HOT_GROUPS groups can
-    be hot, so the table that is broadcast has at most HOT_GROUPS * PARTS numbers.
+    `at` is a number, or the name of a timestamp or text column. Parts ascend with it, equal values
+    share one and nulls come first. Cut points are quantiles of each hot group, of texts those
+    of about SAMPLED values with the right hashes, both found with partial aggregation; at most
+    HOT_GROUPS groups can be hot, so the table that is broadcast has at most HOT_GROUPS * PARTS cuts.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_total"))
-    hot = sizes.join(F.broadcast(total), F.col("_n") > F.greatest(F.lit(HOT_ROWS), F.col("_total") / HOT_GROUPS)).select(group)
-    micros = F.unix_micros(F.col(at).cast("timestamp")) if isinstance(at, str) else at
-    cuts = df.join(F.broadcast(hot), group).groupBy(group).agg(F.percentile_approx(micros, [k / PARTS for k in range(1, PARTS)], 1000).alias("_cuts"))
-    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < micros)), F.lit(0))
+    hot = sizes.join(F.broadcast(total), F.col("_n") > F.greatest(F.lit(HOT_ROWS), F.col("_total") / HOT_GROUPS)).select(group, "_n")
+    texts = isinstance(at, str) and df.schema[at].dataType.typeName() == "string"
+    place = at if not isinstance(at, str) else F.col(at) if texts else F.unix_micros(F.col(at).cast("timestamp"))
+    own = df.join(F.broadcast(hot), group)
+    if texts:
+        held = own.where(F.pmod(F.xxhash64(at), F.ceil(F.col("_n") / SAMPLED).cast("long")) == 0).groupBy(group).agg(F.array_sort(F.collect_set(at)).alias("_s"))
+        cuts = held.select(group, F.transform(F.sequence(F.lit(1), F.lit(PARTS - 1)), lambda k: F.get("_s", F.floor(k * F.size("_s") / PARTS).cast("int"))).alias("_cuts"))
+    else:
+        cuts = own.groupBy(group).agg(F.percentile_approx(place, [k / PARTS for k in range(1, PARTS)], 1000).alias("_cuts"))
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < place)), F.lit(0))
     return df.join(F.broadcast(cuts), group, "left").withColumn("_part", F.when(F.col("_cuts").isNull(), 0).otherwise(part)).drop("_cuts")
 
 

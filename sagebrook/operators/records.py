@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, collapsed, without_tags
 from .ordering import running_sum, sequence_within, with_parts
 
-LABEL_FIELDS = ("indications_and_usage", "dosage_and_administration", "contraindications", "warnings", "adverse_reactions", "drug_interactions", "use_in_specific_populations", "overdosage")
+# Fields of a label in the order of its sections, with the names of these.
+LABEL_FIELDS = {
+    "indications_and_usage": "Indications and Usage", "dosage_and_administration": "Dosage and Administration", "contraindications": "Contraindications", "boxed_warning": "Boxed Warning",
+    "warnings_and_cautions": "Warnings and Cautions", "warnings": "Warnings", "adverse_reactions": "Adverse Reactions", "drug_interactions": "Drug Interactions",
+}
 # Addresses of papers, and the source where a record names none.
 DOI, PUBMED, ARTICLE, SOURCE = "https://doi.org/", "https://pubmed.ncbi.nlm.nih.gov/", "https://europepmc.org/article/", "MED"
 SECTION_MOST, SECTION_LEAST, ABSTRACT_LEAST = 3000, 40, 40
@@ -19,14 +23,18 @@ def label_title(brands: Column, generics: Column, key: Column) -> Column:
     return F.coalesce(first(brands), first(generics), F.concat(F.lit("Drug "), F.nullif(key, F.lit(""))), F.lit("Unknown drug"))
 
 
-def label_sections(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """key, section_no, section, text, start, end of the sections that hold enough, in the order of `fields`.
+def label_sections(rows: DataFrame, key: str, fields: dict[str, str] | list[str]) -> DataFrame:
+    """key, section_no, section, text, start, end of the sections that hold enough, in the order of `fields` (columns, with shown names).
+
+    A field is a text or an array of texts, joined by line breaks; labels without a section give no rows.
 
     Text is collapsed and cut to SECTION_MOST; sections under SECTION_LEAST are left out. start
     counts the sections before, with one character between.
     """
+    names = fields if isinstance(fields, dict) else {f: f for f in fields}
+    whole = lambda f: F.array_join(f, "\n") if rows.schema[f].dataType.typeName() == "array" else F.coalesce(F.col(f), F.lit(""))
     parts = F.filter(
-        F.array(*[F.struct(F.lit(f).alias("section"), F.substring(collapsed(F.coalesce(F.col(f), F.lit(""))), 1, SECTION_MOST).alias("text")) for f in fields]),
+        F.array(*[F.struct(F.lit(name).alias("section"), F.substring(collapsed(F.coalesce(whole(f), F.lit(""))), 1, SECTION_MOST).alias("text")) for f, name in names.items()]),
         lambda s: F.length(s["text"]) >= SECTION_LEAST,
     )
     lens = F.transform(F.col("_s"), lambda s: F.length(s["text"]) + 1)
@@ -50,15 +58,19 @@ def mapped_papers(rows: DataFrame) -> DataFrame:
 
 
 def distinct_papers(papers: DataFrame, most: int | None = None) -> DataFrame:
-    """For each key (doi, else pmid, else normal title) the longest abstract, the first of equals, in order of the key's first appearance."""
+    """For each key (doi, else pmid, else normal title) the longest abstract, the first of equals, with first_position, where its key first appears.
+
+    Winners are found among keys, lengths and positions, which must be unique; texts are joined
+    back afterwards. Rows come in no order unless `most` keeps the first by first_position.
+    """
     from ..functions.text import normal_title
 
     key = F.coalesce(F.nullif(F.col("doi"), F.lit("")), F.nullif(F.col("pmid"), F.lit("")), normal_title(F.col("title")))
-    rest = [c for c in papers.columns if c != "position"]
-    best = F.max(F.struct(F.length("abstract").alias("n"), (-F.col("position")).alias("p"), *rest)).alias("b")
-    out = papers.groupBy(key.alias("_key")).agg(best, F.min("position").alias("first_position")).select(*[F.col(f"b.{c}") for c in rest], "first_position")
-    out = out.orderBy("first_position")
-    return out.limit(most) if most else out
+    best = papers.groupBy(key.alias("_key")).agg(F.min("position").alias("first_position"), F.max(F.struct(F.length("abstract").alias("n"), (-F.col("position")).alias("p"))).alias("_b"))
+    won = best.select("first_position", (-F.col("_b.p")).alias("position"))
+    if most:
+        won = won.orderBy("first_position").limit(most)
+    return papers.join(won, "position").drop("position")
 
 
 def paper_chunk(title: Column, abstract: Column) -> Column:
@@ -69,14 +81,6 @@ def paper_section(journal: Column, year: Column) -> Column:
     return F.nullif(F.concat_ws(" ", F.nullif(journal, F.lit("")), F.nullif(year, F.lit(""))), F.lit(""))
 
 
-def block_offsets(rows: DataFrame, key: str, blocks: str) -> DataFrame:
-    """key, block_no, text, start, end: blocks with two characters between; starts come from a shared window over lengths."""
-    flat = rows.select(key, F.posexplode(blocks).alias("block_no", "text"))
-    along = Window.partitionBy(key).orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 2).over(along), F.lit(0))
-    return flat.withColumn("start", start).withColumn("end", F.col("start") + F.length("text"))
-
-
 def grouped_lines(items: DataFrame, group: str, order: list[str], y: str, text: str, gap: float = 2.0) -> DataFrame:
     """group, line_no, text: items whose y differs from the item before by more than `gap` begin a new line; blank lines are dropped.
 

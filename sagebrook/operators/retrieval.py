@@ -1,8 +1,12 @@
-"""Vector and lexical search, rank fusion and reordering. Every operator is keyed by query_id, so one plan serves one question or many."""
+"""Vector and lexical search, rank fusion and reordering.
+
+vector_top and lexical_top serve one question; the searches keyed by query_id and tenant serve any
+number of questions in one plan.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +15,8 @@ from pyspark.sql import functions as F
 
 POOL = 25  # candidates a branch
 RRF_K = 60
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 4096  # questions and rows that one task compares at once, about
+ROW_BLOCK = 20_000
 
 # Frequent words left out of lexical search.
 STOP_WORDS_EN = "a an and are as at be been by for from had has have if in into is it its may no not of on or such that the their then there these they this to was were will with".split()
@@ -32,44 +37,62 @@ def vector_top(rows: DataFrame, query: list[float], k: int = POOL, key: str = "i
     return near.where(F.col("similarity").isNotNull()).orderBy(F.desc("similarity"), key).limit(k)
 
 
-def vector_top_batch(rows: DataFrame, queries: list[tuple], k: int = POOL, key: str = "id", vector: str = "embedding") -> DataFrame:
-    """query_id, key, similarity and rank of the k rows nearest to each of the given (query_id, vector) pairs.
+def _usable(vectors: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and unit forms of vectors of `size` finite numbers that are not all zero."""
+    at = np.array([i for i, v in enumerate(vectors) if len(v) == size], np.int64)
+    x = np.array([vectors.iat[i] for i in at], np.float64).reshape(len(at), size)
+    norm = np.linalg.norm(x, axis=1)
+    ok = np.isfinite(norm) & (norm > 0)
+    return at[ok], x[ok] / norm[ok, None]
+
+
+def vector_search(rows: DataFrame, queries: DataFrame, k: int = POOL, key: str = "id", vector: str = "embedding", tenant: str | None = None, document: str | None = None) -> DataFrame:
+    """query_id, key, similarity and rank of the k rows most similar to each question's vector, exactly.
 
-    Queries are a stated set and go through in blocks of QUERY_BLOCK. Each batch of rows is
-    multiplied with the block at once and hands on its own best k a query only, so that the
-    shuffle holds k rows a query and batch and not every pair.
+    queries: query_id, the vector, the tenant's column where `tenant` is given (rows of other
+    tenants are not seen), and where `document` is given document_ids, an array of the only values
+    of that column searched (null or empty: all). Both sides are dealt to blocks, each pair of blocks
+    that share a tenant is multiplied by one task, which hands on its best k a question. Vectors
+    that are null, of another length than the question's, zero or not finite take no part. Ties go to the
+    smaller key. Nothing is gathered on the driver but two counts.
     """
-    kind = rows.schema[key].dataType.simpleString()
-    out = None
-    for at in range(0, len(queries), QUERY_BLOCK):
-        part = queries[at : at + QUERY_BLOCK]
-        names = [q for q, _ in part]
-        q = np.array([v for _, v in part], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-
-        def run(batches: Iterator[pd.DataFrame], q: np.ndarray = q, names: list = names) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                if not len(b):
-                    continue
-                x = np.array(b["v"].tolist(), np.float64)
-                norm = np.linalg.norm(x, axis=1)
-                keep = np.flatnonzero(np.isfinite(norm) & (norm > 0))
-                if not len(keep):
-                    continue
-                near, ids = q @ (x[keep] / norm[keep, None]).T, b[key].to_numpy()[keep]
-                found = []
-                for name, row in zip(names, near):
-                    low = -np.inf if len(row) <= k else np.partition(row, -k)[-k]
-                    t = np.flatnonzero(row >= low)
-                    t = t[np.lexsort((ids[t], -row[t]))][:k]
-                    found.append(pd.DataFrame({"query_id": name, key: ids[t], "similarity": row[t]}))
-                yield pd.concat(found, ignore_index=True)
-
-        usable = rows.where(F.col(vector).isNotNull() & (F.size(vector) == q.shape[1])).select(key, F.col(vector).alias("v"))
-        made = usable.mapInPandas(run, f"query_id long, `{key}` {kind}, similarity double")
-        out = made if out is None else out.unionByName(made)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), key)
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    kinds = rows.schema[key].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    shared = F.col(tenant).cast("string") if tenant else F.lit("")
+    n_rows, n_queries = rows.count(), queries.count()
+    row_blocks, query_blocks = -(-max(1, n_rows) // ROW_BLOCK), -(-max(1, n_queries) // QUERY_BLOCK)
+    given = [F.col(document).cast("string").alias("_d")] if document else [F.lit(None).cast("string").alias("_d")]
+    wanted = [F.col("document_ids").cast("array<string>").alias("_only")] if document else [F.lit(None).cast("array<string>").alias("_only")]
+    x = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.col(vector).alias("_v"), shared.alias("_t"), *given, F.pmod(F.xxhash64(key), F.lit(row_blocks)).alias("_r"))
+    q = queries.where(F.col(vector).isNotNull()).select("query_id", F.col(vector).alias("_v"), shared.alias("_t"), *wanted, F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).alias("_q"))
+    x_dealt = x.join(q.select("_t", F.col("_q").alias("_q_of_x")).distinct(), "_t").withColumnRenamed("_t", "_t_of_x")
+    q_dealt = q.join(x.select("_t", F.col("_r").alias("_r_of_q")).distinct(), "_t")
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            for size, some in right.groupby(right["_v"].map(len)):
+                at, base = _usable(left["_v"], size)
+                asked, unit = _usable(some["_v"], size)
+                names, only = some["query_id"].to_numpy()[asked], some["_only"].to_numpy()[asked]
+                ids, docs = left["_k"].to_numpy()[at], left["_d"].to_numpy()[at]
+                for i in range(0, len(unit), 256):
+                    for name, chosen, near in zip(names[i : i + 256], only[i : i + 256], unit[i : i + 256] @ base.T):
+                        if chosen is not None and len(chosen):
+                            near = np.where(np.isin(docs.astype(str), list(map(str, chosen))), near, -np.inf)
+                        low = -np.inf if len(near) <= k else np.partition(near, -k)[-k]
+                        t = np.flatnonzero((near >= low) & (near > -np.inf))
+                        t = t[np.lexsort((ids[t], -near[t]))][:k]
+                        out.append(pd.DataFrame({"query_id": name, key: ids[t], "similarity": near[t]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], key: [], "similarity": []}).astype({"query_id": object, key: object})
+
+    made = x_dealt.groupBy("_t_of_x", "_r", "_q_of_x").cogroup(q_dealt.groupBy("_t", "_r_of_q", "_q")).applyInPandas(run, f"query_id {kinds[1]}, `{key}` {kinds[0]}, similarity double")
+    return top_ranked(made, F.round("similarity", 12), k, key)
+
+
+def top_ranked(rows: DataFrame, by: Column, k: int, key: str = "id") -> DataFrame:
+    """The k best rows of each query_id with their rank, ties to the smaller key. Window groups are cut to k before the shuffle."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(by), key)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def analyzed(text: Column) -> Column:
@@ -83,12 +106,60 @@ def light_stem(term: Column) -> Column:
     return F.when(F.length(bare) >= 3, bare).otherwise(term)
 
 
+def lexemes(text: Column) -> Column:
+    """An array of (term, position): stems of the terms that are no stop words, positions counting stop words, from 0."""
+    placed = F.transform(analyzed(text), lambda t, i: F.struct(t.alias("term"), i.alias("position")))
+    kept = F.filter(placed, lambda s: ~s["term"].isin(*STOP_WORDS_EN, *STOP_WORDS_TR))
+    return F.transform(kept, lambda s: F.struct(light_stem(s["term"]).alias("term"), s["position"].alias("position")))
+
+
 def postings(rows: DataFrame, key: str = "id", text: str = "content", stop_words: list[str] | None = None) -> DataFrame:
     """key, term, position (from 0, counting stop words) of every term of every text."""
     out = rows.select(key, F.posexplode(analyzed(F.col(text))).alias("position", "term"))
     return out.where(~F.col("term").isin(stop_words)) if stop_words else out
 
 
+def stored_postings(rows: DataFrame, key: str = "id", text: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """`keep`, key, term (stemmed, no stop words) and position: what lexical_search looks terms up in. Write it once, partitioned or bucketed by term, and search it often."""
+    return rows.select(*keep, key, F.explode(lexemes(F.col(text))).alias("l")).select(*keep, key, "l.term", "l.position")
+
+
+def lexical_search(stored: DataFrame, queries: DataFrame, k: int = POOL, key: str = "id", text: str = "text", tenant: str | None = None, document: str | None = None) -> DataFrame:
+    """query_id, key, score and rank of the k texts with all lexemes of each question, by cover density.
+
+    Questions go through the same analysis as the texts. Those without a lexeme find nothing. Only
+    postings of the questions' own terms leave the join; what is put together afterwards is the
+    hits of one question in one text. See lexical_top for the score. `tenant` and `document` as in
+    vector_search.
+    """
+    on = [tenant] if tenant else []
+    asked = queries.select("query_id", *on, *(["document_ids"] if document else []), F.array_distinct(F.transform(lexemes(F.col(text)), lambda s: s["term"])).alias("_all"))
+    terms = asked.select("query_id", *on, *(["document_ids"] if document else []), F.size("_all").alias("_n"), F.explode("_all").alias("term"))
+    hits = stored.join(terms, [*on, "term"])
+    if document:
+        hits = hits.where(F.coalesce(F.size("document_ids"), F.lit(0)).isin(0, -1) | F.array_contains("document_ids", F.col(document)))
+    found = hits.groupBy("query_id", key).agg(F.array_sort(F.collect_list(F.struct("position", "term"))).alias("_h"), F.first("_n").alias("_n"), F.count_distinct("term").alias("_own"))
+    whole = found.where(F.col("_own") == F.col("_n")).select("query_id", key, F.transform("_h", lambda h: h["position"]).alias("_p"), F.transform("_h", lambda h: h["term"]).alias("_t"), "_n")
+    kinds = (whole.schema["query_id"].dataType.simpleString(), whole.schema[key].dataType.simpleString())
+
+    def density(places: list[int], names: list[str], n: int) -> float:
+        last: dict[str, int] = {}
+        score, begun = 0.0, -1
+        for i, (p, name) in enumerate(zip(places, names)):
+            last[name] = i
+            first = min(last.values())
+            if len(last) == n and first > begun:
+                begun = first
+                score += 0.1 / (1 + max(0, p - places[first] - (i - first)))
+        return score
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"query_id": b["query_id"], key: b[key], "score": [density(p, t, n) for p, t, n in zip(b["_p"], b["_t"], b["_n"])]})
+
+    return top_ranked(whole.mapInPandas(run, f"query_id {kinds[0]}, `{key}` {kinds[1]}, score double"), F.round("score", 9), k, key)
+
+
 def lexical_top(rows: DataFrame, terms: list[str], k: int = POOL, key: str = "id", text: str = "content") -> DataFrame:
     """The k texts that hold all terms, by cover density: key, score.
 
@@ -120,17 +191,19 @@ def ranked(rows: DataFrame, by: str, key: str = "id", query: str | None = None)
     return rows.withColumn("rank", F.row_number().over(w))
 
 
-def fuse(vector: DataFrame, keyword: DataFrame, k: int | list[int] = RRF_K, top: int = 10, key: str = "id") -> DataFrame:
+def fuse(vector: DataFrame, keyword: DataFrame, k: int | list[int] = RRF_K, top: int = 10, key: str = "id", query: str | None = None) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists: key, score, sources, vector_rank, keyword_rank, similarity, fts_score.
 
     Equal scores keep the order of the vector list, then of the keyword list. For a list of
-    constants the candidates are found once and the result has a column k.
+    constants the candidates are found once and the result has a column k. With `query`, lists of
+    many questions are fused at once and places are numbered in the column place.
     """
-    v = vector.select(key, F.lit("vector").alias("source"), "rank", F.col("similarity").alias("similarity"), F.lit(None).cast("double").alias("fts_score"))
-    w = keyword.select(key, F.lit("keyword").alias("source"), "rank", F.lit(None).cast("double").alias("similarity"), F.col("score").alias("fts_score"))
+    own = [query] if query else []
+    v = vector.select(*own, key, F.lit("vector").alias("source"), "rank", F.col("similarity").alias("similarity"), F.lit(None).cast("double").alias("fts_score"))
+    w = keyword.select(*own, key, F.lit("keyword").alias("source"), "rank", F.lit(None).cast("double").alias("similarity"), F.col("score").alias("fts_score"))
     many = k if isinstance(k, list) else [k]
     lists = v.unionByName(w).withColumn("k", F.explode(F.array(*map(F.lit, many))))
-    fused = lists.groupBy("k", key).agg(
+    fused = lists.groupBy(*own, "k", key).agg(
         F.sum(1.0 / (F.col("k") + F.col("rank"))).alias("score"),
         F.array_join(F.sort_array(F.collect_set("source"), asc=False), ",").alias("sources"),
         F.max(F.when(F.col("source") == "vector", F.col("rank"))).alias("vector_rank"),
@@ -139,7 +212,38 @@ def fuse(vector: DataFrame, keyword: DataFrame, k: int | list[int] = RRF_K, top:
         F.max("fts_score").alias("fts_score"),
     )
     order = (F.desc(F.round("score", 12)), F.asc_nulls_last("vector_rank"), F.asc_nulls_last("keyword_rank"))
-    if not isinstance(k, list):
+    if not isinstance(k, list) and not query:
         return fused.drop("k").orderBy(*order).limit(top)
-    best = Window.partitionBy("k").orderBy(*order)
-    return fused.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= top).drop("_r")
+    best = Window.partitionBy(*own, "k").orderBy(*order)
+    placed = fused.withColumn("place", F.row_number().over(best)).where(F.col("place") <= top)
+    return placed.drop("k") if query else placed.drop("place")
+
+
+def hybrid_search(chunks: DataFrame, stored: DataFrame, queries: DataFrame, documents: DataFrame, top: int = 20, k: int = RRF_K) -> DataFrame:
+    """Both searches for many questions, fused: query_id, id, place, score, sources, ranks and scores of both.
+
+    chunks: id, tenant_id, document_id, embedding; stored: their postings with tenant_id and
+    document_id; queries: query_id, tenant_id, embedding, text, document_ids; documents: id. Chunks
+    of unknown documents and of other tenants are out before anything is ranked.
+    """
+    known = documents.select(F.col("id").alias("document_id"))
+    near = vector_search(chunks.join(known, "document_id", "left_semi"), queries, tenant="tenant_id", document="document_id")
+    words = lexical_search(stored.join(known, "document_id", "left_semi"), queries, tenant="tenant_id", document="document_id")
+    return fuse(near, words, k, top, query="query_id")
+
+
+def reranked(candidates: DataFrame, prompts: DataFrame, call: Callable[[str], str], top: int, at_once: int = 4) -> DataFrame:
+    """The `top` best candidates of each question in the order a model names: the candidates' columns with a new place from 1.
+
+    candidates: query_id, place; prompts: query_id, prompt. Questions with at most `top`
+    candidates reach no model. A call that fails, or names nothing, leaves the order as it was.
+    """
+    from ..functions.providers import called
+    from ..functions.replies import reordered
+
+    sizes = candidates.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    asked = prompts.join(sizes.where(F.col("_n") > top), "query_id", "left_semi")
+    replies = called(asked, "query_id", "prompt", call, at_once, failed="")
+    order = sizes.join(replies, "query_id", "left").select("query_id", F.posexplode(reordered(F.coalesce("reply", F.lit("")), F.col("_n"))).alias("_p", "_old")).where(F.col("_p") < top)
+    moved = order.select("query_id", (F.col("_old") + 1).alias("place"), (F.col("_p") + 1).alias("_place"))
+    return candidates.join(moved, ["query_id", "place"]).drop("place").withColumnRenamed("_place", "place")

@@ -9,27 +9,31 @@ from ..functions import citations as C
 from ..functions import formats as FM
 from ..functions import replies as R
 from ..functions import text as T
-from ..operators.ordering import sequence_within, text_place, with_parts
+from ..operators.ordering import sequence_within, with_parts
 from ..operators.tables import latest_state
 from ..session import table
 from .registry import query
 from .texts import _TRIM, WS
 
-_M = "(SELECT DISTINCT id, content FROM messages WHERE content IS NOT NULL)"
-_NUMS = r"list_transform(regexp_extract_all(content, '\[\^(\d+)\]', 1), lambda x: x::BIGINT)"
+_M = "(SELECT * FROM (SELECT id, arg_max(content, ingested_at) AS content FROM messages WHERE content IS NOT NULL GROUP BY id))"
+_NUMS = r"list_transform(regexp_extract_all(content, '\[\^(\d+)\]', 1), lambda x: regexp_replace(x, '^0+([0-9])', '\1'))"
+_SORTED = f"list_transform(list_sort(list_transform(list_distinct({_NUMS}), lambda x: {{'n': length(x), 's': x}})), lambda p: p.s)"
+_IN = "(length(x) <= 9 AND coalesce(TRY_CAST(x AS BIGINT) BETWEEN 1 AND 3, false))"
 _CLAIMS = rf"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(content, '([.!?]){WS}+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, {_TRIM})),
  lambda x: length(x) > 0 AND regexp_matches(regexp_replace(x, '\[\^(\d+)\]', '', 'g'), '[\p{{L}}\p{{N}}]') AND NOT regexp_matches(x, '^#{{1,6}}{WS}+') AND NOT regexp_full_match(x, '\*\*[^*]+\*\*:?'))"""
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "messages").where(F.col("content").isNotNull()).select("id", "content").distinct()
+    """Messages with content, once each, as delivered last."""
+    rows = table(spark, d, "messages").where(F.col("content").isNotNull())
+    return latest_state(rows, "id", "ingested_at", "content", ["ingested_at", "content"]).select("id", "content")
 
 
 def _joined(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
 
 
-@query(f"SELECT id, array_to_string({_NUMS}, ',') AS numbers, array_to_string(list_sort(list_distinct({_NUMS})), ',') AS distinct_numbers FROM {_M}")
+@query(f"SELECT id, array_to_string({_NUMS}, ',') AS numbers, array_to_string({_SORTED}, ',') AS distinct_numbers FROM {_M}")
 def citation_extract(spark: SparkSession, d: str) -> DataFrame:
     x = F.col("content")
     return _messages(spark, d).select("id", _joined(C.cited_numbers(x)).alias("numbers"), _joined(C.distinct_numbers(x)).alias("distinct_numbers"))
@@ -40,8 +44,8 @@ def contains_citation(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).select("id", C.has_citation(F.col("content")).alias("cited"))
 
 
-@query(f"""SELECT id, array_to_string(list_filter(n, lambda x: x BETWEEN 1 AND 3), ',') AS valid, array_to_string(list_filter(n, lambda x: x < 1 OR x > 3), ',') AS invalid FROM
- (SELECT id, list_sort(list_distinct({_NUMS})) AS n FROM {_M})""")
+@query(f"""SELECT id, array_to_string(list_filter(n, lambda x: {_IN}), ',') AS valid, array_to_string(list_filter(n, lambda x: NOT {_IN}), ',') AS invalid FROM
+ (SELECT id, {_SORTED} AS n FROM {_M})""")
 def citation_partition(spark: SparkSession, d: str) -> DataFrame:
     v = C.validation(F.col("content"), F.lit(3), 0.6)
     return _messages(spark, d).select("id", v.alias("v")).select("id", _joined(F.col("v.valid")).alias("valid"), _joined(F.col("v.invalid")).alias("invalid"))
@@ -53,10 +57,10 @@ def claim_sentences(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).select("id", F.size(c).cast("long").alias("n_claims"), F.array_join(c, "|").alias("claims"))
 
 
-def _validated(threshold: float) -> str:
+def _validated(threshold: float, messages: str = _M) -> str:
     return rf"""SELECT id, len(c)::BIGINT AS total, (len(c) - h)::BIGINT AS uncited, round(CASE WHEN len(c) = 0 THEN 0 ELSE h / len(c)::DOUBLE END, 2) AS coverage,
- (len(list_filter(n, lambda x: x < 1 OR x > 3)) = 0 AND len(list_filter(n, lambda x: x BETWEEN 1 AND 3)) > 0 AND CASE WHEN len(c) = 0 THEN 0 ELSE h / len(c)::DOUBLE END >= {threshold}) AS ok
-FROM (SELECT id, c, n, len(list_filter(c, lambda x: regexp_matches(x, '\[\^(\d+)\]'))) AS h FROM (SELECT id, {_CLAIMS} AS c, list_sort(list_distinct({_NUMS})) AS n FROM {_M}))"""
+ (len(list_filter(n, lambda x: NOT {_IN})) = 0 AND len(list_filter(n, lambda x: {_IN})) > 0 AND CASE WHEN len(c) = 0 THEN 0 ELSE h / len(c)::DOUBLE END >= {threshold}) AS ok
+FROM (SELECT id, c, n, len(list_filter(c, lambda x: regexp_matches(x, '\[\^(\d+)\]'))) AS h FROM (SELECT id, {_CLAIMS} AS c, {_SORTED} AS n FROM {messages}))"""
 
 
 def _validate(spark: SparkSession, d: str, threshold: float) -> DataFrame:
@@ -74,6 +78,18 @@ def citation_validate_synthesis(spark: SparkSession, d: str) -> DataFrame:
     return _validate(spark, d, 0.5)
 
 
+_LONG = f"(SELECT id, content || ' Also [^2], as in [^' || CASE WHEN length(content) % 2 = 0 THEN repeat('9', 20) ELSE repeat('0', 40) || '3' END || '].' AS content FROM {_M})"
+
+
+@query(_validated(0.5, _LONG))
+def citation_validate_long(spark: SparkSession, d: str) -> DataFrame:
+    """Answers that name a source by a number of more digits than fit any integer, or by many zeros and a 3."""
+    long = F.when(F.length("content") % 2 == 0, "9" * 20).otherwise("0" * 40 + "3")
+    rows = _messages(spark, d).withColumn("content", F.concat("content", F.lit(" Also [^2], as in [^"), long, F.lit("].")))
+    v = C.validation(F.col("content"), F.lit(3), 0.5)
+    return rows.select("id", v.alias("v")).select("id", F.col("v.total").cast("long").alias("total"), F.col("v.uncited").cast("long").alias("uncited"), "v.coverage", "v.ok")
+
+
 @query(f"""SELECT total, count(*)::BIGINT AS messages, sum(total - uncited)::BIGINT AS covered, round(avg(coverage), 6) AS mean_coverage FROM ({_validated(0.6)}) GROUP BY total""")
 def citation_coverage(spark: SparkSession, d: str) -> DataFrame:
     v = _validate(spark, d, 0.6)
@@ -82,7 +98,7 @@ def citation_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""SELECT id, CASE WHEN ok THEN v || ' citations verified · ' || round(coverage * 100)::BIGINT || '% coverage' ELSE 'Check: ' || concat_ws(' · ', CASE WHEN i > 0 THEN i || ' invalid citation' || CASE WHEN i > 1 THEN 's' ELSE '' END || ' (^' || bad || ')' END,
  CASE WHEN uncited > 0 THEN uncited || ' uncited sentence' || CASE WHEN uncited > 1 THEN 's' ELSE '' END END, CASE WHEN v = 0 THEN 'no valid citations' END) END AS label
-FROM ({_validated(0.6)}) JOIN (SELECT id AS k, len(list_filter(n, lambda x: x BETWEEN 1 AND 3)) AS v, len(list_filter(n, lambda x: x < 1 OR x > 3)) AS i, array_to_string(list_filter(n, lambda x: x < 1 OR x > 3), ', ^') AS bad FROM (SELECT id, list_sort(list_distinct({_NUMS})) AS n FROM {_M})) ON k = id""")
+FROM ({_validated(0.6)}) JOIN (SELECT id AS k, len(list_filter(n, lambda x: {_IN})) AS v, len(list_filter(n, lambda x: NOT {_IN})) AS i, array_to_string(list_filter(n, lambda x: NOT {_IN}), ', ^') AS bad FROM (SELECT id, {_SORTED} AS n FROM {_M})) ON k = id""")
 def citation_badge_label(spark: SparkSession, d: str) -> DataFrame:
     v = C.validation(F.col("content"), F.lit(3), 0.6)
     return _messages(spark, d).select("id", v.alias("v")).select("id", FM.validation_label(F.col("v")).alias("label"))
@@ -93,20 +109,21 @@ def citation_text_parts(spark: SparkSession, d: str) -> DataFrame:
     return _messages(spark, d).select("id", F.array_join(C.text_parts(F.col("content")), "¦").alias("parts"))
 
 
-_ROLE = "CASE lower(trim(role)) WHEN 'user' THEN 'user' WHEN 'human' THEN 'user' ELSE 'other' END"
+_ROLE = "CASE WHEN lower(trim(role)) IN ('user', 'human') THEN 'user' WHEN lower(trim(role)) IN ('assistant', 'bot', 'ai', 'model') THEN 'assistant' ELSE 'other' END"
 _LAST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) AS rn FROM messages) WHERE rn = 1 AND conversation_id IS NOT NULL)"
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
     rows = latest_state(table(spark, d, "messages").where(F.col("id").isNotNull()), "id", "ingested_at", "created_at", ["conversation_id", "role", "content", "created_at"])
-    role = F.when(F.lower(F.trim("role")).isin("user", "human"), "user").otherwise("other")
+    bare = F.lower(F.trim("role"))
+    role = F.when(bare.isin("user", "human"), "user").when(bare.isin("assistant", "bot", "ai", "model"), "assistant").otherwise("other")
     return rows.where(F.col("conversation_id").isNotNull()).withColumn("role", role)
 
 
 @query(f"""SELECT id, previous FROM (SELECT id, r, last_value(CASE WHEN r = 'user' THEN content END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous
- FROM (SELECT *, {_ROLE} AS r FROM {_LAST})) WHERE r = 'other' AND previous IS NOT NULL""")
+ FROM (SELECT *, {_ROLE} AS r FROM {_LAST})) WHERE r = 'assistant' AND previous IS NOT NULL""")
 def prev_user_message(spark: SparkSession, d: str) -> DataFrame:
-    """For each other message the nearest user message with content before it; as-of joined backwards over the turns of hot conversations in parts."""
+    """For each assistant message the nearest user message with content before it; as-of joined backwards over the turns of hot conversations in parts."""
     from pyspark.sql import Window
 
     rows = with_parts(_turns(spark, d), "conversation_id", "created_at")
@@ -117,7 +134,7 @@ def prev_user_message(spark: SparkSession, d: str) -> DataFrame:
     along = Window.partitionBy("conversation_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("conversation_id", "_part", F.last("_end", ignorenulls=True).over(along).alias("_carried"))
     out = near.join(carried, ["conversation_id", "_part"]).select("id", "role", F.coalesce("_near", "_carried").alias("previous"))
-    return out.where((F.col("role") == "other") & F.col("previous").isNotNull()).select("id", "previous")
+    return out.where((F.col("role") == "assistant") & F.col("previous").isNotNull()).select("id", "previous")
 
 
 @query(f"""SELECT conversation_id, arg_max(id, (created_at, id)) AS last_user_message FROM (SELECT *, {_ROLE} AS r FROM {_LAST}) WHERE r = 'user' GROUP BY conversation_id""")
@@ -164,13 +181,30 @@ def eval_means(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").groupBy("event_type").agg(F.coalesce(F.round(F.avg("value"), 3), F.lit(0.0)).alias("mean_value"), F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""SELECT event_id, coalesce(nullif(trim(json_extract_string(regexp_extract(regexp_replace(reply, '```(json)?', '', 'g'), '(?s)\{.*\}', 0), '$.k')), ''), 'not stated') AS k,
- coalesce(nullif(trim(json_extract_string(regexp_extract(regexp_replace(reply, '```(json)?', '', 'g'), '(?s)\{.*\}', 0), '$.design')), ''), 'unknown study') AS design
-FROM (SELECT event_id, 'Here:' || chr(10) || '```json' || chr(10) || props || chr(10) || '```' AS reply FROM events WHERE json_valid(props))""")
+_REPLIES = """(SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'no object here' ELSE 'Here:' || chr(10) || '```json' || chr(10) || '{"studyType": "' || CASE event_id % 3 WHEN 0 THEN 'RCT' WHEN 1 THEN ' ' ELSE ' kohort ' END || '", "population": "' || event_type || '", "keyFinding": "", "qualityFlags": ["small ", "", 3, "late", "a' || event_id % 5 || '"]}' || chr(10) || '```' END AS reply, event_type || ' ' || props AS abstract FROM events)"""
+
+
+def _replies(spark: SparkSession, d: str) -> DataFrame:
+    """Replies of a model that extracts evidence, some without an object, and the abstracts they are about."""
+    e = F.col("event_id")
+    kind = F.when(e % 3 == 0, "RCT").when(e % 3 == 1, " ").otherwise(" kohort ")
+    made = F.concat(F.lit('Here:\n```json\n{"studyType": "'), kind, F.lit('", "population": "'), F.col("event_type"), F.lit('", "keyFinding": "", "qualityFlags": ["small ", "", 3, "late", "a'), (e % 5).cast("string"), F.lit('"]}\n```'))
+    return table(spark, d, "events").select("event_id", F.when(e % 7 == 0, "no object here").otherwise(made).alias("reply"), F.concat_ws(" ", "event_type", "props").alias("abstract"))
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 3 = 1 THEN '{FM.UNKNOWN_STUDY}' WHEN event_id % 3 = 0 THEN 'RCT' ELSE 'kohort' END AS study_type, CASE WHEN event_id % 7 = 0 THEN '{FM.NOT_STATED}' ELSE trim(split_part(abstract, ' ', 1)) END AS population, '{FM.NOT_STATED}' AS sample_size,
+ substring(abstract, 1, 200) AS key_finding, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'small|3|late|a' || event_id % 5 END AS flags FROM {_REPLIES}""")
 def evidence_parse(spark: SparkSession, d: str) -> DataFrame:
-    reply = F.concat(F.lit("Here:\n```json\n"), F.col("props"), F.lit("\n```"))
-    rows = table(spark, d, "events").where(F.try_parse_json("props").isNotNull())
-    return rows.select("event_id", R.field(reply, "k", "not stated").alias("k"), R.field(reply, "design", "unknown study").alias("design"))
+    rows = _replies(spark, d).select("event_id", R.evidence(F.col("reply"), F.col("abstract")).alias("e"))
+    return rows.select("event_id", "e.study_type", "e.population", "e.sample_size", "e.key_finding", F.array_join("e.flags", "|").alias("flags"))
+
+
+@query(f"""SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 3 = 1 THEN NULL WHEN event_id % 3 = 0 THEN 'RCT' ELSE 'kohort' END AS study_type, NULL::VARCHAR AS sample_size, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'small|3|late' END AS flags FROM {_REPLIES}""")
+def evidence_shown(spark: SparkSession, d: str) -> DataFrame:
+    """Evidence as readers see it: what isn't known is hidden, and three flags at most."""
+    rows = _replies(spark, d).select("event_id", R.evidence(F.col("reply"), F.col("abstract")).alias("e"))
+    shown = lambda c, unknown: F.when(F.col(c) != unknown, F.col(c))
+    return rows.select("event_id", shown("e.study_type", FM.UNKNOWN_STUDY).alias("study_type"), shown("e.sample_size", FM.NOT_STATED).alias("sample_size"), F.array_join(F.slice("e.flags", 1, 3), "|").alias("flags"))
 
 
 _CONTEXT = rf"""SELECT document_id, string_agg('## Kaynak [^' || n || '] — ' || label || chr(10) || regexp_replace(content, {_TRIM}), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) AS context,
@@ -198,7 +232,7 @@ def context_block(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""SELECT id, row_number() OVER (PARTITION BY document_id ORDER BY id)::INT AS n, document_id, coalesce(page_number, 0) AS page_number, section_path, substring(content, 1, 240) AS preview FROM (SELECT DISTINCT id, document_id, content, page_number, section_path FROM chunks)""")
 def citation_projection(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "chunks").select("id", "document_id", "content", "page_number", "section_path").distinct()
-    rows = sequence_within(with_parts(rows, "document_id", text_place(F.col("id"))), "document_id", [F.col("id")], "id", "n")
+    rows = sequence_within(with_parts(rows, "document_id", "id"), "document_id", [F.col("id")], "id", "n")
     return rows.select("id", "n", "document_id", F.coalesce("page_number", F.lit(0)).alias("page_number"), "section_path", T.prefix(F.col("content"), 240).alias("preview"))
 
 
@@ -247,12 +281,6 @@ def off_label_gate(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", "r.detected", (F.col("r.detected") & (F.col("r.confidence") >= 0.7)).alias("shown"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN document_type IS NOT NULL AND document_type <> 'unknown study' THEN document_type END AS design, array_to_string(list_slice(string_split(coalesce(title, ''), ' '), 1, 3), '|') AS tags FROM documents""")
-def evidence_tags(spark: SparkSession, d: str) -> DataFrame:
-    tags = F.array_join(F.slice(F.split(F.coalesce("title", F.lit("")), " "), 1, 3), "|")
-    return table(spark, d, "documents").select("doc_id", F.when(F.col("document_type") != "unknown study", F.col("document_type")).alias("design"), tags.alias("tags"))
-
-
 @query(r"""SELECT c.id, d.title, coalesce(d.document_type, 'not stated') AS design, CASE WHEN d.id IS NULL THEN 'document' ELSE 'paper' END AS kind FROM (SELECT DISTINCT id, document_id FROM chunks) c LEFT JOIN (SELECT * FROM documents WHERE source = 'literature') d ON d.id = c.document_id""")
 def evidence_overlay(spark: SparkSession, d: str) -> DataFrame:
     papers = table(spark, d, "documents").where("source = 'literature'").select(F.col("id").alias("document_id"), "title", "document_type", F.lit(True).alias("known"))

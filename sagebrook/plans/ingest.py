@@ -26,8 +26,8 @@ _FLAT = f"(SELECT doc_id, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS bl
 @query(f"""SELECT doc_id, block_no::BIGINT AS block_no, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,
  (coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(text))::BIGINT AS "end" FROM {_FLAT}""")
 def paragraph_offsets(spark: SparkSession, d: str) -> DataFrame:
-    rows = R.block_offsets(_docs(spark, d).select("doc_id", T.blocks(F.col("text")).alias("b")), "doc_id", "b")
-    return rows.select("doc_id", F.col("block_no").cast("long").alias("block_no"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+    rows = P.paged_paragraphs(_docs(spark, d).select("doc_id", F.array("text").alias("pages")), "doc_id", "pages")
+    return rows.select("doc_id", F.col("paragraph_index").cast("long").alias("block_no"), F.col("char_offset_start").alias("start"), F.col("char_offset_end").alias("end"))
 
 
 _HEAD = rf"(length(text) < 80 AND (regexp_matches(text, '^[\d.]+{WS}+[A-Z]') OR regexp_full_match(text, '[A-ZÇĞİÖŞÜ][^.!?]{{0,60}}')))"
@@ -36,12 +36,8 @@ _HEAD = rf"(length(text) < 80 AND (regexp_matches(text, '^[\d.]+{WS}+[A-Z]') OR
 @query(f"""SELECT doc_id, block_no::BIGINT AS block_no, heading, last_value(CASE WHEN heading THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY block_no ROWS UNBOUNDED PRECEDING) AS section FROM (SELECT *, {_HEAD} AS heading FROM {_FLAT})""")
 def section_heading(spark: SparkSession, d: str) -> DataFrame:
     """Each block with the nearest heading at or before it."""
-    from pyspark.sql import Window
-
-    rows = _docs(spark, d).select("doc_id", F.posexplode(T.blocks(F.col("text"))).alias("block_no", "text")).withColumn("heading", T.is_section_heading(F.col("text")))
-    along = Window.partitionBy("doc_id").orderBy("block_no").rowsBetween(Window.unboundedPreceding, 0)
-    section = F.last(F.when(F.col("heading"), F.col("text")), ignorenulls=True).over(along)
-    return rows.select("doc_id", F.col("block_no").cast("long").alias("block_no"), "heading", section.alias("section"))
+    rows = P.paged_paragraphs(_docs(spark, d).select("doc_id", F.array("text").alias("pages")), "doc_id", "pages")
+    return rows.select("doc_id", F.col("paragraph_index").cast("long").alias("block_no"), T.is_section_heading(F.col("text")).alias("heading"), F.col("section_path").alias("section"))
 
 
 @query(f"SELECT doc_id, len(l)::BIGINT AS blocks, array_to_string(l, '¦') AS joined FROM (SELECT doc_id, {_BLOCKS} AS l FROM {_D})")
@@ -95,7 +91,63 @@ _STOK = "CAST(ceil(length(b.s) / CASE WHEN language = 'tr' THEN 3.0 ELSE 4.0 END
  FROM (SELECT doc_id, coalesce(language, '') AS language, list_filter({_SPLIT}, lambda x: length(regexp_replace(x, {_TRIM})) > 0) AS sentences FROM {_D}))""")
 def chunk_pack_long(spark: SparkSession, d: str) -> DataFrame:
     """Whole texts as one paragraph, cut by sentences."""
-    return _docs(spark, d).select("doc_id", F.array_join(P.packed_sentences(F.col("text"), F.coalesce("language", F.lit(""))), "¦").alias("packed"))
+    rows = P.pack_sentences(_docs(spark, d).select("doc_id", "text", F.coalesce("language", F.lit("")).alias("language")), "doc_id", "text", "language")
+    return rows.select("doc_id", F.array_join("pieces", "¦").alias("packed"))
+
+
+_PAGES = f"""(SELECT doc_id, coalesce(language, '') AS language, page, page_start, {_BLOCKS} AS l FROM (SELECT doc_id, language, i + 1 AS page, i * 3001 AS page_start, substring(text, i * 3000 + 1, 3000) AS text FROM (SELECT doc_id, language, text, unnest(range(0, (length(text) + 2999) // 3000)) AS i FROM {_D})))"""
+_PARAS = f"""(SELECT *, {_HEAD} AS heading, page_start + coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id, page ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st, row_number() OVER (PARTITION BY doc_id ORDER BY page, idx) - 1 AS n
+ FROM (SELECT doc_id, language, page, page_start, unnest(l) AS text, generate_subscripts(l, 1) - 1 AS idx FROM {_PAGES}))"""
+_SECTIONED = f"(SELECT *, last_value(CASE WHEN heading THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id, page ORDER BY idx ROWS UNBOUNDED PRECEDING) AS section FROM {_PARAS})"
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as pages of 3,000 characters; the tables hold no page breaks."""
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("text") / 3000).cast("int") - 1, F.lit(0))), lambda i: F.substring("text", i * 3000 + 1, F.lit(3000)))
+    return _docs(spark, d).select("doc_id", "language", cut.alias("pages"))
+
+
+@query(f'SELECT doc_id, page::INT AS page_number, idx::INT AS paragraph_index, text, st::BIGINT AS "start", section FROM {_SECTIONED}')
+def page_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of pages, with offsets over all pages and headings that hold to the end of their page."""
+    rows = P.paged_paragraphs(_pages(spark, d), "doc_id", "pages")
+    return rows.select("doc_id", "page_number", "paragraph_index", "text", F.col("char_offset_start").alias("start"), F.col("section_path").alias("section"))
+
+
+_TOKENS = "CAST(ceil(length(X) / CASE WHEN language = 'tr' THEN 3.0 ELSE 4.0 END) AS BIGINT)"
+
+
+@query(rf"""WITH p AS MATERIALIZED (SELECT * FROM {_SECTIONED}),
+ k AS (SELECT doc_id, regexp_extract(c, '^(\d+)-', 1)::BIGINT AS f, regexp_extract(c, '-(\d+):', 1)::BIGINT AS t, c LIKE '%!' AS long FROM (SELECT doc_id, unnest(string_split(trim(r.o || CASE WHEN r.h THEN r.f || '-' || r.i || ':' || r.n || ' ' ELSE '' END), ' ')) AS c FROM
+  (SELECT doc_id, {_FOLD} AS r FROM (SELECT doc_id, list({_TOKENS.replace("X", "text")} ORDER BY n) AS sizes FROM p GROUP BY doc_id))) WHERE c <> ''),
+ a AS (SELECT k.doc_id, f, 0 AS piece, string_agg(CASE WHEN section IS NULL THEN text ELSE '[' || section || '] ' || text END, chr(10) || chr(10) ORDER BY n) AS content, arg_min(page, n) AS page, arg_min(idx, n) AS idx, min(st) AS st, arg_max(st + length(text), n) AS en, arg_min(section, n) FILTER (WHERE section IS NOT NULL) AS section, any_value(language) AS language FROM k JOIN p ON p.doc_id = k.doc_id AND n BETWEEN f AND t WHERE NOT long GROUP BY k.doc_id, f),
+ s AS (SELECT p.*, f, list_filter({_SPLIT}, lambda x: length(regexp_replace(x, {_TRIM})) > 0) AS sentences FROM k JOIN p ON p.doc_id = k.doc_id AND n = f WHERE long),
+ r AS (SELECT *, string_split(q.o || q.h, chr(1)) AS pieces FROM (SELECT *, list_reduce(list_concat([{{'s': '', 'h': '', 'n': 0::BIGINT, 'o': ''}}], list_transform(sentences, lambda x: {{'s': x, 'h': '', 'n': 0::BIGINT, 'o': ''}})), lambda a, b:
+  {{'s': '', 'h': CASE WHEN (a.n + {_TOKENS.replace("X", "b.s")} > 384 AND a.h <> '') OR a.h = '' THEN b.s ELSE a.h || ' ' || b.s END, 'n': CASE WHEN a.n + {_TOKENS.replace("X", "b.s")} > 384 AND a.h <> '' THEN {_TOKENS.replace("X", "b.s")} ELSE a.n + {_TOKENS.replace("X", "b.s")} END, 'o': a.o || CASE WHEN a.n + {_TOKENS.replace("X", "b.s")} > 384 AND a.h <> '' THEN a.h || chr(1) ELSE '' END}}) AS q FROM s)),
+ b AS (SELECT doc_id, f, i AS piece, CASE WHEN section IS NULL THEN x ELSE '[' || section || '] ' || x END AS content, page, idx, st + before AS st, st + before + length(x) AS en, section, language FROM (SELECT *, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id, f ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT *, unnest(pieces) AS x, generate_subscripts(pieces, 1) AS i FROM r)))
+ SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY f, piece) - 1)::INT AS chunk_no, content, page::INT AS page_number, idx::INT AS paragraph_index, st::BIGINT AS char_offset_start, en::BIGINT AS char_offset_end, section AS section_path, language FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
+def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks of each document with their texts, places and sections."""
+    return P.chunk_rows(_pages(spark, d), "doc_id", "pages", "language")
+
+
+_FIELDS = {"title": "Indications and Usage", "text": "Warnings", "metadata": "Drug Interactions"}
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, 'Drug ' || doc_id AS title, '{name}' AS section, substring(regexp_replace(regexp_replace(x, '{WS}+', ' ', 'g'), {_TRIM}), 1, 3000) AS text FROM (SELECT doc_id, {expr} AS x FROM documents) WHERE length(substring(regexp_replace(regexp_replace(x, '{WS}+', ' ', 'g'), {_TRIM}), 1, 3000)) >= 40" for name, expr in (("Indications and Usage", "coalesce(title, '') || chr(10) || coalesce(text, '')"), ("Boxed Warning", "coalesce(text, '')"))))
+def label_records(spark: SparkSession, d: str) -> DataFrame:
+    """Labels in the form they are delivered in, some fields arrays and some texts, as titled sections."""
+    from ..session import scratch
+    from ..sources import readers
+
+    folder = scratch(spark, "labels")
+    text = F.coalesce("text", F.lit(""))
+    given = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.struct(F.array(F.lit("HUMAN PRESCRIPTION DRUG")).alias("product_type"), F.array(F.lit("")).alias("brand_name")).alias("openfda"), F.array(F.coalesce("title", F.lit("")), text).alias("indications_and_usage"), text.alias("boxed_warning"))
+    given.write.json(folder)
+    rows = readers.labels(spark, folder, None)
+    titled = rows.select("*", R.label_title(F.col("openfda.brand_name"), F.col("openfda.generic_name"), F.col("id")).alias("_title"))
+    sections = R.label_sections(titled, "id", R.LABEL_FIELDS)
+    return sections.join(titled.select("id", F.col("_title").alias("title")), "id").select(F.col("id").cast("long").alias("doc_id"), "title", "section", "text")
 
 
 @query(rf"""SELECT doc_id, section_no::BIGINT AS section_no, section, start::BIGINT AS start, (start + length(text))::BIGINT AS "end" FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS section_no, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM

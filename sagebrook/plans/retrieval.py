@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.formats import NO_SOURCES, no_sources
+from ..functions.formats import NO_SOURCES, no_sources, rerank_prompts
 from ..functions.text import query_language
 from ..operators import retrieval as R
 from ..operators.tables import latest_state
@@ -31,9 +31,8 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
 def vector_topk_batch(spark: SparkSession, d: str) -> DataFrame:
     """Every row whose id is divisible by fifty is a query, against all rows."""
     rows = table(spark, d, "embeddings")
-    asked = [(r["vec_id"], r["embedding"]) for r in rows.where("vec_id % 50 = 0").select("vec_id", "embedding").collect()]
-    found = R.vector_top_batch(rows, asked, key="vec_id")
-    return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return R.vector_search(rows, asked, key="vec_id").select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query(f"SELECT e.vec_id, round({_SIM}, 6) AS similarity FROM (SELECT * FROM embeddings WHERE label IN (1, 3, 5)) e, (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) q ORDER BY {_SIM} DESC, vec_id LIMIT 25")
@@ -42,13 +41,15 @@ def vector_topk_filtered(spark: SparkSession, d: str) -> DataFrame:
     return R.vector_top(rows, _one_vector(spark, d), key="vec_id").select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-_C = "(SELECT DISTINCT id, content FROM chunks)"
+_C = "(SELECT id, arg_max(content, ingested_at) AS content FROM chunks WHERE id IS NOT NULL GROUP BY id)"
 _TERMS = r"list_filter(string_split(regexp_replace(lower(translate(content, 'Iİ', 'ıi')), '[^\p{L}\p{M}\p{N}]+', ' ', 'g'), ' '), lambda t: length(t) > 0)"
 _TOK = f"(SELECT id, t AS term, p - 1 AS position FROM (SELECT id, unnest(l) AS t, generate_subscripts(l, 1) AS p FROM (SELECT id, {_TERMS} AS l FROM {_C})))"
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("id", "content").distinct()
+    """Chunks once each, as delivered last."""
+    rows = table(spark, d, "chunks").where(F.col("id").isNotNull())
+    return latest_state(rows, "id", "ingested_at", "content", ["ingested_at", "content"]).select("id", "content")
 
 
 @query(f"SELECT term, count(*)::BIGINT AS n, count(DISTINCT id)::BIGINT AS chunks FROM {_TOK} GROUP BY term")
@@ -92,22 +93,24 @@ def lexical_cover_density(spark: SparkSession, d: str) -> DataFrame:
     return R.lexical_top(_texts(spark, d), ["lower", "dose"], 100).select("id", F.round("score", 6).alias("score"))
 
 
-_ROWS = "(SELECT id, arg_max(content, ingested_at) AS content, arg_max(embedding, ingested_at) AS embedding FROM chunks GROUP BY id)"
+_ROWS = "(SELECT * FROM (SELECT id, arg_max(content, ingested_at) AS content, arg_max(embedding, ingested_at) AS embedding, arg_max(document_id, ingested_at) AS document_id, arg_max(tenant_id, ingested_at) AS tenant_id FROM chunks WHERE id IS NOT NULL GROUP BY id) WHERE document_id IN (SELECT id FROM documents WHERE id IS NOT NULL))"
 _USABLE = f"(SELECT id, embedding::DOUBLE[] AS embedding FROM {_ROWS} WHERE embedding IS NOT NULL AND len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x))) AND list_dot_product(embedding, embedding) > 0)"
 
 
 def _fused(k: int, top: int, where: str = "") -> str:
     return f"""WITH u AS (SELECT * FROM {_USABLE} {where}), q AS (SELECT embedding AS v FROM u WHERE id = (SELECT min(id) FROM u)),
  v AS (SELECT id, s, row_number() OVER (ORDER BY s DESC, id) AS r FROM (SELECT e.id, {_SIM} AS s FROM u e, q ORDER BY s DESC, id LIMIT 25)),
- t AS (SELECT * FROM {_TOK} {where}),
+ t AS (SELECT * FROM {_TOK.replace(_C, _ROWS)} {where}),
  w AS (SELECT id, n, row_number() OVER (ORDER BY n DESC, id) AS r FROM (SELECT id, round(count(*) * 0.1::DOUBLE, 9) AS n FROM t WHERE term = 'tablets' GROUP BY id ORDER BY 2 DESC, 1 LIMIT 25)),
  f AS (SELECT coalesce(v.id, w.id) AS id, coalesce(1.0::DOUBLE / ({k} + v.r), 0) + coalesce(1.0::DOUBLE / ({k} + w.r), 0) AS score, v.r AS vr, w.r AS wr FROM v FULL JOIN w ON v.id = w.id)
  SELECT id, round(score, 6) AS score, concat_ws(',', CASE WHEN vr IS NOT NULL THEN 'vector' END, CASE WHEN wr IS NOT NULL THEN 'keyword' END) AS sources FROM f ORDER BY round(score, 12) DESC, vr NULLS LAST, wr LIMIT {top}"""
 
 
 def _usable(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of known documents, once each, as delivered last."""
     rows = table(spark, d, "chunks").where(F.col("id").isNotNull())
-    return latest_state(rows, "id", "ingested_at", "content", ["ingested_at", "content", "embedding", "document_id", "section_path"])
+    last = latest_state(rows, "id", "ingested_at", "content", ["ingested_at", "content", "embedding", "document_id", "tenant_id"])
+    return last.join(table(spark, d, "documents").select(F.col("id").alias("document_id")), "document_id", "left_semi")
 
 
 def _hybrid(spark: SparkSession, d: str, k: int | list[int] = R.RRF_K, top: int = 10, documents: DataFrame | None = None) -> DataFrame:
@@ -152,10 +155,76 @@ def hybrid_document_filter(spark: SparkSession, d: str) -> DataFrame:
     return _shown(_hybrid(spark, d, documents=table(spark, d, "documents").where("language = 'tr'").select(F.col("id").alias("document_id"))))
 
 
-@query(_fused(60, 10) + " ")
-def rerank_noop_small(spark: SparkSession, d: str) -> DataFrame:
-    """Ten candidates and ten places: the fused order stays."""
-    return _shown(_hybrid(spark, d).limit(10))
+_STEM = r"regexp_replace(regexp_replace(t, '(?:nd[ae]n?|[dt][ae]n?|n[ıiuü]n|[ıiuü]n|yl[ae]|l[ae])$', ''), '(?:l[ae]r[ıiuü]?|s[ıiuü])$', '')"
+_ASKED = f"(SELECT id AS query_id, tenant_id, embedding, substring(content, 1, 40) AS content, id AS id FROM {_ROWS} WHERE ('0x' || substring(md5(id), 1, 8))::UBIGINT % 50 = 0)"
+
+
+def _lexemes(source: str, keep: str) -> str:
+    return f"(SELECT {keep}, p - 1 AS position, CASE WHEN length({_STEM}) >= 3 THEN {_STEM} ELSE t END AS term FROM (SELECT {keep}, unnest(l) AS t, generate_subscripts(l, 1) AS p FROM (SELECT {keep}, {_TERMS} AS l FROM {source})) WHERE t NOT IN ({_STOPPED}))"
+
+
+_LEXICAL = f"""l AS MATERIALIZED {_lexemes(_ROWS, "id, tenant_id")}, a AS (SELECT DISTINCT query_id, tenant_id, term FROM {_lexemes(_ASKED, "query_id, tenant_id")}), n AS (SELECT query_id, count(*) AS n FROM a GROUP BY query_id),
+ h AS MATERIALIZED (SELECT query_id, l.id, position AS p, l.term, row_number() OVER (PARTITION BY query_id, l.id ORDER BY position) AS i FROM a JOIN l ON l.tenant_id = a.tenant_id AND l.term = a.term),
+ w AS (SELECT h.* FROM h JOIN (SELECT query_id, id, count(DISTINCT term) AS c FROM h GROUP BY query_id, id) k ON k.query_id = h.query_id AND k.id = h.id JOIN n ON n.query_id = h.query_id AND n.n = k.c),
+ c AS (SELECT query_id, id, i, p, min(last) AS f, count(*) AS held FROM (SELECT x.query_id, x.id, x.i, x.p, y.term, max(y.i) AS last FROM w x JOIN w y ON y.query_id = x.query_id AND y.id = x.id AND y.i <= x.i GROUP BY x.query_id, x.id, x.i, x.p, y.term) GROUP BY query_id, id, i, p),
+ m AS (SELECT *, lag(f) OVER (PARTITION BY query_id, id ORDER BY i) AS g FROM (SELECT c.* FROM c JOIN n ON n.query_id = c.query_id AND n.n = c.held)),
+ s AS (SELECT m.query_id, m.id, sum(0.1::DOUBLE / (1 + greatest(0, m.p - w.p - (m.i - m.f)))) AS score FROM m JOIN w ON w.query_id = m.query_id AND w.id = m.id AND w.i = m.f WHERE g IS NULL OR g < f GROUP BY m.query_id, m.id),
+ kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s) WHERE rank <= 25)"""
+_VECTORS = f"""u AS MATERIALIZED (SELECT id, tenant_id, list_transform(embedding::DOUBLE[], x -> x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS x FROM {_ROWS} WHERE embedding IS NOT NULL AND len(embedding) = 64 AND NOT list_bool_or(list_transform(embedding, lambda x: isnan(x))) AND list_dot_product(embedding, embedding) > 0),
+ vc AS (SELECT * FROM (SELECT q.id AS query_id, u.id, list_dot_product(q.x, u.x) AS similarity, row_number() OVER (PARTITION BY q.id ORDER BY round(list_dot_product(q.x, u.x), 12) DESC, u.id) AS rank FROM u q SEMI JOIN {_ASKED} k ON k.query_id = q.id JOIN u ON u.tenant_id = q.tenant_id) WHERE rank <= 25)""".replace("x -> ", "lambda x: ", 1)
+_BOTH = f"""{_VECTORS}, {_LEXICAL}, fu AS (SELECT coalesce(vc.query_id, kw.query_id) AS query_id, coalesce(vc.id, kw.id) AS id, coalesce(1.0::DOUBLE / (60 + vc.rank), 0) + coalesce(1.0::DOUBLE / (60 + kw.rank), 0) AS score, vc.rank AS vr, kw.rank AS wr FROM vc FULL JOIN kw ON vc.query_id = kw.query_id AND vc.id = kw.id),
+ pl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vr NULLS LAST, wr) AS place FROM fu) WHERE place <= 20)"""
+
+
+def _questions(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """A stated fiftieth of all chunks asks: with its vector and its first forty characters, in its own tenant."""
+    fiftieth = F.conv(F.substring(F.md5("id"), 1, 8), 16, 10).cast("long") % 50 == 0
+    return rows.where(fiftieth).select(F.col("id").alias("query_id"), "tenant_id", "embedding", F.substring("content", 1, 40).alias("text"), F.lit(None).cast("array<string>").alias("document_ids"))
+
+
+def _postings(rows: DataFrame) -> DataFrame:
+    return R.stored_postings(rows, keep=("tenant_id", "document_id"))
+
+
+@query(f"WITH {_LEXICAL} SELECT query_id, id, round(score, 6) AS score, rank::INT AS rank FROM kw")
+def question_lexical(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with all lexemes of each question, three and more among them, within its tenant."""
+    rows = _usable(spark, d)
+    found = R.lexical_search(_postings(rows), _questions(spark, d, rows), tenant="tenant_id", document="document_id")
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"WITH {_VECTORS} SELECT query_id, id, round(similarity, 6) AS similarity, rank::INT AS rank FROM vc")
+def question_vectors(spark: SparkSession, d: str) -> DataFrame:
+    rows = _usable(spark, d)
+    found = R.vector_search(rows, _questions(spark, d, rows), tenant="tenant_id", document="document_id")
+    return found.select("query_id", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    rows = _usable(spark, d)
+    return R.hybrid_search(rows, _postings(rows), _questions(spark, d, rows), table(spark, d, "documents"))
+
+
+@query(f"WITH {_BOTH} SELECT query_id, id, place::INT AS place, round(score, 6) AS score FROM pl")
+def question_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    """Both searches for all questions in one plan, fused."""
+    return _candidates(spark, d).select("query_id", "id", "place", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_BOTH}, sz AS (SELECT query_id, max(place) AS n FROM pl GROUP BY query_id),
+ re AS (SELECT pl.query_id, pl.id, CASE WHEN n <= 4 OR 3 > n THEN place WHEN place = 3 THEN 1 WHEN place = 1 THEN 2 WHEN place = 2 THEN 3 ELSE place END AS place FROM pl JOIN sz ON sz.query_id = pl.query_id)
+ SELECT re.query_id, re.place::INT AS place, re.id, d.title, c.document_id FROM re JOIN {_ROWS} c ON c.id = re.id JOIN documents d ON d.id = c.document_id WHERE re.place <= 4""")
+def question_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """The four sources of each question as a model orders them: the stand-in names the third and the first candidate."""
+    rows = _usable(spark, d)
+    asked = _questions(spark, d, rows)
+    found = R.hybrid_search(rows, _postings(rows), asked, table(spark, d, "documents"))
+    texts = rows.select("id", "content", "document_id")
+    prompts = rerank_prompts(asked, found.join(texts.select("id", "content"), "id"))
+    best = R.reranked(found, prompts, lambda prompt: "2, 0", 4)
+    titles = table(spark, d, "documents").select(F.col("id").alias("document_id"), "title")
+    return best.join(texts.select("id", "document_id"), "id").join(titles, "document_id").select("query_id", "place", "id", "title", "document_id")
 
 
 def _said(lang: str) -> str:

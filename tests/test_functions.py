@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sagebrook.functions import citations, replies, text
-from sagebrook.functions.providers import TransientError, first_that_works, hash_embedding, with_retry
+from sagebrook.functions.providers import TransientError, first_that_works, configured, embedded, first_that_starts, for_evaluation, md5_embedding, with_retry
 from sagebrook.operators import packing, records, retrieval, tables
 
 
@@ -46,7 +46,7 @@ def test_bytes(spark, n, want):
 def test_validation_cases(spark):
     answer = "A fact [^1]. Another fact. [^2]\n**Key Findings**\n1. Item [^9]"
     v = one(spark, citations.validation(F.col("t"), F.lit(3), 0.6), t=answer)
-    assert (v["cited"], v["valid"], v["invalid"], v["total"], v["uncited"], v["coverage"], v["ok"]) == ([1, 2, 9], [1, 2], [9], 4, 2, 0.5, False)
+    assert (v["cited"], v["valid"], v["invalid"], v["total"], v["uncited"], v["coverage"], v["ok"]) == (["1", "2", "9"], ["1", "2"], ["9"], 4, 2, 0.5, False)
     for threshold, ok in ((0.6, False), (0.5, True)):
         v = one(spark, citations.validation(F.col("t"), F.lit(1), threshold), t="Alpha [^1]. Beta.")
         assert (v["coverage"], v["ok"]) == (0.5, ok)
@@ -85,10 +85,10 @@ def test_packing_cases(spark):
 
 @given(st.lists(st.integers(0, 700), max_size=25))
 @settings(max_examples=15, deadline=None)
-def test_packing_fold_equals_loop(spark, sizes):
+def test_packing_in_batches(spark, sizes):
     rows = spark.createDataFrame([(1, "en", ["a" * (4 * n) for n in sizes])], "k long, language string, p array<string>")
     got = [(r["first"], r["last"], r["tokens"], r["long"]) for r in packing.pack_chunks(rows, "k", "p", "language").orderBy("chunk_no").collect()]
-    assert got == packing._loop(sizes)
+    assert got == packing.packed(sizes)
     assert all(t <= 559 or alone for _, _, t, alone in got)
 
 
@@ -111,14 +111,42 @@ def test_cover_density(spark):
 def test_vector_edges(spark):
     rows = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [2.0, 0.0])], "id string, embedding array<float>")
     assert [r["id"] for r in retrieval.vector_top(rows, [1.0, 0.0]).collect()] == ["a", "d"]
-    assert retrieval.vector_top_batch(rows, [(1, [1.0, 0.0])], 1).collect()[0]["id"] == "a"
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [1.0])], "query_id long, embedding array<float>")
+    assert [(r["query_id"], r["id"], r["rank"]) for r in retrieval.vector_search(rows, asked, 1).collect()] == [(1, "a", 1)]
+    assert retrieval.vector_search(rows.limit(0), asked).count() == retrieval.vector_search(rows, asked.limit(0)).count() == 0
+
+
+def test_searches_keep_to_tenant_and_documents(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 1)
+    rows = spark.createDataFrame([(f"{t}{i}", t, f"d{i % 2}", [1.0, float(i)], "doz tablet su" if i % 3 else "doz su") for t in "xy" for i in range(8)], "id string, tenant_id string, document_id string, embedding array<float>, content string")
+    asked = spark.createDataFrame([("q1", "x", [1.0, 7.0], "Tabletler ve doz?", None), ("q2", "y", [1.0, 7.0], "su", ["d0"]), ("q3", "y", [1.0, 0.0], "ve", [])], "query_id string, tenant_id string, embedding array<float>, text string, document_ids array<string>")
+    near = retrieval.vector_search(rows, asked, 3, tenant="tenant_id", document="document_id").orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["id"]) for r in near] == [("q1", "x7"), ("q1", "x6"), ("q1", "x5"), ("q2", "y6"), ("q2", "y4"), ("q2", "y2"), ("q3", "y0"), ("q3", "y1"), ("q3", "y2")]
+    stored = retrieval.stored_postings(rows, keep=("tenant_id", "document_id"))
+    words = retrieval.lexical_search(stored, asked, 9, tenant="tenant_id", document="document_id").collect()
+    assert {(r["query_id"], r["id"]) for r in words} == {("q1", f"x{i}") for i in (1, 2, 4, 5, 7)} | {("q2", f"y{i}") for i in (0, 2, 4, 6)}
+
+
+def test_rerank_fails_softly_and_spares_short_lists(spark):
+    candidates = spark.createDataFrame([(q, i + 1, f"{q}{i}") for q, n in (("a", 5), ("b", 2), ("c", 4)) for i in range(n)], "query_id string, place int, id string")
+    prompts = spark.createDataFrame([("a", "ok"), ("b", "never"), ("c", "fail")], "query_id string, prompt string")
+
+    def call(prompt):
+        if prompt != "ok":
+            raise RuntimeError(prompt)
+        return "3, 0, 9"
+
+    got = retrieval.reranked(candidates, prompts, call, 3).orderBy("query_id", "place").collect()
+    assert [r["id"] for r in got] == ["a3", "a0", "a1", "b0", "b1", "c0", "c1", "c2"]
 
 
 def test_papers_keep_the_longest_abstract(spark):
     rows = [("d1", "", "A", "x" * 50, 1), ("", "p1", "B", "x" * 60, 2), ("d1", "", "C", "x" * 80, 3), ("", "", "E", "x" * 45, 4), ("", "", "e", "y" * 45, 5)]
     papers = spark.createDataFrame(rows, "doi string, pmid string, title string, abstract string, position long")
     got = records.distinct_papers(papers)
-    assert [(r["title"], r["first_position"]) for r in got.collect()] == [("B", 2), ("C", 1), ("E", 4)] or [(r["title"], r["first_position"]) for r in got.collect()] == [("C", 1), ("B", 2), ("E", 4)]
+    assert sorted((r["title"], r["first_position"]) for r in got.collect()) == [("B", 2), ("C", 1), ("E", 4)]
+    assert [r["title"] for r in records.distinct_papers(papers, 2).orderBy("first_position").collect()] == ["C", "B"]
     assert records.distinct_papers(got.withColumnRenamed("first_position", "position")).count() == 3
 
 
@@ -127,6 +155,10 @@ def test_tables(spark):
     new = spark.createDataFrame([(2, "B"), (3, "C")], "k long, v string")
     assert sorted(map(tuple, tables.upsert(old, new, "k", ["v"]).collect())) == [(1, "a"), (2, "B"), (3, "C")]
     assert sorted(map(tuple, tables.insert_if_absent(old, new, "k").collect())) == [(1, "a"), (2, "b"), (3, "C")]
+    twice = spark.createDataFrame([(2, "x"), (2, "y"), (9, "q"), (9, "p"), (None, "n")], "k long, v string")
+    assert sorted(map(tuple, tables.upsert(old, twice, "k", ["v"]).collect())) == [(1, "a"), (2, "y"), (9, "q")]
+    assert sorted(map(tuple, tables.insert_if_absent(old, twice, "k").collect())) == [(1, "a"), (2, "b"), (9, "p")]
+    assert tables.upsert(old.limit(0), twice.limit(0), "k", ["v"]).count() == 0
     parents, children = tables.delete_with_children(old, new.withColumnRenamed("k", "p"), "k", "p", F.col("v") == "b")
     assert (parents.count(), children.count()) == (1, 1)
 
@@ -145,4 +177,45 @@ def test_slots():
     with pytest.raises(ValueError):
         with_retry(lambda: (_ for _ in ()).throw(ValueError()), sleep=slept.append)()
     assert first_that_works([lambda: 1 / 0, lambda: 2])() == 2
-    assert abs(sum(v * v for v in hash_embedding("a b c")) - 1) < 1e-5
+    assert md5_embedding("a b c") == md5_embedding("a b c") != md5_embedding("a b d") and len(md5_embedding("", 70)) == 70
+    assert configured({"a": None, "b": len}) == [len]
+    slept.clear()
+    with pytest.raises(ZeroDivisionError):
+        for_evaluation(lambda: 1 / 0, slept.append)()
+    assert slept == [3.0, 6.0, 9.0, 12.0]
+
+
+def test_streams_change_providers_before_the_first_piece_only():
+    def down(prompt):
+        raise ConnectionError
+        yield
+
+    def breaks(prompt):
+        yield "a"
+        raise ValueError
+
+    assert list(first_that_starts([down, lambda p: iter([p, "!"])])("x")) == ["x", "!"]
+    got = []
+    with pytest.raises(ValueError):
+        for piece in first_that_starts([breaks, lambda p: iter("zz")])("x"):
+            got.append(piece)
+    assert got == ["a"]
+    with pytest.raises(ConnectionError):
+        list(first_that_starts([down])("x"))
+
+
+def test_requests_keep_the_providers_limit_and_fit(spark):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(10)], "k long, t string").coalesce(1)
+    got = embedded(rows, "k", "t", lambda texts: [[float(len(texts))]] * len(texts), batch=64, most=4, width=1).collect()
+    assert sorted(r["embedding"][0] for r in got) == [2.0] * 2 + [4.0] * 8
+    with pytest.raises(Exception, match="does not fit"):
+        embedded(rows, "k", "t", lambda texts: [[1.0]], width=1).collect()
+
+
+@pytest.mark.parametrize(("mark", "kept", "right"), [("9" * 19, "9" * 19, False), ("1" * 40, "1" * 40, False), ("0" * 40 + "3", "3", True), ("0", "0", False), ("3", "3", True), ("4", "4", False), ("9999999999", "9999999999", False)])
+def test_numbers_of_any_length_are_judged(spark, mark, kept, right):
+    v = one(spark, citations.validation(F.col("t"), F.lit(3), 0.5), t=f"A fact [^1]. Other [^{mark}].")
+    assert v["cited"] == sorted(["1", kept], key=lambda x: (len(x), x)) and v["ok"] is right
+    assert v["invalid"] == ([] if right else [kept])
+    parts = one(spark, citations.text_parts(F.col("t")), t=f"[^1] A[^{mark}]b")
+    assert parts == ["[^1]", " A", f"[^{mark}]", "b"]
