@@ -253,7 +253,7 @@ def _coded_texts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if size >= BATCH_CHARS or end == len(texts):
             c = Coded(texts[begin:end])
             seg = np.searchsorted(c.ends, c.at)
-            out.append((c.grams, begin + np.searchsorted(c.starts, c.at, side="right") - 1, sentences + seg))
+            out.append((c.grams, (begin + np.searchsorted(c.starts, c.at, side="right") - 1).astype(np.int32), (sentences + seg).astype(np.int32)))
             sentences += len(c.ends)
             begin, size = end, 0
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -273,7 +273,8 @@ def fit_prototypes(texts: list[str], labels: list[str], rounds: int = 2, epochs:
         return made
     size = np.bincount(text, minlength=len(texts))
     vectors = _Vectors(grams)
-    at = np.searchsorted(vectors.uniq, grams)
+    at = np.searchsorted(vectors.uniq, grams).astype(np.int32)
+    del grams
     y = np.array([LANGUAGES.index(x) for x in labels])
     for turn in range(rounds + 1):
         weights = np.zeros((len(LANGUAGES), len(vectors.uniq)))
@@ -291,8 +292,9 @@ def fit_prototypes(texts: list[str], labels: list[str], rounds: int = 2, epochs:
     chosen = kept[text[first]] & (n >= LEAST_LETTERS)
     if not chosen.any():
         return made
-    own = np.repeat(np.cumsum(chosen) - 1, n)[np.repeat(chosen, n)]
+    own = np.repeat((np.cumsum(chosen) - 1).astype(np.int32), n)[np.repeat(chosen, n)]
     at, goal, n = at[np.repeat(chosen, n)], y[text[first]][chosen], n[chosen]
+    del text, sentence, first
     begin, norm = np.cumsum(n) - n, norms(at, own, len(n))
     spans = [*np.searchsorted(np.cumsum(n), np.arange(0, n.sum(), BATCH_CHARS)), len(n)]  # sentences that go through at once
     for _ in range(epochs):
