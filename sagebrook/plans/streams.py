@@ -7,17 +7,24 @@ from pyspark.sql import functions as F
 
 from ..functions.citations import validation
 from ..functions.providers import called, embedded, first_that_works, md5_provider
+from ..operators.tables import latest_state
 from ..session import scratch, table
 from ..sources import readers
 from ..streaming import streams as S
 from .registry import query
 
-_M = "(SELECT DISTINCT id, content FROM messages WHERE content <> '')"
+_M = "(SELECT id, arg_max(content, ingested_at) AS content FROM messages WHERE content <> '' GROUP BY id)"
+
+
+def _said(spark: SparkSession, d: str) -> DataFrame:
+    """Messages that say something, once each, as delivered last."""
+    rows = table(spark, d, "messages").where("content <> ''")
+    return latest_state(rows, "id", "ingested_at", "content", ["ingested_at", "content"]).select("id", "content")
 
 
 def _deltas(spark: SparkSession, d: str) -> DataFrame:
     """A stream of message texts in pieces of forty characters, written first to a folder."""
-    rows = table(spark, d, "messages").where("content <> ''").select("id", "content").distinct()
+    rows = _said(spark, d)
     n = F.ceil(F.length("content") / 40).cast("int")
     pieces = rows.select(F.col("id").alias("message_id"), "content", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
     out = pieces.select("message_id", "seq", F.expr("substring(content, seq * 40 + 1, 40)").alias("delta"), (F.col("seq") == F.col("n") - 1).alias("last"))
@@ -31,15 +38,28 @@ def delta_reassembly(spark: SparkSession, d: str) -> DataFrame:
     return S.drained(S.reassembled(_deltas(spark, d)), "messages")
 
 
-@query(rf"""SELECT id AS message_id, 0 AS event_no, 'start' AS event, length(content)::VARCHAR AS payload FROM {_M} UNION ALL
-SELECT id, 1, 'finish', array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(content, '\[\^(\d+)\]', 1), lambda x: x::BIGINT))), ',') FROM {_M}""")
+_CITED = r"list_transform(list_sort(list_transform(list_distinct(list_transform(regexp_extract_all(content, '\\[\\^(\\d+)\\]', 1), lambda x: regexp_replace(x, '^0+([0-9])', '\\1'))), lambda x: {'n': length(x), 's': x})), lambda p: p.s)".replace("\\\\", "\\")
+
+
+@query(rf"""WITH m AS (SELECT *, greatest(1, (length(content) + 999) // 1000) AS n FROM {_M})
+SELECT id AS message_id, 0::INT AS event_no, 'start' AS event, length(content)::VARCHAR AS payload FROM m UNION ALL SELECT id, 1, 'text-start', NULL FROM m
+UNION ALL SELECT id, (i + 2)::INT, 'text-delta', substring(content, i * 1000 + 1, 1000) FROM (SELECT id, content, unnest(range(0, n)) AS i FROM m) UNION ALL SELECT id, (n + 2)::INT, 'text-end', NULL FROM m
+UNION ALL SELECT id, (n + 3)::INT, 'finish', array_to_string({_CITED}, ',') FROM m""")
 def stream_protocol(spark: SparkSession, d: str) -> DataFrame:
-    """What is known comes first, the validation once an answer is whole."""
-    known = table(spark, d, "messages").where("content <> ''").select("id", "content").distinct().select(F.col("id").alias("message_id"), F.length("content").cast("string").alias("metadata"))
-    cited = F.array_join(F.transform(validation(F.col("text"), F.lit(3), 0.6)["cited"], lambda n: n.cast("string")), ",")
+    """What is known comes first, then the text in pieces, the validation once it is whole."""
+    known = _said(spark, d).select(F.col("id").alias("message_id"), F.length("content").cast("string").alias("metadata"))
+    cited = F.array_join(validation(F.col("text"), F.lit(3), 0.6)["cited"], ",")
     return S.as_events(delta_reassembly(spark, d), known, lambda f: f.select("message_id", cited.alias("payload")))
 
 
+@query("SELECT event_id, coalesce(CASE a WHEN 0 THEN b = 1 OR b = 3 WHEN 1 THEN b = 2 OR b = 3 WHEN 2 THEN b = 1 WHEN 3 THEN b = 1 ELSE b = 0 END, false) AS allowed FROM (SELECT event_id, event_id % 5 AS a, event_id % 4 AS b FROM events)")
+def status_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Which changes of a document's state are allowed; an old state of none is a new document."""
+    states = F.array(*map(F.lit, ("pending", "processing", "ready", "failed")))
+    old, new = F.get(states, (F.col("event_id") % 5).cast("int")), F.get(states, (F.col("event_id") % 4).cast("int"))
+    return table(spark, d, "events").select("event_id", S.allowed_change(old, new).alias("allowed"))
+
+
 def _events(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events")
     folder = scratch(spark, "events")
@@ -47,10 +67,10 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(rows.schema).parquet(folder)
 
 
-@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 6) AS total FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Hourly counts of a stream; event time is watermarked. An extension."""
-    return S.drained(S.windowed_counts(_events(spark, d)), "windows", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """Hourly counts of a stream, of the hours that the watermark has passed. An extension."""
+    return S.drained(S.windowed_counts(_events(spark, d)), "windows").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT user_id, max(event_id) AS last_event FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1 GROUP BY user_id")
