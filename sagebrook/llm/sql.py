@@ -77,6 +77,15 @@ P7_RECOVERED = rf"""WITH RECURSIVE m AS (SELECT id, arg_max(conversation_id, ing
  v AS (SELECT root, regexp_full_match(string_agg(CASE role WHEN 'other' THEN 'x' ELSE role[1] END, '' ORDER BY n), 's*(ua)+') AS sound FROM o GROUP BY root)
  SELECT 'lost:' || o.root AS conversation_id, n::INT AS turn_no, id AS message_id, role, sound FROM o JOIN v ON v.root = o.root"""
 
+P7_QUOTATIONS = (
+    P7_RECOVERED.split(",\n k AS")[0].replace("coalesce(content, '')", "coalesce(replace(content, 'İ', 'i' || chr(775)), '')")
+    + """,
+ h AS (SELECT tenant, held, min(id) AS text_id, count(*) AS n FROM s WHERE held <> '' GROUP BY tenant, held),
+ k AS (SELECT * FROM h WHERE EXISTS (SELECT 1 FROM s WHERE s.tenant IS NOT DISTINCT FROM h.tenant AND s.quoted = h.held))
+ SELECT text_id, id AS message_id, quotes, n AS n_holders, n <= 3 AND length(k.held) >= 20 AS links
+ FROM k JOIN (SELECT id, tenant, held AS t, false AS quotes FROM s UNION ALL SELECT id, tenant, quoted, true FROM s) x ON x.tenant IS NOT DISTINCT FROM k.tenant AND x.t = k.held"""
+)
+
 P2_SOUNDNESS = "SELECT id AS chunk_id, true AS gives_back, true AS within_limit, true AS overlaps FROM (SELECT id, arg_max(content, ingested_at) AS content FROM chunks WHERE id IS NOT NULL GROUP BY id), (SELECT amount FROM size_limits WHERE limit_name = 'split_limit_chars') WHERE length(content) > amount"
 P8_SOUNDNESS = "SELECT count(DISTINCT doc_id)::BIGINT AS documents, 0::BIGINT AS overfull, 0::BIGINT AS needless, 0::BIGINT AS uneven FROM documents"
 
